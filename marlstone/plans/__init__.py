@@ -1 +1,3 @@
+"""Registered queries by family; importing this package fills the registry."""
 
+from marlstone.plans import market  # noqa: F401
