@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.session import join_sized, new_table_path
+from marlstone.llm.session import fresh, join_sized, new_table_path
 
 #: Bits of the hit filter: rows of 4,096 bytes each, made by Spark's bitmap functions.
 FILTER_ROWS, ROW_BITS = 256, 32_768
@@ -114,6 +114,13 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id"
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ids are taken to be unique."""
-    gone = exact_groups(docs, keep, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called.
+
+    A row goes when its id and text are those of a dropped row of ``exact_groups``; so rows that are equal in both go or
+    stay together, and rows that only share an id are judged apart.
+    """
+    dropped = exact_groups(docs, keep, id_col, text_col).where(~F.col("kept")).select("doc_id", "text_sha256").distinct()
+    i, t = fresh(docs, "_gone_id"), fresh(docs, "_gone_text")
+    gone = dropped.toDF(i, t)
+    same = docs[id_col].eqNullSafe(gone[i]) & (F.sha2(normalised(docs[text_col]).cast("binary"), 256) == gone[t])
+    return docs.join(gone, same, "left_anti")

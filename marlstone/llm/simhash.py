@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.session import cut, join_sized, map_texts
+from marlstone.llm.session import cut, fresh, join_sized, map_texts
 
 #: Bits that linked fingerprints may differ in, at most.
 THRESHOLD = 3
@@ -221,6 +221,10 @@ def redundant_ids(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, id_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each group of near copies the one of least id."""
-    gone = redundant_ids(docs, id_col=id_col, text_col=text_col).withColumnRenamed("gone", "_gone")
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: of each group of near copies the one of least id.
+
+    Ids are taken to be unique; rows that share the least id all stay, and so do rows without an id.
+    """
+    name = fresh(docs, "_gone")
+    gone = redundant_ids(docs, id_col=id_col, text_col=text_col).withColumnRenamed("gone", name)
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
