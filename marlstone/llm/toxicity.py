@@ -166,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
                 for t, bits in contexts(text).items():
                     n[t] = n.get(t, 0) + 1
                     mask[t] = mask.get(t, 0) | bits
-        yield pd.DataFrame({"term": list(n), "n": list(n.values()), "mask": np.array([mask[t] for t in n], dtype=np.uint64).view(np.int64)})
+        if n:  # a frame without rows has no column types
+            yield pd.DataFrame({"term": list(n), "n": list(n.values()), "mask": np.array([mask[t] for t in n], dtype=np.uint64).view(np.int64)})
 
     counted = sample.where("y = 1").select("text").mapInPandas(count_toxic, "term string, n long, mask long")
     seen = (
@@ -183,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
                 for t in terms(text):
                     if t in candidates:
                         n[t] = n.get(t, 0) + 1
-        yield pd.DataFrame({"term": list(n), "n": list(n.values())})
+        if n:
+            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
 
     clean = {
         r["term"]: r["n"]
