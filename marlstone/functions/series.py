@@ -8,12 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("symbol").orderBy("d")
 
+def by_day() -> WindowSpec:
+    """Rows of a symbol in the order of days."""
+    return Window.partitionBy("symbol").orderBy("d")
 
-def full(value: Column, window: int, how, over: WindowSpec = ORDER) -> Column:
+
+
+def full(value: Column, window: int, how, over: WindowSpec | None = None) -> Column:
     """``how`` over the last ``window`` rows, null until there are so many values."""
-    w = over.rowsBetween(-(window - 1), 0)
+    w = (over or by_day()).rowsBetween(-(window - 1), 0)
     return F.when(F.count(value).over(w) == window, how(value).over(w))
 
 
@@ -26,17 +30,19 @@ def rolling_ratio(value: Column, window: int) -> Column:
     return F.when(mean != 0, value / mean)
 
 
-def change(value: Column, window: int = 1, over: WindowSpec = ORDER) -> Column:
-    before = F.lag(value, window).over(over)
+def change(value: Column, window: int = 1, over: WindowSpec | None = None) -> Column:
+    before = F.lag(value, window).over(over or by_day())
     return F.when(before != 0, value / before - 1)
 
 
-def cross_up(a: Column, b: Column, over: WindowSpec = ORDER) -> Column:
+def cross_up(a: Column, b: Column, over: WindowSpec | None = None) -> Column:
     """a was at most b and is above it now; false where any of the four is missing."""
+    over = over or by_day()
     return F.coalesce((F.lag(a).over(over) <= F.lag(b).over(over)) & (a > b), F.lit(False))
 
 
-def cross_down(a: Column, b: Column, over: WindowSpec = ORDER) -> Column:
+def cross_down(a: Column, b: Column, over: WindowSpec | None = None) -> Column:
+    over = over or by_day()
     return F.coalesce((F.lag(a).over(over) >= F.lag(b).over(over)) & (a < b), F.lit(False))
 
 
@@ -45,14 +51,14 @@ def longest_series(alpha: float) -> int:
     return int(700 / -math.log(1 - alpha))
 
 
-def smoothed(value: Column, alpha: float, index: Column, seed: Column | None = None, over: WindowSpec = ORDER) -> Column:
+def smoothed(value: Column, alpha: float, index: Column, seed: Column | None = None, over: WindowSpec | None = None) -> Column:
     """Exponential smoothing without a loop: y[0] = x[0] (or, with a seed s, y[-1] = s), y[t] = alpha x[t] + (1 - alpha) y[t-1].
 
     ``index`` counts the rows of a series from 0, nulls before it have a negative one. Series of more than
     ``longest_series(alpha)`` rows go through ``smooth_grouped``.
     """
     keep = 1 - alpha
-    w = over.rowsBetween(Window.unboundedPreceding, 0)
+    w = (over or by_day()).rowsBetween(Window.unboundedPreceding, 0)
     scaled = F.when(index >= (0 if seed is not None else 1), value * F.pow(F.lit(keep), -index))
     total = F.coalesce(F.sum(scaled).over(w), F.lit(0.0))
     if seed is not None:
@@ -74,8 +80,8 @@ def smooth_grouped(df: DataFrame, value: str, alpha: float, out: str, key: str =
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-def running_drawdown(value: Column, over: WindowSpec = ORDER) -> Column:
-    return value / F.max(value).over(over.rowsBetween(Window.unboundedPreceding, 0)) - 1
+def running_drawdown(value: Column, over: WindowSpec | None = None) -> Column:
+    return value / F.max(value).over((over or by_day()).rowsBetween(Window.unboundedPreceding, 0)) - 1
 
 
 def path_drawdown(values: Column) -> Column:

@@ -10,13 +10,13 @@ from __future__ import annotations
 import operator
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from marlstone.functions.series import ORDER, cross_down, cross_up
+from marlstone.functions.series import by_day, cross_down, cross_up
 
 COMPARE = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le, "eq": operator.eq}
 #: Least and most arguments of each operator.
@@ -35,7 +35,7 @@ class RulePack:
     name: str
     rules: Mapping[str, tuple[dict, float]]
     version: str = "1.0.0"
-    order: WindowSpec = field(default_factory=lambda: ORDER)
+    order: WindowSpec | None = None
 
 
 def _arguments(expression: dict) -> tuple[str, list]:
@@ -87,8 +87,9 @@ def _context(path: str, context: Mapping) -> float | None:
     return value if isinstance(value, (int, float)) and not isinstance(value, bool) else None
 
 
-def compile_rule(expression: dict, context: Mapping, order: WindowSpec = ORDER) -> Column:
+def compile_rule(expression: dict, context: Mapping, order: WindowSpec | None = None) -> Column:
     """A boolean column; null means undecided. Columns must hold null, not NaN, for missing values."""
+    order = order or by_day()
     name, given = _arguments(expression)
     last = lambda n: order.rowsBetween(-(int(n) - 1), 0)
 

@@ -1,3 +1,3 @@
-"""Registered queries by family; importing this package fills the registry."""
+"""Named queries over the test tables."""
 
-from marlstone.plans import market  # noqa: F401
+from marlstone.plans import market, scores  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.series import (
-    ORDER,
+    by_day,
     change,
     cross_up,
     full,
@@ -20,9 +20,33 @@ from marlstone.operators.rules import RulePack, compile_pack
 from marlstone.registry import query
 from marlstone.sources.tables import BARS_SQL, bars, table
 
-C, H, L, V = F.col("close"), F.col("high"), F.col("low"), F.col("volume")
-DAY = F.date_format("d", "yyyy-MM-dd").alias("d")
-INDEX = F.row_number().over(ORDER) - 1
+
+# Columns are made by functions: modules are imported before there is a Spark session.
+
+
+def C() -> Column:
+    return F.col("close")
+
+
+def H() -> Column:
+    return F.col("high")
+
+
+def L() -> Column:
+    return F.col("low")
+
+
+def V() -> Column:
+    return F.col("volume")
+
+
+def day() -> Column:
+    return F.date_format("d", "yyyy-MM-dd").alias("d")
+
+
+def index() -> Column:
+    return F.row_number().over(by_day()) - 1
+
 
 
 def r6(c: Column, name: str) -> Column:
@@ -52,19 +76,19 @@ DAY_SQL = "strftime(d, '%Y-%m-%d') AS d"
 
 @query("ind_ma", with_bars(f"SELECT symbol, {DAY_SQL}, round({mean_sql('close', 5)}, 6) AS ma5, round({mean_sql('close', 20)}, 6) AS ma20, round({mean_sql('close', 60)}, 6) AS ma60 FROM bars"))
 def ind_ma(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", DAY, r6(rolling_mean(C, 5), "ma5"), r6(rolling_mean(C, 20), "ma20"), r6(rolling_mean(C, 60), "ma60"))
+    return bars(spark, sf).select("symbol", day(), r6(rolling_mean(C(), 5), "ma5"), r6(rolling_mean(C(), 20), "ma20"), r6(rolling_mean(C(), 60), "ma60"))
 
 
 @query("ind_ema", with_bars(f"SELECT symbol, {DAY_SQL}, round({ewm_sql('close', '(2.0/13)')}, 6) AS ema12, round({ewm_sql('close', '(2.0/27)')}, 6) AS ema26 FROM bars"))
 def ind_ema(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).withColumn("i", INDEX)
-    return b.select("symbol", DAY, r6(smoothed(C, 2 / 13, F.col("i")), "ema12"), r6(smoothed(C, 2 / 27, F.col("i")), "ema26"))
+    b = bars(spark, sf).withColumn("i", index())
+    return b.select("symbol", day(), r6(smoothed(C(), 2 / 13, F.col("i")), "ema12"), r6(smoothed(C(), 2 / 27, F.col("i")), "ema26"))
 
 
 def macd(b: DataFrame) -> DataFrame:
     """Adds dif, dea and macd."""
-    b = b.withColumn("i", INDEX)
-    b = b.withColumn("dif", smoothed(C, 2 / 13, F.col("i")) - smoothed(C, 2 / 27, F.col("i")))
+    b = b.withColumn("i", index())
+    b = b.withColumn("dif", smoothed(C(), 2 / 13, F.col("i")) - smoothed(C(), 2 / 27, F.col("i")))
     b = b.withColumn("dea", smoothed(F.col("dif"), 2 / 10, F.col("i")))
     return b.withColumn("macd", 2 * (F.col("dif") - F.col("dea"))).drop("i")
 
@@ -75,14 +99,14 @@ m2 AS (SELECT *, {ewm_sql('dif', '0.2')} AS dea FROM m1), m AS (SELECT *, 2 * (d
 
 @query("ind_macd", f"WITH {MACD_SQL} SELECT symbol, {DAY_SQL}, round(dif, 6) AS dif, round(dea, 6) AS dea, round(macd, 6) AS macd FROM m")
 def ind_macd(spark: SparkSession, sf: str) -> DataFrame:
-    return macd(bars(spark, sf)).select("symbol", DAY, r6(F.col("dif"), "dif"), r6(F.col("dea"), "dea"), r6(F.col("macd"), "macd"))
+    return macd(bars(spark, sf)).select("symbol", day(), r6(F.col("dif"), "dif"), r6(F.col("dea"), "dea"), r6(F.col("macd"), "macd"))
 
 
 def kdj(b: DataFrame, n: int = 9, m: int = 3) -> DataFrame:
     """Adds rsv, k, d_line and j; k and d_line begin at 50 before the first full window."""
-    top, bottom = full(H, n, F.max), full(L, n, F.min)
-    b = b.withColumn("rsv", F.when(top == bottom, F.lit(50.0)).otherwise((C - bottom) / (top - bottom) * 100))
-    b = b.withColumn("i", INDEX - (n - 1))
+    top, bottom = full(H(), n, F.max), full(L(), n, F.min)
+    b = b.withColumn("rsv", F.when(top == bottom, F.lit(50.0)).otherwise((C() - bottom) / (top - bottom) * 100))
+    b = b.withColumn("i", index() - (n - 1))
     b = b.withColumn("k", smoothed(F.col("rsv"), 1 / m, F.col("i"), F.lit(50.0)))
     b = b.withColumn("d_line", smoothed(F.col("k"), 1 / m, F.col("i"), F.lit(50.0)))
     return b.withColumn("j", 3 * F.col("k") - 2 * F.col("d_line")).drop("i")
@@ -101,17 +125,17 @@ k2 AS (SELECT *, {seeded_sql('rsv')} AS k FROM k1), k3 AS (SELECT *, {seeded_sql
 
 @query("ind_kdj", f"WITH {KDJ_SQL} SELECT symbol, {DAY_SQL}, round(rsv, 6) AS rsv, round(k, 6) AS k, round(d_line, 6) AS d_line, round(3 * k - 2 * d_line, 6) AS j FROM k3")
 def ind_kdj(spark: SparkSession, sf: str) -> DataFrame:
-    return kdj(bars(spark, sf)).select("symbol", DAY, *(r6(F.col(x), x) for x in ("rsv", "k", "d_line", "j")))
+    return kdj(bars(spark, sf)).select("symbol", day(), *(r6(F.col(x), x) for x in ("rsv", "k", "d_line", "j")))
 
 
 @query("ind_stl", f"WITH {BARS_SQL}, a AS (SELECT *, {ewm_sql('close', '(2.0/11)')} AS e FROM bars) SELECT symbol, {DAY_SQL}, round({ewm_sql('e', '(2.0/11)')}, 6) AS stl FROM a")
 def ind_stl(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).withColumn("i", INDEX).withColumn("e", smoothed(C, 2 / 11, F.col("i")))
-    return b.select("symbol", DAY, r6(smoothed(F.col("e"), 2 / 11, F.col("i")), "stl"))
+    b = bars(spark, sf).withColumn("i", index()).withColumn("e", smoothed(C(), 2 / 11, F.col("i")))
+    return b.select("symbol", day(), r6(smoothed(F.col("e"), 2 / 11, F.col("i")), "stl"))
 
 
 def long_line() -> Column:
-    a, b, c, d = (rolling_mean(C, n) for n in (14, 28, 57, 114))
+    a, b, c, d = (rolling_mean(C(), n) for n in (14, 28, 57, 114))
     return (a + b + c + d) / 4
 
 
@@ -120,12 +144,12 @@ LTL_SQL = "(" + " + ".join(f"({mean_sql('close', n)})" for n in (14, 28, 57, 114
 
 @query("ind_ltl", with_bars(f"SELECT symbol, {DAY_SQL}, round({LTL_SQL}, 6) AS ltl FROM bars"))
 def ind_ltl(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", DAY, r6(long_line(), "ltl"))
+    return bars(spark, sf).select("symbol", day(), r6(long_line(), "ltl"))
 
 
 @query("ind_rolling_ratio", with_bars(f"SELECT symbol, {DAY_SQL}, round(volume / nullif({mean_sql('volume', 20)}, 0), 6) AS volume_ratio20 FROM bars"))
 def ind_rolling_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", DAY, r6(rolling_ratio(V, 20), "volume_ratio20"))
+    return bars(spark, sf).select("symbol", day(), r6(rolling_ratio(V(), 20), "volume_ratio20"))
 
 
 @query(
@@ -139,11 +163,11 @@ def ind_calc_all(spark: SparkSession, sf: str) -> DataFrame:
     b = macd(bars(spark, sf))
     return b.select(
         "symbol",
-        DAY,
-        *(r6(rolling_mean(C, n), f"ma{n}") for n in (5, 10, 20, 60, 120, 240)),
-        r6(rolling_mean(V, 5), "volume_ma5"),
-        r6(rolling_mean(V, 10), "volume_ma10"),
-        r6(rolling_ratio(V, 20), "volume_ratio20"),
+        day(),
+        *(r6(rolling_mean(C(), n), f"ma{n}") for n in (5, 10, 20, 60, 120, 240)),
+        r6(rolling_mean(V(), 5), "volume_ma5"),
+        r6(rolling_mean(V(), 10), "volume_ma10"),
+        r6(rolling_ratio(V(), 20), "volume_ratio20"),
         r6(long_line(), "ltl"),
         *(r6(F.col(x), x) for x in ("dif", "dea", "macd")),
     )
@@ -154,12 +178,12 @@ _R1 = "close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY d), 0) - 1"
 
 @query("ind_return", with_bars(f"SELECT symbol, {DAY_SQL}, round({_R1}, 6) AS ret FROM bars"))
 def ind_return(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", DAY, r6(change(C), "ret"))
+    return bars(spark, sf).select("symbol", day(), r6(change(C()), "ret"))
 
 
 @query("ind_period_return", with_bars("SELECT symbol, round(close / lag(close, 5) OVER s - 1, 6) AS r5, round(close / lag(close, 20) OVER s - 1, 6) AS r20, round(close / lag(close, 120) OVER s - 1, 6) AS r120 FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY d) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1"))
 def ind_period_return(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).select("symbol", "d", *(r6(change(C, n), f"r{n}") for n in (5, 20, 120)))
+    b = bars(spark, sf).select("symbol", "d", *(r6(change(C(), n), f"r{n}") for n in (5, 20, 120)))
     return latest(b).drop("d")
 
 
@@ -171,25 +195,25 @@ def latest(b: DataFrame) -> DataFrame:
 
 @query("ind_volatility", with_bars(f", q AS (SELECT *, {_R1} AS r FROM bars) SELECT symbol, {DAY_SQL}, round(CASE WHEN count(r) OVER w = 20 THEN stddev_samp(r) OVER w * 100 END, 6) AS volatility FROM q WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))
 def ind_volatility(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).withColumn("r", change(C))
-    return b.select("symbol", DAY, r6(full(F.col("r"), 20, F.stddev_samp) * 100, "volatility"))
+    b = bars(spark, sf).withColumn("r", change(C()))
+    return b.select("symbol", day(), r6(full(F.col("r"), 20, F.stddev_samp) * 100, "volatility"))
 
 
 @query("ind_max_drawdown", with_bars(", q AS (SELECT symbol, d, close, n, max(n) OVER (PARTITION BY symbol) AS last FROM bars), p AS (SELECT *, close / max(close) OVER (PARTITION BY symbol ORDER BY d) - 1 AS dd FROM q WHERE n > last - 21) SELECT symbol, round(least(min(dd), 0) * 100, 6) AS max_drawdown FROM p GROUP BY symbol"))
 def ind_max_drawdown(spark: SparkSession, sf: str) -> DataFrame:
-    w = ORDER.rowsBetween(-20, 0)
-    b = bars(spark, sf).select("symbol", "d", F.collect_list(C).over(w).alias("path"))
+    w = by_day().rowsBetween(-20, 0)
+    b = bars(spark, sf).select("symbol", "d", F.collect_list(C()).over(w).alias("path"))
     return latest(b).select("symbol", r6(path_drawdown(F.col("path")) * 100, "max_drawdown"))
 
 
 @query("ind_last_vs_peak", with_bars(f"SELECT symbol, {DAY_SQL}, round(close / max(close) OVER w - 1, 6) AS vs_peak FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))
 def ind_last_vs_peak(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", DAY, r6(C / F.max(C).over(ORDER.rowsBetween(-19, 0)) - 1, "vs_peak"))
+    return bars(spark, sf).select("symbol", day(), r6(C() / F.max(C()).over(by_day().rowsBetween(-19, 0)) - 1, "vs_peak"))
 
 
 @query("ind_amount_pctile", with_bars(", q AS (SELECT *, max(n) OVER (PARTITION BY symbol) AS last FROM bars), p AS (SELECT symbol, amount, last_value(amount) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM q WHERE n > last - 120) SELECT symbol, round(CASE WHEN count(*) >= 30 THEN 100.0 * count(*) FILTER (amount <= now) / count(*) END, 6) AS pctile FROM p GROUP BY symbol"))
 def ind_amount_pctile(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).select("symbol", "d", "amount", F.collect_list("amount").over(ORDER.rowsBetween(-119, 0)).alias("seen"))
+    b = bars(spark, sf).select("symbol", "d", "amount", F.collect_list("amount").over(by_day().rowsBetween(-119, 0)).alias("seen"))
     share = F.size(F.filter("seen", lambda x: x <= F.col("amount"))) * 100.0 / F.size("seen")
     return latest(b).select("symbol", r6(F.when(F.size("seen") >= 30, share), "pctile"))
 
@@ -197,7 +221,7 @@ def ind_amount_pctile(spark: SparkSession, sf: str) -> DataFrame:
 FEATURES_SQL = f"""{BARS_SQL}, f0 AS (SELECT *, {_R1} AS r FROM bars),
 f1 AS (SELECT symbol, d, n, close, close / lag(close, 1) OVER s - 1 AS r1, close / lag(close, 5) OVER s - 1 AS r5, close / lag(close, 20) OVER s - 1 AS r20,
   close > {mean_sql('close', 20)} AS above_ma20, close > {mean_sql('close', 60)} AS above_ma60,
-  close >= max(high) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS new_high,
+  close >= max(high) OVER (PARTITION BY symbol by_day() BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS new_high,
   CASE WHEN count(r) OVER v = 20 THEN stddev_samp(r) OVER v * 100 END AS volatility, amount,
   amount / nullif({mean_sql('amount', 20)}, 0) AS amount_ratio
   FROM f0 WINDOW s AS (PARTITION BY symbol ORDER BY d), v AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
@@ -206,17 +230,17 @@ feat AS (SELECT * FROM f1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER B
 
 def stock_features(b: DataFrame) -> DataFrame:
     """The latest row of each symbol with its returns, position against averages, volatility and turnover."""
-    b = b.withColumn("r", change(C))
+    b = b.withColumn("r", change(C()))
     return latest(
         b.select(
             "symbol",
             "d",
-            F.row_number().over(ORDER).alias("n"),
+            F.row_number().over(by_day()).alias("n"),
             "close",
-            *(change(C, k).alias(f"r{k}") for k in (1, 5, 20)),
-            (C > rolling_mean(C, 20)).alias("above_ma20"),
-            (C > rolling_mean(C, 60)).alias("above_ma60"),
-            (C >= F.max(H).over(ORDER.rowsBetween(-19, 0))).alias("new_high"),
+            *(change(C(), k).alias(f"r{k}") for k in (1, 5, 20)),
+            (C() > rolling_mean(C(), 20)).alias("above_ma20"),
+            (C() > rolling_mean(C(), 60)).alias("above_ma60"),
+            (C() >= F.max(H()).over(by_day().rowsBetween(-19, 0))).alias("new_high"),
             (full(F.col("r"), 20, F.stddev_samp) * 100).alias("volatility"),
             "amount",
             rolling_ratio(F.col("amount"), 20).alias("amount_ratio"),
@@ -239,8 +263,8 @@ _W20 = "(PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT RO
 
 @query("reg_rolling_std", with_bars(f", q AS (SELECT *, {_R1} AS r FROM bars) SELECT symbol, {DAY_SQL}, round(CASE WHEN count(r) OVER {_W20} = 20 THEN stddev_samp(r) OVER {_W20} END, 8) AS rolling_std, round({mean_sql('close', 20)}, 6) AS sma, round({mean_sql('volume', 20)}, 6) AS volume_ma FROM q"))
 def reg_rolling_std(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).withColumn("r", change(C))
-    return b.select("symbol", DAY, F.round(full(F.col("r"), 20, F.stddev_samp), 8).alias("rolling_std"), r6(rolling_mean(C, 20), "sma"), r6(rolling_mean(V, 20), "volume_ma"))
+    b = bars(spark, sf).withColumn("r", change(C()))
+    return b.select("symbol", day(), F.round(full(F.col("r"), 20, F.stddev_samp), 8).alias("rolling_std"), r6(rolling_mean(C(), 20), "sma"), r6(rolling_mean(V(), 20), "volume_ma"))
 
 
 # ---- windows
@@ -248,24 +272,24 @@ def reg_rolling_std(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("wf_rolling", with_bars(f"SELECT symbol, {DAY_SQL}, CASE WHEN n >= 20 THEN max(high) OVER {_W20} END AS top, CASE WHEN n >= 20 THEN min(low) OVER {_W20} END AS bottom, round({mean_sql('close', 20)}, 6) AS mean FROM bars"))
 def wf_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", DAY, full(H, 20, F.max).alias("top"), full(L, 20, F.min).alias("bottom"), r6(rolling_mean(C, 20), "mean"))
+    return bars(spark, sf).select("symbol", day(), full(H(), 20, F.max).alias("top"), full(L(), 20, F.min).alias("bottom"), r6(rolling_mean(C(), 20), "mean"))
 
 
 @query("wf_lag", with_bars(f"SELECT symbol, {DAY_SQL}, lag(close) OVER s AS before, lag(close, 5) OVER s AS before5 FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY d)"))
 def wf_lag(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", DAY, F.lag(C).over(ORDER).alias("before"), F.lag(C, 5).over(ORDER).alias("before5"))
+    return bars(spark, sf).select("symbol", day(), F.lag(C()).over(by_day()).alias("before"), F.lag(C(), 5).over(by_day()).alias("before5"))
 
 
 @query("wf_cross_up", with_bars(f", q AS (SELECT symbol, d, {mean_sql('close', 5)} AS a, {mean_sql('close', 10)} AS b FROM bars) SELECT symbol, {DAY_SQL}, coalesce(lag(a) OVER s <= lag(b) OVER s AND a > b, false) AS crossed FROM q WINDOW s AS (PARTITION BY symbol ORDER BY d)"))
 def wf_cross_up(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).select("symbol", "d", rolling_mean(C, 5).alias("a"), rolling_mean(C, 10).alias("b"))
-    return b.select("symbol", DAY, cross_up(F.col("a"), F.col("b")).alias("crossed"))
+    b = bars(spark, sf).select("symbol", "d", rolling_mean(C(), 5).alias("a"), rolling_mean(C(), 10).alias("b"))
+    return b.select("symbol", day(), cross_up(F.col("a"), F.col("b")).alias("crossed"))
 
 
 @query("wf_running_max", with_bars(f"SELECT symbol, {DAY_SQL}, max(close) OVER s AS top, min(close) OVER s AS bottom, round(close / max(close) OVER s - 1, 6) AS drawdown FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
 def wf_running_max(spark: SparkSession, sf: str) -> DataFrame:
-    w = ORDER.rowsBetween(Window.unboundedPreceding, 0)
-    return bars(spark, sf).select("symbol", DAY, F.max(C).over(w).alias("top"), F.min(C).over(w).alias("bottom"), r6(running_drawdown(C), "drawdown"))
+    w = by_day().rowsBetween(Window.unboundedPreceding, 0)
+    return bars(spark, sf).select("symbol", day(), F.max(C()).over(w).alias("top"), F.min(C()).over(w).alias("bottom"), r6(running_drawdown(C()), "drawdown"))
 
 
 @query("wf_new_high", with_bars(f"SELECT symbol, {DAY_SQL}, close >= max(high) OVER {_W20} AS new_high, coalesce(close >= max(close) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), false) AS breakout FROM bars"))
@@ -277,12 +301,11 @@ def wf_new_high(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("wf_count_below", with_bars(f", q AS (SELECT symbol, d, close < {mean_sql('close', 20)} AS below FROM bars) SELECT symbol, {DAY_SQL}, CAST(coalesce(sum(CASE WHEN below THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS n_below FROM q"))
 def wf_count_below(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).select("symbol", "d", (C < rolling_mean(C, 20)).alias("below"))
-    return b.select("symbol", DAY, F.sum(F.when(F.col("below"), 1).otherwise(0)).over(ORDER.rowsBetween(-9, 0)).alias("n_below"))
+    b = bars(spark, sf).select("symbol", "d", (C() < rolling_mean(C(), 20)).alias("below"))
+    return b.select("symbol", day(), F.sum(F.when(F.col("below"), 1).otherwise(0)).over(by_day().rowsBetween(-9, 0)).alias("n_below"))
 
 
 # One day's cross-section of all symbols is small; windows over it are partitioned by nothing but the day.
-_LAST = F.col("r20")
 CROSS_SQL = f"""{FEATURES_SQL}, x AS (SELECT symbol, r20 FROM feat WHERE r20 IS NOT NULL)"""
 
 
@@ -331,7 +354,7 @@ def wf_ffill(spark: SparkSession, sf: str) -> DataFrame:
     symbols = bars(spark, sf).select("symbol").distinct()
     # A calendar has one row per trading day: broadcast against the symbols it is filled for.
     grid = symbols.join(F.broadcast(b.select("d").distinct()), how="cross").join(b.select("symbol", "d", "close"), ["symbol", "d"], "left")
-    return grid.select("symbol", DAY, F.last("close", ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)).alias("close"))
+    return grid.select("symbol", day(), F.last("close", ignorenulls=True).over(by_day().rowsBetween(Window.unboundedPreceding, 0)).alias("close"))
 
 
 jn_ffill = wf_ffill
@@ -346,19 +369,19 @@ def sig_triple_cross(spark: SparkSession, sf: str) -> DataFrame:
         "symbol", "d", rolling_mean(C, 5).alias("a"), rolling_mean(C, 10).alias("b"), "dif", "dea", rolling_mean(V, 5).alias("va"), rolling_mean(V, 10).alias("vb")
     )
     n = sum((cross_up(F.col(x), F.col(y)).cast("int") for x, y in (("a", "b"), ("dif", "dea"), ("va", "vb"))), F.lit(0))
-    return b.withColumn("n", n).where("n > 0").select("symbol", DAY, (F.col("n") * 30).cast("long").alias("score"), (F.col("n") == 3).alias("fires"))
+    return b.withColumn("n", n).where("n > 0").select("symbol", day(), (F.col("n") * 30).cast("long").alias("score"), (F.col("n") == 3).alias("fires"))
 
 
 @query("sig_b2", with_bars(f", q AS (SELECT symbol, d, n, close / lag(close) OVER s - 1 AS gain, max(high) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior, close, volume / nullif({mean_sql('volume', 20)}, 0) AS vr, {mean_sql('close', 20)} AS ma20, min(close) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS low60 FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY d)), z AS (SELECT symbol, d, CASE WHEN gain >= 0.04 THEN 25 ELSE 0 END + CASE WHEN close >= prior THEN 25 ELSE 0 END + CASE WHEN vr >= 1.35 THEN 20 ELSE 0 END + CASE WHEN close > ma20 THEN 10 ELSE 0 END - CASE WHEN close / low60 > 1.8 THEN 15 ELSE 0 END AS score FROM q WHERE n > 60) SELECT symbol, {DAY_SQL}, CAST(greatest(score, 0) AS BIGINT) AS score, score >= 75 AS fires FROM z WHERE score >= 40"))
 def sig_b2(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf).select(
         "symbol", "d", F.row_number().over(ORDER).alias("n"), change(C).alias("gain"), F.max(H).over(ORDER.rowsBetween(-20, -1)).alias("prior"), "close",
-        rolling_ratio(V, 20).alias("vr"), rolling_mean(C, 20).alias("ma20"), F.min(C).over(ORDER.rowsBetween(-59, 0)).alias("low60"),
+        rolling_ratio(V(), 20).alias("vr"), rolling_mean(C(), 20).alias("ma20"), F.min(C()).over(by_day().rowsBetween(-59, 0)).alias("low60"),
     )
-    parts = [(F.col("gain") >= 0.04, 25), (C >= F.col("prior"), 25), (F.col("vr") >= 1.35, 20), (C > F.col("ma20"), 10), (C / F.col("low60") > 1.8, -15)]
+    parts = [(F.col("gain") >= 0.04, 25), (C() >= F.col("prior"), 25), (F.col("vr") >= 1.35, 20), (C() > F.col("ma20"), 10), (C() / F.col("low60") > 1.8, -15)]
     score = sum((F.when(p, k).otherwise(0) for p, k in parts), F.lit(0))
     b = b.where("n > 60").withColumn("score", score).where("score >= 40")
-    return b.select("symbol", DAY, F.greatest("score", F.lit(0)).cast("long").alias("score"), (F.col("score") >= 75).alias("fires"))
+    return b.select("symbol", day(), F.greatest("score", F.lit(0)).cast("long").alias("score"), (F.col("score") >= 75).alias("fires"))
 
 
 #: A pack of two rules on the latest bar, and one with an operator that only compares with context.
@@ -375,7 +398,7 @@ CORE = RulePack(
 
 def indicator_frame(spark: SparkSession, sf: str) -> DataFrame:
     b = macd(bars(spark, sf))
-    return b.withColumns({"ma5": rolling_mean(C, 5), "ma20": rolling_mean(C, 20), "ma60": rolling_mean(C, 60), "volume_ratio20": rolling_ratio(V, 20)})
+    return b.withColumns({"ma5": rolling_mean(C(), 5), "ma20": rolling_mean(C(), 20), "ma60": rolling_mean(C(), 60), "volume_ratio20": rolling_ratio(V(), 20)})
 
 
 RULES_SQL = f"""{MACD_SQL}, q AS (SELECT *, {mean_sql('close', 5)} AS ma5, {mean_sql('close', 20)} AS ma20, {mean_sql('close', 60)} AS ma60, volume / nullif({mean_sql('volume', 20)}, 0) AS vr FROM m),
@@ -386,7 +409,7 @@ e AS (SELECT symbol, d, n, close > ma20 AND ma20 > ma60 AS trend, coalesce(lag(d
 def rule_eval(spark: SparkSession, sf: str) -> DataFrame:
     rules = compile_pack(CORE, {"market": {"breadth": 0.6}})
     named = {k: F.when(c, "TRUE").when(~c, "FALSE").otherwise("INDETERMINATE") for k, (c, _) in rules.items()}
-    return indicator_frame(spark, sf).withColumns({f"_{k}": c for k, c in named.items()}).select("symbol", DAY, *(F.col(f"_{k}").alias(k) for k in named))
+    return indicator_frame(spark, sf).withColumns({f"_{k}": c for k, c in named.items()}).select("symbol", day(), *(F.col(f"_{k}").alias(k) for k in named))
 
 
 @query("rule_scan", f"WITH {RULES_SQL} SELECT symbol, {DAY_SQL}, CAST(CASE WHEN trend THEN 25 ELSE 0 END + CASE WHEN macd_cross THEN 15 ELSE 0 END + CASE WHEN active THEN 10 ELSE 0 END + CASE WHEN market THEN 5 ELSE 0 END AS BIGINT) AS score FROM e WHERE n >= 260 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1")
@@ -394,20 +417,20 @@ def rule_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Score of the latest bar of each symbol that has the profile's 260 bars."""
     rules = compile_pack(CORE, {"market": {"breadth": 0.6}})
     score = sum((F.when(c, k).otherwise(0) for c, k in rules.values()), F.lit(0)).cast("long")
-    b = indicator_frame(spark, sf).select("symbol", "d", F.row_number().over(ORDER).alias("n"), score.alias("score"))
-    return latest(b).where("n >= 260").select("symbol", DAY, "score")
+    b = indicator_frame(spark, sf).select("symbol", "d", F.row_number().over(by_day()).alias("n"), score.alias("score"))
+    return latest(b).where("n >= 260").select("symbol", day(), "score")
 
 
 @query("scan_kline", with_bars(f"SELECT symbol, {DAY_SQL}, open, high, low, close, volume, amount FROM bars WHERE symbol IN (1, 2, 3) AND d >= DATE '1997-01-01' AND d <= DATE '1997-12-31'"))
 def scan_kline(spark: SparkSession, sf: str) -> DataFrame:
     # Bars need the day before the range for their first open, so the range applies to the finished bars.
     b = bars(spark, sf).where(F.col("symbol").isin(1, 2, 3) & F.col("d").between("1997-01-01", "1997-12-31"))
-    return b.select("symbol", DAY, "open", "high", "low", "close", "volume", "amount")
+    return b.select("symbol", day(), "open", "high", "low", "close", "volume", "amount")
 
 
 @query("scan_quotes", with_bars("SELECT symbol, close AS last_price, open AS last_close, amount FROM bars WHERE d <= DATE '1999-06-30' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1"))
 def scan_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).where(F.col("d") <= "1999-06-30").select("symbol", "d", C.alias("last_price"), F.col("open").alias("last_close"), "amount")
+    b = bars(spark, sf).where(F.col("d") <= "1999-06-30").select("symbol", "d", C().alias("last_price"), F.col("open").alias("last_close"), "amount")
     return latest(b).drop("d")
 
 
@@ -415,12 +438,12 @@ def scan_quotes(spark: SparkSession, sf: str) -> DataFrame:
 def tk_amount10(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf).where(F.col("d").between("1998-01-01", "1998-06-30"))
     w = Window.partitionBy("d").orderBy(F.desc("amount"), "symbol")
-    return b.withColumn("k", F.row_number().over(w)).where("k <= 10").select(DAY, "symbol", "amount")
+    return b.withColumn("k", F.row_number().over(w)).where("k <= 10").select(day(), "symbol", "amount")
 
 
 @query("tk_latest", with_bars("SELECT symbol, strftime(max(d), '%Y-%m-%d') AS d, max_by(close, d) AS close FROM bars GROUP BY symbol"))
 def tk_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return latest(bars(spark, sf).select("symbol", "d", "close")).select("symbol", DAY, "close")
+    return latest(bars(spark, sf).select("symbol", "d", "close")).select("symbol", day(), "close")
 
 
 @query("scan_industry_map", "SELECT s_suppkey AS symbol, n_name AS industry, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PRICE = F.col("l_extendedprice") / F.col("l_quantity")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,13 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: symbol, d, open, high, low, close, volume, amount. The open is the close before, or the first low."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
     days = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("d"))
         .agg(
-            F.round(F.max(PRICE), 9).alias("high"),
-            F.round(F.min(PRICE), 9).alias("low"),
-            F.round(F.avg(PRICE), 9).alias("close"),
+            F.round(F.max(price), 9).alias("high"),
+            F.round(F.min(price), 9).alias("low"),
+            F.round(F.avg(price), 9).alias("close"),
             F.sum("l_quantity").alias("volume"),
             F.round(F.sum("l_extendedprice"), 2).alias("amount"),
         )
@@ -167,3 +166,40 @@ decision AS (
          -((o_orderkey * 3) % 97) / 1000.0 AS worst, ((o_orderkey * 5) % 89) / 1000.0 AS best
   FROM orders
 )"""
+
+
+def market_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per trading day over all symbols: n, up, down, limit_up, limit_down, big_negative, r1, r5, r20 (mean
+    returns), volatility (of r1 across symbols), drawdown (mean of close against its 20-day peak), amount."""
+    w = Window.partitionBy("symbol").orderBy("d")
+    b = bars(spark, sf_dir)
+    for k in (1, 5, 20):
+        b = b.withColumn(f"r{k}", F.col("close") / F.lag("close", k).over(w) - 1)
+    b = b.withColumn("dd", F.col("close") / F.max("close").over(w.rowsBetween(-19, 0)) - 1)
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    r1 = F.col("r1")
+    return b.groupBy("d").agg(
+        F.count(F.lit(1)).alias("n"),
+        n(r1 > 0).alias("up"),
+        n(r1 < 0).alias("down"),
+        n(r1 >= 0.098).alias("limit_up"),
+        n(r1 <= -0.098).alias("limit_down"),
+        n(r1 <= -0.07).alias("big_negative"),
+        *(F.round(F.avg(f"r{k}"), 9).alias(f"r{k}") for k in (1, 5, 20)),
+        F.round(F.stddev_samp("r1"), 9).alias("volatility"),
+        F.round(F.avg("dd"), 9).alias("drawdown"),
+        F.round(F.sum("amount"), 2).alias("amount"),
+    )
+
+
+MARKET_SQL = f"""{BARS_SQL}, mk0 AS (
+  SELECT *, close / lag(close, 1) OVER s - 1 AS r1, close / lag(close, 5) OVER s - 1 AS r5, close / lag(close, 20) OVER s - 1 AS r20,
+         close / max(close) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) - 1 AS dd
+  FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY d)
+), market AS (
+  SELECT d, count(*) AS n, count(*) FILTER (r1 > 0) AS up, count(*) FILTER (r1 < 0) AS down, count(*) FILTER (r1 >= 0.098) AS limit_up,
+         count(*) FILTER (r1 <= -0.098) AS limit_down, count(*) FILTER (r1 <= -0.07) AS big_negative,
+         round(avg(r1), 9) AS r1, round(avg(r5), 9) AS r5, round(avg(r20), 9) AS r20, round(stddev_samp(r1), 9) AS volatility,
+         round(avg(dd), 9) AS drawdown, round(sum(amount), 2) AS amount
+  FROM mk0 GROUP BY d
+)"""
