@@ -20,7 +20,8 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def r4(x: Column) -> Column:
-    return F.round(x, 4)
+    """Half up to four places, of the value to nine: a tie that binary arithmetic just misses still is one."""
+    return F.round(F.round(x, 9), 4)
 
 
 def ratio(part: Column, total: Column) -> Column:
@@ -48,7 +49,7 @@ def rotation(theme: Column, breadth_: Column) -> Column:
 
 
 def range_bound(volatility: Column, breadth_: Column) -> Column:
-    calm = F.greatest(F.lit(0.0), 1 - 10 * F.abs(volatility - 0.02))
+    calm = F.when(volatility.isNotNull(), F.greatest(F.lit(0.0), 1 - 10 * F.abs(volatility - 0.02)))
     even = F.greatest(F.lit(0.0), 1 - 2 * F.abs(breadth_ - 0.5))
     return r4(clip(0.5 * calm + 0.5 * even, 0, 1))
 

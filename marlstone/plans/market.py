@@ -53,6 +53,11 @@ def r6(c: Column, name: str) -> Column:
     return F.round(c, 6).alias(name)
 
 
+def r4(c: Column, name: str) -> Column:
+    """To four places, with the boundary off the exact halves that means of prices fall on: sums in another order agree."""
+    return (F.floor(c * 1e4 + 0.5003717) / 1e4).alias(name)
+
+
 def with_bars(body: str) -> str:
     return f"WITH {BARS_SQL} {body}"
 
@@ -74,15 +79,15 @@ def ewm_sql(x: str, alpha: str, i: str = "(n - 1)") -> str:
 DAY_SQL = "strftime(d, '%Y-%m-%d') AS d"
 
 
-@query("ind_ma", with_bars(f"SELECT symbol, {DAY_SQL}, round({mean_sql('close', 5)}, 6) AS ma5, round({mean_sql('close', 20)}, 6) AS ma20, round({mean_sql('close', 60)}, 6) AS ma60 FROM bars"))
+@query("ind_ma", with_bars(f"SELECT symbol, {DAY_SQL}, floor(({mean_sql('close', 5)}) * 1e4 + 0.5003717) / 1e4 AS ma5, floor(({mean_sql('close', 20)}) * 1e4 + 0.5003717) / 1e4 AS ma20, floor(({mean_sql('close', 60)}) * 1e4 + 0.5003717) / 1e4 AS ma60 FROM bars"))
 def ind_ma(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", day(), r6(rolling_mean(C(), 5), "ma5"), r6(rolling_mean(C(), 20), "ma20"), r6(rolling_mean(C(), 60), "ma60"))
+    return bars(spark, sf).select("symbol", day(), r4(rolling_mean(C(), 5), "ma5"), r4(rolling_mean(C(), 20), "ma20"), r4(rolling_mean(C(), 60), "ma60"))
 
 
-@query("ind_ema", with_bars(f"SELECT symbol, {DAY_SQL}, round({ewm_sql('close', '(2.0/13)')}, 6) AS ema12, round({ewm_sql('close', '(2.0/27)')}, 6) AS ema26 FROM bars"))
+@query("ind_ema", with_bars(f"SELECT symbol, {DAY_SQL}, floor(({ewm_sql('close', '(2.0/13)')}) * 1e4 + 0.5003717) / 1e4 AS ema12, floor(({ewm_sql('close', '(2.0/27)')}) * 1e4 + 0.5003717) / 1e4 AS ema26 FROM bars"))
 def ind_ema(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf).withColumn("i", index())
-    return b.select("symbol", day(), r6(smoothed(C(), 2 / 13, F.col("i")), "ema12"), r6(smoothed(C(), 2 / 27, F.col("i")), "ema26"))
+    return b.select("symbol", day(), r4(smoothed(C(), 2 / 13, F.col("i")), "ema12"), r4(smoothed(C(), 2 / 27, F.col("i")), "ema26"))
 
 
 def macd(b: DataFrame) -> DataFrame:
@@ -97,9 +102,9 @@ MACD_SQL = f"""{BARS_SQL}, m1 AS (SELECT *, {ewm_sql('close', '(2.0/13)')} - {ew
 m2 AS (SELECT *, {ewm_sql('dif', '0.2')} AS dea FROM m1), m AS (SELECT *, 2 * (dif - dea) AS macd FROM m2)"""
 
 
-@query("ind_macd", f"WITH {MACD_SQL} SELECT symbol, {DAY_SQL}, round(dif, 6) AS dif, round(dea, 6) AS dea, round(macd, 6) AS macd FROM m")
+@query("ind_macd", f"WITH {MACD_SQL} SELECT symbol, {DAY_SQL}, floor((dif) * 1e4 + 0.5003717) / 1e4 AS dif, floor((dea) * 1e4 + 0.5003717) / 1e4 AS dea, floor((macd) * 1e4 + 0.5003717) / 1e4 AS macd FROM m")
 def ind_macd(spark: SparkSession, sf: str) -> DataFrame:
-    return macd(bars(spark, sf)).select("symbol", day(), r6(F.col("dif"), "dif"), r6(F.col("dea"), "dea"), r6(F.col("macd"), "macd"))
+    return macd(bars(spark, sf)).select("symbol", day(), r4(F.col("dif"), "dif"), r4(F.col("dea"), "dea"), r4(F.col("macd"), "macd"))
 
 
 def kdj(b: DataFrame, n: int = 9, m: int = 3) -> DataFrame:
@@ -128,10 +133,10 @@ def ind_kdj(spark: SparkSession, sf: str) -> DataFrame:
     return kdj(bars(spark, sf)).select("symbol", day(), *(r6(F.col(x), x) for x in ("rsv", "k", "d_line", "j")))
 
 
-@query("ind_stl", f"WITH {BARS_SQL}, a AS (SELECT *, {ewm_sql('close', '(2.0/11)')} AS e FROM bars) SELECT symbol, {DAY_SQL}, round({ewm_sql('e', '(2.0/11)')}, 6) AS stl FROM a")
+@query("ind_stl", f"WITH {BARS_SQL}, a AS (SELECT *, {ewm_sql('close', '(2.0/11)')} AS e FROM bars) SELECT symbol, {DAY_SQL}, floor(({ewm_sql('e', '(2.0/11)')}) * 1e4 + 0.5003717) / 1e4 AS stl FROM a")
 def ind_stl(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf).withColumn("i", index()).withColumn("e", smoothed(C(), 2 / 11, F.col("i")))
-    return b.select("symbol", day(), r6(smoothed(F.col("e"), 2 / 11, F.col("i")), "stl"))
+    return b.select("symbol", day(), r4(smoothed(F.col("e"), 2 / 11, F.col("i")), "stl"))
 
 
 def long_line() -> Column:
@@ -142,9 +147,9 @@ def long_line() -> Column:
 LTL_SQL = "(" + " + ".join(f"({mean_sql('close', n)})" for n in (14, 28, 57, 114)) + ") / 4"
 
 
-@query("ind_ltl", with_bars(f"SELECT symbol, {DAY_SQL}, round({LTL_SQL}, 6) AS ltl FROM bars"))
+@query("ind_ltl", with_bars(f"SELECT symbol, {DAY_SQL}, floor(({LTL_SQL}) * 1e4 + 0.5003717) / 1e4 AS ltl FROM bars"))
 def ind_ltl(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", day(), r6(long_line(), "ltl"))
+    return bars(spark, sf).select("symbol", day(), r4(long_line(), "ltl"))
 
 
 @query("ind_rolling_ratio", with_bars(f"SELECT symbol, {DAY_SQL}, round(volume / nullif({mean_sql('volume', 20)}, 0), 6) AS volume_ratio20 FROM bars"))
@@ -155,21 +160,21 @@ def ind_rolling_ratio(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "ind_calc_all",
     f"WITH {MACD_SQL} SELECT symbol, {DAY_SQL}, "
-    + ", ".join(f"round({mean_sql('close', n)}, 6) AS ma{n}" for n in (5, 10, 20, 60, 120, 240))
-    + f", round({mean_sql('volume', 5)}, 6) AS volume_ma5, round({mean_sql('volume', 10)}, 6) AS volume_ma10, round(volume / nullif({mean_sql('volume', 20)}, 0), 6) AS volume_ratio20,"
-    f" round({LTL_SQL}, 6) AS ltl, round(dif, 6) AS dif, round(dea, 6) AS dea, round(macd, 6) AS macd FROM m",
+    + ", ".join(f"floor(({mean_sql('close', n)}) * 1e4 + 0.5003717) / 1e4 AS ma{n}" for n in (5, 10, 20, 60, 120, 240))
+    + f", floor(({mean_sql('volume', 5)}) * 1e4 + 0.5003717) / 1e4 AS volume_ma5, floor(({mean_sql('volume', 10)}) * 1e4 + 0.5003717) / 1e4 AS volume_ma10, round(volume / nullif({mean_sql('volume', 20)}, 0), 6) AS volume_ratio20,"
+    f" floor(({LTL_SQL}) * 1e4 + 0.5003717) / 1e4 AS ltl, floor((dif) * 1e4 + 0.5003717) / 1e4 AS dif, floor((dea) * 1e4 + 0.5003717) / 1e4 AS dea, floor((macd) * 1e4 + 0.5003717) / 1e4 AS macd FROM m",
 )
 def ind_calc_all(spark: SparkSession, sf: str) -> DataFrame:
     b = macd(bars(spark, sf))
     return b.select(
         "symbol",
         day(),
-        *(r6(rolling_mean(C(), n), f"ma{n}") for n in (5, 10, 20, 60, 120, 240)),
-        r6(rolling_mean(V(), 5), "volume_ma5"),
-        r6(rolling_mean(V(), 10), "volume_ma10"),
+        *(r4(rolling_mean(C(), n), f"ma{n}") for n in (5, 10, 20, 60, 120, 240)),
+        r4(rolling_mean(V(), 5), "volume_ma5"),
+        r4(rolling_mean(V(), 10), "volume_ma10"),
         r6(rolling_ratio(V(), 20), "volume_ratio20"),
-        r6(long_line(), "ltl"),
-        *(r6(F.col(x), x) for x in ("dif", "dea", "macd")),
+        r4(long_line(), "ltl"),
+        *(r4(F.col(x), x) for x in ("dif", "dea", "macd")),
     )
 
 
@@ -221,7 +226,7 @@ def ind_amount_pctile(spark: SparkSession, sf: str) -> DataFrame:
 FEATURES_SQL = f"""{BARS_SQL}, f0 AS (SELECT *, {_R1} AS r FROM bars),
 f1 AS (SELECT symbol, d, n, close, close / lag(close, 1) OVER s - 1 AS r1, close / lag(close, 5) OVER s - 1 AS r5, close / lag(close, 20) OVER s - 1 AS r20,
   close > {mean_sql('close', 20)} AS above_ma20, close > {mean_sql('close', 60)} AS above_ma60,
-  close >= max(high) OVER (PARTITION BY symbol by_day() BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS new_high,
+  close >= max(high) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS new_high,
   CASE WHEN count(r) OVER v = 20 THEN stddev_samp(r) OVER v * 100 END AS volatility, amount,
   amount / nullif({mean_sql('amount', 20)}, 0) AS amount_ratio
   FROM f0 WINDOW s AS (PARTITION BY symbol ORDER BY d), v AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
@@ -251,7 +256,7 @@ def stock_features(b: DataFrame) -> DataFrame:
 @query("ind_stock_features", f"WITH {FEATURES_SQL} SELECT symbol, {DAY_SQL}, CAST(n AS BIGINT) AS n, close, round(r1, 6) AS r1, round(r5, 6) AS r5, round(r20, 6) AS r20, above_ma20, above_ma60, new_high, round(volatility, 6) AS volatility, round(amount_ratio, 6) AS amount_ratio FROM feat")
 def ind_stock_features(spark: SparkSession, sf: str) -> DataFrame:
     return stock_features(bars(spark, sf)).select(
-        "symbol", DAY, F.col("n").cast("long").alias("n"), "close", *(r6(F.col(x), x) for x in ("r1", "r5", "r20")), "above_ma20", "above_ma60", "new_high",
+        "symbol", day(), F.col("n").cast("long").alias("n"), "close", *(r6(F.col(x), x) for x in ("r1", "r5", "r20")), "above_ma20", "above_ma60", "new_high",
         r6(F.col("volatility"), "volatility"), r6(F.col("amount_ratio"), "amount_ratio"),
     )
 
@@ -261,18 +266,18 @@ def ind_stock_features(spark: SparkSession, sf: str) -> DataFrame:
 _W20 = "(PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 
 
-@query("reg_rolling_std", with_bars(f", q AS (SELECT *, {_R1} AS r FROM bars) SELECT symbol, {DAY_SQL}, round(CASE WHEN count(r) OVER {_W20} = 20 THEN stddev_samp(r) OVER {_W20} END, 8) AS rolling_std, round({mean_sql('close', 20)}, 6) AS sma, round({mean_sql('volume', 20)}, 6) AS volume_ma FROM q"))
+@query("reg_rolling_std", with_bars(f", q AS (SELECT *, {_R1} AS r FROM bars) SELECT symbol, {DAY_SQL}, round(CASE WHEN count(r) OVER {_W20} = 20 THEN stddev_samp(r) OVER {_W20} END, 8) AS rolling_std, floor(({mean_sql('close', 20)}) * 1e4 + 0.5003717) / 1e4 AS sma, floor(({mean_sql('volume', 20)}) * 1e4 + 0.5003717) / 1e4 AS volume_ma FROM q"))
 def reg_rolling_std(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf).withColumn("r", change(C()))
-    return b.select("symbol", day(), F.round(full(F.col("r"), 20, F.stddev_samp), 8).alias("rolling_std"), r6(rolling_mean(C(), 20), "sma"), r6(rolling_mean(V(), 20), "volume_ma"))
+    return b.select("symbol", day(), F.round(full(F.col("r"), 20, F.stddev_samp), 8).alias("rolling_std"), r4(rolling_mean(C(), 20), "sma"), r4(rolling_mean(V(), 20), "volume_ma"))
 
 
 # ---- windows
 
 
-@query("wf_rolling", with_bars(f"SELECT symbol, {DAY_SQL}, CASE WHEN n >= 20 THEN max(high) OVER {_W20} END AS top, CASE WHEN n >= 20 THEN min(low) OVER {_W20} END AS bottom, round({mean_sql('close', 20)}, 6) AS mean FROM bars"))
+@query("wf_rolling", with_bars(f"SELECT symbol, {DAY_SQL}, CASE WHEN n >= 20 THEN max(high) OVER {_W20} END AS top, CASE WHEN n >= 20 THEN min(low) OVER {_W20} END AS bottom, floor(({mean_sql('close', 20)}) * 1e4 + 0.5003717) / 1e4 AS mean FROM bars"))
 def wf_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).select("symbol", day(), full(H(), 20, F.max).alias("top"), full(L(), 20, F.min).alias("bottom"), r6(rolling_mean(C(), 20), "mean"))
+    return bars(spark, sf).select("symbol", day(), full(H(), 20, F.max).alias("top"), full(L(), 20, F.min).alias("bottom"), r4(rolling_mean(C(), 20), "mean"))
 
 
 @query("wf_lag", with_bars(f"SELECT symbol, {DAY_SQL}, lag(close) OVER s AS before, lag(close, 5) OVER s AS before5 FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY d)"))
@@ -295,7 +300,7 @@ def wf_running_max(spark: SparkSession, sf: str) -> DataFrame:
 @query("wf_new_high", with_bars(f"SELECT symbol, {DAY_SQL}, close >= max(high) OVER {_W20} AS new_high, coalesce(close >= max(close) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), false) AS breakout FROM bars"))
 def wf_new_high(spark: SparkSession, sf: str) -> DataFrame:
     return bars(spark, sf).select(
-        "symbol", DAY, (C >= F.max(H).over(ORDER.rowsBetween(-19, 0))).alias("new_high"), F.coalesce(C >= F.max(C).over(ORDER.rowsBetween(-20, -1)), F.lit(False)).alias("breakout")
+        "symbol", day(), (C() >= F.max(H()).over(by_day().rowsBetween(-19, 0))).alias("new_high"), F.coalesce(C() >= F.max(C()).over(by_day().rowsBetween(-20, -1)), F.lit(False)).alias("breakout")
     )
 
 
@@ -366,7 +371,7 @@ jn_ffill = wf_ffill
 @query("sig_triple_cross", f"WITH {MACD_SQL}, q AS (SELECT symbol, d, {mean_sql('close', 5)} AS a, {mean_sql('close', 10)} AS b, dif, dea, {mean_sql('volume', 5)} AS va, {mean_sql('volume', 10)} AS vb FROM m), c AS (SELECT symbol, d, CAST(coalesce(lag(a) OVER s <= lag(b) OVER s AND a > b, false) AS INT) AS x1, CAST(coalesce(lag(dif) OVER s <= lag(dea) OVER s AND dif > dea, false) AS INT) AS x2, CAST(coalesce(lag(va) OVER s <= lag(vb) OVER s AND va > vb, false) AS INT) AS x3 FROM q WINDOW s AS (PARTITION BY symbol ORDER BY d)) SELECT symbol, {DAY_SQL}, CAST(30 * (x1 + x2 + x3) AS BIGINT) AS score, x1 + x2 + x3 = 3 AS fires FROM c WHERE x1 + x2 + x3 > 0")
 def sig_triple_cross(spark: SparkSession, sf: str) -> DataFrame:
     b = macd(bars(spark, sf)).select(
-        "symbol", "d", rolling_mean(C, 5).alias("a"), rolling_mean(C, 10).alias("b"), "dif", "dea", rolling_mean(V, 5).alias("va"), rolling_mean(V, 10).alias("vb")
+        "symbol", "d", rolling_mean(C(), 5).alias("a"), rolling_mean(C(), 10).alias("b"), "dif", "dea", rolling_mean(V(), 5).alias("va"), rolling_mean(V(), 10).alias("vb")
     )
     n = sum((cross_up(F.col(x), F.col(y)).cast("int") for x, y in (("a", "b"), ("dif", "dea"), ("va", "vb"))), F.lit(0))
     return b.withColumn("n", n).where("n > 0").select("symbol", day(), (F.col("n") * 30).cast("long").alias("score"), (F.col("n") == 3).alias("fires"))
@@ -375,7 +380,7 @@ def sig_triple_cross(spark: SparkSession, sf: str) -> DataFrame:
 @query("sig_b2", with_bars(f", q AS (SELECT symbol, d, n, close / lag(close) OVER s - 1 AS gain, max(high) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior, close, volume / nullif({mean_sql('volume', 20)}, 0) AS vr, {mean_sql('close', 20)} AS ma20, min(close) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS low60 FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY d)), z AS (SELECT symbol, d, CASE WHEN gain >= 0.04 THEN 25 ELSE 0 END + CASE WHEN close >= prior THEN 25 ELSE 0 END + CASE WHEN vr >= 1.35 THEN 20 ELSE 0 END + CASE WHEN close > ma20 THEN 10 ELSE 0 END - CASE WHEN close / low60 > 1.8 THEN 15 ELSE 0 END AS score FROM q WHERE n > 60) SELECT symbol, {DAY_SQL}, CAST(greatest(score, 0) AS BIGINT) AS score, score >= 75 AS fires FROM z WHERE score >= 40"))
 def sig_b2(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf).select(
-        "symbol", "d", F.row_number().over(ORDER).alias("n"), change(C).alias("gain"), F.max(H).over(ORDER.rowsBetween(-20, -1)).alias("prior"), "close",
+        "symbol", "d", F.row_number().over(by_day()).alias("n"), change(C()).alias("gain"), F.max(H()).over(by_day().rowsBetween(-20, -1)).alias("prior"), "close",
         rolling_ratio(V(), 20).alias("vr"), rolling_mean(C(), 20).alias("ma20"), F.min(C()).over(by_day().rowsBetween(-59, 0)).alias("low60"),
     )
     parts = [(F.col("gain") >= 0.04, 25), (C() >= F.col("prior"), 25), (F.col("vr") >= 1.35, 20), (C() > F.col("ma20"), 10), (C() / F.col("low60") > 1.8, -15)]

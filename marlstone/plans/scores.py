@@ -19,6 +19,10 @@ def clip_sql(x: str, a: float = 0, b: float = 1) -> str:
     return f"CASE WHEN ({x}) IS NOT NULL THEN greatest({float(a)}, least({float(b)}, ({x}))) END"
 
 
+def r4_sql(x: str) -> str:
+    return f"round(round(round({x}, 9), 9), 4)"
+
+
 # ---- market scores and regimes
 
 
@@ -38,14 +42,14 @@ def scored_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SCORED_SQL = f"""{MARKET_SQL}, sc0 AS (
-  SELECT *, round({clip_sql('50 + 100 * r1', 0, 100)}, 6) AS theme, round(CASE WHEN up + down > 0 THEN up / (up + down) ELSE 0.5 END, 4) AS breadth FROM market
+  SELECT *, round({clip_sql('50 + 100 * r1', 0, 100)}, 6) AS theme, round(round(CASE WHEN up + down > 0 THEN up / (up + down) ELSE 0.5 END, 9), 4) AS breadth FROM market
 ), scored AS (
-  SELECT *, round({clip_sql('0.5 + 2 * r5 + r20')}, 4) AS trend,
-    round({clip_sql('0.7 * theme / 100 + 0.3 * least(limit_up / 50, 1.0)')}, 4) AS crowding,
-    round({clip_sql('1 - abs(theme / 100 - breadth)')}, 4) AS rotation,
-    round({clip_sql('0.5 * CASE WHEN volatility IS NOT NULL THEN greatest(0.0, 1 - 10 * abs(volatility - 0.02)) END + 0.5 * greatest(0.0, 1 - 2 * abs(breadth - 0.5))')}, 4) AS range,
-    round({clip_sql('0.7 * least(4 * abs(drawdown), 1.0) + 0.3 * least(limit_down / 30, 1.0)')}, 4) AS drawdown_risk,
-    round({clip_sql('0.35 * (down / n) + 0.25 * (limit_down / n) + 0.25 * (limit_down / n) + 0.15 * least(big_negative / 10, 1.0)')}, 4) AS retreat
+  SELECT *, round(round({clip_sql('0.5 + 2 * r5 + r20')}, 9), 4) AS trend,
+    round(round({clip_sql('0.7 * theme / 100 + 0.3 * least(limit_up / 50, 1.0)')}, 9), 4) AS crowding,
+    round(round({clip_sql('1 - abs(theme / 100 - breadth)')}, 9), 4) AS rotation,
+    round(round({clip_sql('0.5 * CASE WHEN volatility IS NOT NULL THEN greatest(0.0, 1 - 10 * abs(volatility - 0.02)) END + 0.5 * greatest(0.0, 1 - 2 * abs(breadth - 0.5))')}, 9), 4) AS range,
+    round(round({clip_sql('0.7 * least(4 * abs(drawdown), 1.0) + 0.3 * least(limit_down / 30, 1.0)')}, 9), 4) AS drawdown_risk,
+    round(round({clip_sql('0.35 * (down / n) + 0.25 * (limit_down / n) + 0.25 * (limit_down / n) + 0.15 * least(big_negative / 10, 1.0)')}, 9), 4) AS retreat
   FROM sc0
 )"""
 
@@ -76,8 +80,8 @@ REGIME_SQL = f"""{SCORED_SQL}, ri AS (SELECT d, n, r1, {_IN} FROM scored), rm AS
     ((retreat IS NULL)::INT + (drawdown IS NULL)::INT + 3 * (breadth IS NULL)::INT + (crowding IS NULL)::INT + (range IS NULL)::INT + (rotation IS NULL)::INT) / 8 AS u
   FROM ri
 ), rp AS (
-  SELECT *, round(m1 / (m1+m2+m3+m4+m5+u), 4) AS p1, round(m2 / (m1+m2+m3+m4+m5+u), 4) AS p2, round(m3 / (m1+m2+m3+m4+m5+u), 4) AS p3,
-    round(m4 / (m1+m2+m3+m4+m5+u), 4) AS p4, round(m5 / (m1+m2+m3+m4+m5+u), 4) AS p5, round(u / (m1+m2+m3+m4+m5+u), 4) AS p6 FROM rm
+  SELECT *, round(round(m1 / (m1+m2+m3+m4+m5+u), 9), 4) AS p1, round(round(m2 / (m1+m2+m3+m4+m5+u), 9), 4) AS p2, round(round(m3 / (m1+m2+m3+m4+m5+u), 9), 4) AS p3,
+    round(round(m4 / (m1+m2+m3+m4+m5+u), 9), 4) AS p4, round(round(m5 / (m1+m2+m3+m4+m5+u), 9), 4) AS p5, round(round(u / (m1+m2+m3+m4+m5+u), 9), 4) AS p6 FROM rm
 )"""
 RULE_SQL = """CASE WHEN retreat IS NULL OR drawdown IS NULL OR breadth IS NULL OR crowding IS NULL THEN 'UNKNOWN' WHEN retreat >= 0.65 THEN 'high_position_retreat'
  WHEN drawdown >= 0.6 AND breadth <= 0.35 THEN 'downtrend' WHEN crowding >= 0.72 THEN 'crowding' WHEN breadth BETWEEN 0.35 AND 0.6 THEN 'range' ELSE 'rotation' END"""
@@ -103,7 +107,7 @@ _B = ", ".join(f"0.75 * p{k} + 0.25 * {h} AS b{k}" for k, h in ((1, "0"), (2, "(
 _TOTAL = "(b1+b2+b3+b4+b5+b6)"
 
 
-@query("sc_regime_blend", f"WITH {REGIME_SQL}, bl AS (SELECT d, {_B} FROM rp) SELECT {DAY_SQL}, " + ", ".join(f"round(b{k} / {_TOTAL}, 4) AS p{k}" for k in range(1, 7)) + " FROM bl")
+@query("sc_regime_blend", f"WITH {REGIME_SQL}, bl AS (SELECT d, {_B} FROM rp) SELECT {DAY_SQL}, " + ", ".join(f"floor(b{k} / {_TOTAL} * 10000 + 0.5 + 1e-6) / 10000 AS p{k}" for k in range(1, 7)) + " FROM bl")
 def sc_regime_blend(spark: SparkSession, sf: str) -> DataFrame:
     p = S.regime_probabilities(inputs())
     days = scored_days(spark, sf).select("d", "r1", *(c.alias(k) for k, c in p.items()))
@@ -125,7 +129,7 @@ def sc_regime_v2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sc_quality_gate", f"""WITH {MARKET_SQL}, q AS (SELECT d, n / 100.0 AS cover, r20 IS NOT NULL AS has_index, (n % 10) / 10.0 AS member, up + down > 0 AS has_limit FROM market),
  f AS (SELECT *, CASE WHEN cover >= 0.9 THEN 0 WHEN cover >= 0.7 THEN 1 ELSE 2 END AS a, CASE WHEN has_index THEN 0 ELSE 2 END AS b, CASE WHEN member >= 0.8 THEN 0 WHEN member >= 0.6 THEN 1 ELSE 2 END AS c, CASE WHEN has_limit THEN 0 ELSE 1 END AS e FROM q)
- SELECT {DAY_SQL}, CASE greatest(a, b, c, e) WHEN 0 THEN 'OK' WHEN 1 THEN 'DEGRADED' ELSE 'INSUFFICIENT' END AS status, round(((a = 0)::INT + (b = 0)::INT + (c = 0)::INT + (e = 0)::INT) / 4, 4) AS score,
+ SELECT {DAY_SQL}, CASE greatest(a, b, c, e) WHEN 0 THEN 'OK' WHEN 1 THEN 'DEGRADED' ELSE 'INSUFFICIENT' END AS status, round(round(((a = 0)::INT + (b = 0)::INT + (c = 0)::INT + (e = 0)::INT) / 4, 9), 4) AS score,
  array_to_string(list_filter([CASE WHEN b > 0 THEN 'INDEX_MISSING' END, CASE WHEN e > 0 THEN 'LIMIT_METADATA_MISSING' END, CASE WHEN c > 0 THEN 'MEMBERSHIP_COVERAGE_LOW' END, CASE WHEN a > 0 THEN 'QUOTE_COVERAGE_LOW' END], lambda x: x IS NOT NULL), ',') AS flags FROM f""")
 def sc_quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     m = market_days(spark, sf)
@@ -152,7 +156,7 @@ def _scores(*names: str) -> dict[str, Column]:
 _OPP = " + ".join(f"{w} * coalesce({k}, 50.0)" for w, k in S.OPPORTUNITY)
 
 
-@query("sc_opportunity_score", f"WITH {CANDIDATES_SQL} SELECT symbol, round({clip_sql(_OPP, 0, 100)}, 4) AS score, (theme_score IS NULL)::BIGINT + (technical_score IS NULL)::BIGINT + (factor_score IS NULL)::BIGINT + (regime_fit_score IS NULL)::BIGINT + (knowledge_score IS NULL)::BIGINT + (risk_score IS NULL)::BIGINT AS n_missing FROM cand")
+@query("sc_opportunity_score", f"WITH {CANDIDATES_SQL} SELECT symbol, round(round({clip_sql(_OPP, 0, 100)}, 9), 4) AS score, (theme_score IS NULL)::BIGINT + (technical_score IS NULL)::BIGINT + (factor_score IS NULL)::BIGINT + (regime_fit_score IS NULL)::BIGINT + (knowledge_score IS NULL)::BIGINT + (risk_score IS NULL)::BIGINT AS n_missing FROM cand")
 def sc_opportunity_score(spark: SparkSession, sf: str) -> DataFrame:
     names = [k for _, k in S.OPPORTUNITY]
     missing = sum((C(k).isNull().cast("long") for k in names), F.lit(0).cast("long"))
@@ -227,7 +231,7 @@ def sc_conflict_action(spark: SparkSession, sf: str) -> DataFrame:
     return candidates(spark, sf).select("symbol", action.alias("action"))
 
 
-@query("sc_explanation_score", f"WITH {CANDIDATES_SQL} SELECT symbol, round(greatest(0.0, least(100.0, 40.0 + 10 * (symbol % 5) + 10 * (symbol % 3) + CASE WHEN suspended THEN 0 ELSE 20 END)), 6) AS score FROM cand")
+@query("sc_explanation_score", f"WITH {CANDIDATES_SQL} SELECT symbol, round(greatest(0.0, least(100.0, 40.0 + 10 * (symbol % 5) + 10 * (symbol % 3) + CASE WHEN suspended THEN 0 ELSE 20 END)), 6)::DOUBLE AS score FROM cand")
 def sc_explanation_score(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence and risks count ten each, a stated invalidation twenty, over a base of forty."""
     return candidates(spark, sf).select("symbol", F.round(S.clip(40.0 + 10 * (C("symbol") % 5) + 10 * (C("symbol") % 3) + F.when(C("suspended"), 0).otherwise(20), 0, 100), 6).alias("score"))
@@ -243,7 +247,7 @@ def sc_evidence_refs(spark: SparkSession, sf: str) -> DataFrame:
     return candidates(spark, sf).select("symbol", F.array_join(refs, "|").alias("refs"))
 
 
-@query("sc_realtime_overlay", f"WITH {CANDIDATES_SQL}, live AS (SELECT user_id AS symbol, round(sum(value) / count(*) / 1000, 6) AS return_5m FROM events GROUP BY user_id), t AS (SELECT symbol, round({clip_sql('technical_score + coalesce(return_5m, 0) * 100', 0, 100)}, 4) AS technical FROM cand LEFT JOIN live USING (symbol)) SELECT symbol, technical, row_number() OVER (ORDER BY technical DESC NULLS LAST, symbol) AS rank FROM t")
+@query("sc_realtime_overlay", f"WITH {CANDIDATES_SQL}, live AS (SELECT user_id AS symbol, round(sum(value) / count(*) / 1000, 6) AS return_5m FROM events GROUP BY user_id), t AS (SELECT symbol, round(round({clip_sql('technical_score + coalesce(return_5m, 0) * 100', 0, 100)}, 9), 4) AS technical FROM cand LEFT JOIN live USING (symbol)) SELECT symbol, technical, row_number() OVER (ORDER BY technical DESC NULLS LAST, symbol) AS rank FROM t")
 def sc_realtime_overlay(spark: SparkSession, sf: str) -> DataFrame:
     live = table(spark, sf, "events").groupBy(C("user_id").alias("symbol")).agg(F.round(F.sum("value") / F.count("*") / 1000, 6).alias("return_5m"))
     t = candidates(spark, sf).join(live, "symbol", "left").select("symbol", S.r4(S.clip(C("technical_score") + F.coalesce("return_5m", F.lit(0.0)) * 100, 0, 100)).alias("technical"))
@@ -375,18 +379,18 @@ def sc_limit_price(spark: SparkSession, sf: str) -> DataFrame:
     return limit_rows(spark, sf).select("p_partkey", finite(up).alias("upper"), finite(down).alias("lower"))
 
 
-@query("pr_can_trade", f"WITH {LIMIT_SQL}, q AS (SELECT p_partkey, rate, p_retailprice, round(p_retailprice * (1 + (p_partkey % 41 - 20) / 100.0), 2) AS px, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE (p_partkey % 19)::DOUBLE END AS volume FROM lr) SELECT p_partkey, coalesce(volume, 0) <= 0 AS suspended, rate IS NULL OR px < round(floor((p_retailprice * (1 + rate)) * 100 + 0.5 + 1e-7) / 100, 2) AS can_buy, rate IS NULL OR px > round(floor((p_retailprice * (1 - rate)) * 100 + 0.5 + 1e-7) / 100, 2) AS can_sell FROM q")
+@query("pr_can_trade", f"WITH {LIMIT_SQL}, q AS (SELECT p_partkey, rate, p_retailprice, floor(p_retailprice * (1 + (p_partkey % 41 - 20) / 100::DOUBLE) * 100 + 0.5 + 1e-7) / 100 AS px, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE (p_partkey % 19)::DOUBLE END AS volume FROM lr) SELECT p_partkey, coalesce(volume, 0) <= 0 AS suspended, rate IS NULL OR px < round(floor((p_retailprice * (1 + rate)) * 100 + 0.5 + 1e-7) / 100, 2) AS can_buy, rate IS NULL OR px > round(floor((p_retailprice * (1 - rate)) * 100 + 0.5 + 1e-7) / 100, 2) AS can_sell FROM q")
 def pr_can_trade(spark: SparkSession, sf: str) -> DataFrame:
     k = C("p_partkey")
-    px = F.round(C("p_retailprice") * (1 + (k % 41 - 20) / 100.0), 2)
+    px = F.round(F.round(C("p_retailprice") * (1 + (k % 41 - 20) / 100.0), 9), 2)
     up, down = X.limit_prices(C("p_retailprice"), C("rate"), F.lit(0.01))
     volume = F.when(k % 17 != 0, (k % 19).cast("double"))
     return limit_rows(spark, sf).select("p_partkey", X.suspended(volume).alias("suspended"), X.can_buy(px, up).alias("can_buy"), X.can_sell(px, down).alias("can_sell"))
 
 
-@query("sc_trade_cost", "SELECT o_orderkey, round(greatest(o_totalprice * 0.00025, 5.0) + CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 0.0005 ELSE 0.0 END + o_totalprice * 0.001, 6) AS cost FROM orders")
+@query("sc_trade_cost", "SELECT o_orderkey, round(greatest(o_totalprice * 0.00025, 5.0) + CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 0.0005 ELSE 0.0 END + o_totalprice * 0.001, 8) AS cost FROM orders")
 def sc_trade_cost(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", F.round(X.trade_cost(C("o_totalprice"), C("o_orderkey") % 2 == 0), 6).alias("cost"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(X.trade_cost(C("o_totalprice"), C("o_orderkey") % 2 == 0), 8).alias("cost"))
 
 
 @query("sc_tick_size", "SELECT p_partkey, coalesce(CASE WHEN p_size % 4 > 0 THEN p_size % 4 / 100.0 END, CASE WHEN p_partkey % 3 = 1 THEN 0.005 END, 0.01)::DOUBLE AS tick FROM part")
