@@ -1,3 +1,3 @@
 """Named queries over the test tables."""
 
-from marlstone.plans import joins, market, scores  # noqa: F401
+from marlstone.plans import decisions, joins, market, scores, sectors  # noqa: F401
