@@ -122,14 +122,14 @@ def jn_execution_chain(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("intent_id", F.coalesce("fills", F.lit(0)).alias("fills"), F.coalesce("filled", F.lit(0.0)).alias("filled"), "status")
 
 
-_DENSE = "SELECT doc_id AS chunk_id, round((doc_id * 7 % 101) / 101.0, 6) AS score FROM documents WHERE doc_id % 3 <> 0"
-_SPARSE = "SELECT doc_id AS chunk_id, round((doc_id * 13 % 97) / 97.0, 6) AS score FROM documents WHERE doc_id % 4 <> 0"
+_DENSE = "SELECT doc_id AS chunk_id, round((doc_id * 7 % 101) / 101.0, 6) AS score FROM documents WHERE lang <> 'fr'"
+_SPARSE = "SELECT doc_id AS chunk_id, round((doc_id * 13 % 97) / 97.0, 6) AS score FROM documents WHERE n_chars >= 800"
 
 
 def recall_branches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    k, d = C("doc_id"), table(spark, sf, "documents").select("doc_id")
-    dense = d.where(k % 3 != 0).select(k.alias("chunk_id"), F.round((k * 7 % 101) / 101.0, 6).alias("score"))
-    return dense, d.where(k % 4 != 0).select(k.alias("chunk_id"), F.round((k * 13 % 97) / 97.0, 6).alias("score"))
+    k, d = C("doc_id"), table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    dense = d.where("lang <> 'fr'").select(k.alias("chunk_id"), F.round((k * 7 % 101) / 101.0, 6).alias("score"))
+    return dense, d.where("n_chars >= 800").select(k.alias("chunk_id"), F.round((k * 13 % 97) / 97.0, 6).alias("score"))
 
 
 @query("jn_recall_merge", f"SELECT coalesce(d.chunk_id, s.chunk_id) AS chunk_id, coalesce(d.score, s.score) AS score, d.score AS dense_score, s.score AS sparse_score, CASE WHEN d.chunk_id IS NULL THEN 'sparse' WHEN s.chunk_id IS NULL THEN 'dense' ELSE 'dense,sparse' END AS sources FROM ({_DENSE}) d FULL JOIN ({_SPARSE}) s ON d.chunk_id = s.chunk_id")
@@ -145,44 +145,44 @@ def merge_recall(dense: DataFrame, sparse: DataFrame, key: str = "chunk_id") ->
     return d.join(s, key, "full").select(key, F.coalesce("dense_score", "sparse_score").alias("score"), "dense_score", "sparse_score", sources.alias("sources"))
 
 
-@query("jn_hydrate", f"SELECT chunk_id, score, lang, source, n_chars FROM ({_DENSE}) h LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) d ON doc_id = chunk_id")
+@query("jn_hydrate", f"SELECT chunk_id, score, lang, source, n_chars FROM ({_DENSE}) h LEFT JOIN (SELECT * FROM documents WHERE source <> 'src3') d ON doc_id = chunk_id")
 def jn_hydrate(spark: SparkSession, sf: str) -> DataFrame:
     dense, _ = recall_branches(spark, sf)
-    d = table(spark, sf, "documents").where("doc_id % 5 <> 0").select(C("doc_id").alias("chunk_id"), "lang", "source", "n_chars")
+    d = table(spark, sf, "documents").where("source <> 'src3'").select(C("doc_id").alias("chunk_id"), "lang", "source", "n_chars")
     return dense.join(d, "chunk_id", "left").select("chunk_id", "score", "lang", "source", "n_chars")
 
 
-@query("jn_memory_vector", "SELECT d.doc_id, source, quality FROM documents d JOIN labels l USING (doc_id) WHERE lang = 'en' AND quality = 1 AND d.doc_id % 2 = 0 ORDER BY n_chars DESC, doc_id LIMIT 50")
+@query("jn_memory_vector", "SELECT d.doc_id, source, quality FROM documents d JOIN labels l USING (doc_id) WHERE lang = 'en' AND quality = 1 ORDER BY n_chars DESC, doc_id LIMIT 50")
 def jn_memory_vector(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("lang = 'en' and doc_id % 2 = 0").select("doc_id", "source", "n_chars")
+    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "source", "n_chars")
     j = d.join(table(spark, sf, "labels").where("quality = 1").select("doc_id", "quality"), "doc_id")
     return j.orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", "source", "quality")
 
 
-@query("jn_symbol_state", "SELECT coalesce(p.symbol, c.symbol) AS symbol, p.score, coalesce(c.weight, 0) AS weight, coalesce(p.theme, c.theme) AS theme FROM (SELECT p_partkey AS symbol, p_brand AS theme, p_size::DOUBLE AS score FROM part WHERE p_partkey % 2 = 0) p FULL JOIN (SELECT c_custkey AS symbol, c_mktsegment AS theme, round(c_acctbal / 1e5, 4) AS weight FROM customer WHERE c_acctbal > 0) c ON p.symbol = c.symbol")
+@query("jn_symbol_state", "SELECT coalesce(p.symbol, c.symbol) AS symbol, p.score, coalesce(c.weight, 0) AS weight, coalesce(p.theme, c.theme) AS theme FROM (SELECT p_partkey AS symbol, p_brand AS theme, p_size::DOUBLE AS score FROM part WHERE p_size > 25) p FULL JOIN (SELECT c_custkey AS symbol, c_mktsegment AS theme, round(c_acctbal / 1e5, 4) AS weight FROM customer WHERE c_acctbal > 0) c ON p.symbol = c.symbol")
 def jn_symbol_state(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey % 2 = 0").select(C("p_partkey").alias("symbol"), C("p_brand").alias("t1"), C("p_size").cast("double").alias("score"))
+    p = table(spark, sf, "part").where("p_size > 25").select(C("p_partkey").alias("symbol"), C("p_brand").alias("t1"), C("p_size").cast("double").alias("score"))
     c = table(spark, sf, "customer").where("c_acctbal > 0").select(C("c_custkey").alias("symbol"), C("c_mktsegment").alias("t2"), F.round(C("c_acctbal") / 1e5, 4).alias("weight"))
     return p.join(c, "symbol", "full").select("symbol", "score", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("t1", "t2").alias("theme"))
 
 
-@query("jn_alpha_merge", "WITH a AS (SELECT p_partkey AS symbol, p_retailprice AS alpha, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS k, count(*) OVER () AS n FROM part WHERE p_partkey % 3 = 0) SELECT p_partkey AS symbol, p_size AS base, alpha, coalesce(k <= greatest(1, n // 10), false) AS top_alpha FROM part LEFT JOIN a ON symbol = p_partkey")
+@query("jn_alpha_merge", "WITH a AS (SELECT p_partkey AS symbol, p_retailprice AS alpha, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS k, count(*) OVER () AS n FROM part WHERE p_retailprice > 1000) SELECT p_partkey AS symbol, p_size AS base, alpha, coalesce(k <= greatest(1, n // 10), false) AS top_alpha FROM part LEFT JOIN a ON symbol = p_partkey")
 def jn_alpha_merge(spark: SparkSession, sf: str) -> DataFrame:
     from marlstone.plans.scores import ranked
 
     p = table(spark, sf, "part")
-    a = p.where("p_partkey % 3 = 0").select(C("p_partkey").alias("symbol"), C("p_retailprice").alias("alpha"))
+    a = p.where("p_retailprice > 1000").select(C("p_partkey").alias("symbol"), C("p_retailprice").alias("alpha"))
     n = a.agg(F.count("*").alias("n"))
     a = ranked(a, F.desc("alpha"), C("symbol")).join(F.broadcast(n))
     out = p.select(C("p_partkey").alias("symbol"), C("p_size").alias("base")).join(a, "symbol", "left")
     return out.select("symbol", "base", "alpha", F.coalesce(C("rank") <= F.greatest(F.lit(1), F.floor(C("n") / 10)), F.lit(False)).alias("top_alpha"))
 
 
-@query("jn_replay_diff", "WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS action FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS action FROM orders WHERE o_orderkey % 11 <> 0) SELECT coalesce(a.id, b.id) AS id, a.action AS stored, b.action AS replayed FROM a FULL JOIN b ON a.id = b.id WHERE a.action IS DISTINCT FROM b.action")
+@query("jn_replay_diff", "WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS action FROM orders WHERE o_orderpriority <> '5-LOW'), b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS action FROM orders WHERE o_totalprice > 100000) SELECT coalesce(a.id, b.id) AS id, a.action AS stored, b.action AS replayed FROM a FULL JOIN b ON a.id = b.id WHERE a.action IS DISTINCT FROM b.action")
 def jn_replay_diff(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(C("o_orderkey").alias("id"), "o_orderstatus")
-    a = o.where("id % 10 <> 0").select("id", C("o_orderstatus").alias("stored"))
-    b = o.where("id % 11 <> 0").select("id", F.when(C("id") % 7 == 0, "X").otherwise(C("o_orderstatus")).alias("replayed"))
+    o = table(spark, sf, "orders").select(C("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority", "o_totalprice")
+    a = o.where("o_orderpriority <> '5-LOW'").select("id", C("o_orderstatus").alias("stored"))
+    b = o.where("o_totalprice > 100000").select("id", F.when(C("id") % 7 == 0, "X").otherwise(C("o_orderstatus")).alias("replayed"))
     return a.join(b, "id", "full").where(~C("stored").eqNullSafe(C("replayed")))
 
 
@@ -225,13 +225,13 @@ _DOT = "list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_
 _NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 
-@query("jn_dense_topk", f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND b.label < 8) SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
+@query("jn_dense_topk", f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
 def jn_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     from marlstone.operators.retrieval import dense_top_k
 
     e = table(spark, sf, "embeddings")
-    asked = e.where("vec_id % 25 = 0").select(C("vec_id").alias("query_id"), "embedding")
-    return dense_top_k(asked, e.where("label < 8").select("vec_id", "embedding"), 10)
+    asked = e.where("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), "embedding")
+    return dense_top_k(asked, e.select("vec_id", "embedding"), 10)
 
 
 # ---- sets
@@ -284,11 +284,11 @@ def dt_market_clock(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.date_format("local", "yyyy-MM-dd HH:mm").alias("local"), late.alias("after_close"), F.date_format(F.date_add(F.to_date("local"), late.cast("int")), "yyyy-MM-dd").alias("usable_from"))
 
 
-@query("dt_horizons", f"WITH {CALENDAR_SQL}, h AS (SELECT o_orderkey AS decision_id, CAST(o_orderdate AS DATE) AS d, unnest([1, 5, 20]) AS horizon FROM orders WHERE o_orderkey % 10 = 0), a AS (SELECT h.*, (SELECT max(i) FROM cal WHERE cal.d <= h.d) AS i FROM h) SELECT decision_id, horizon, strftime(cal.d, '%Y-%m-%d') AS due FROM a LEFT JOIN cal ON cal.i = a.i + horizon")
+@query("dt_horizons", f"WITH {CALENDAR_SQL}, h AS (SELECT o_orderkey AS decision_id, CAST(o_orderdate AS DATE) AS d, unnest([1, 5, 20]) AS horizon FROM orders), dd AS (SELECT d, (SELECT max(i) FROM cal WHERE cal.d <= x.d) AS i FROM (SELECT DISTINCT d FROM h) x), a AS (SELECT h.*, i FROM h JOIN dd USING (d)) SELECT decision_id, horizon, strftime(cal.d, '%Y-%m-%d') AS due FROM a LEFT JOIN cal ON cal.i = a.i + horizon")
 def dt_horizons(spark: SparkSession, sf: str) -> DataFrame:
-    """Due sessions of each decision: the query concerns a tenth of the orders by definition."""
+    """Due sessions of each decision at its horizons."""
     cal = calendar(spark, sf)
-    d = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(C("o_orderkey").alias("decision_id"), F.to_date("o_orderdate").alias("d"))
+    d = table(spark, sf, "orders").select(C("o_orderkey").alias("decision_id"), F.to_date("o_orderdate").alias("d"))
     known = cal.select(C("d").alias("t"), "i", F.lit(0).alias("_all"))
     days = as_of(d.select("d").distinct().withColumn("_all", F.lit(0)), known, "_all", "d", "t", ["t"], ["i"]).select("d", "i")
     h = d.join(F.broadcast(days), "d").select("decision_id", F.explode(F.array(F.lit(1), F.lit(5), F.lit(20))).alias("horizon"), "i")
