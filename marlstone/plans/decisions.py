@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from marlstone.functions import scores as S
 from marlstone.operators import portfolio as PF
 from marlstone.operators.joins import as_of
+from marlstone.operators.ordering import ranked
 from marlstone.plans.joins import WINDOWS_SQL, text_day, windows
-from marlstone.plans.scores import _OPP, REJECT_SQL, clip_sql, ranked, rejections
+from marlstone.plans.scores import _OPP, REJECT_SQL, clip_sql, rejections
 from marlstone.plans.sectors import snap, snap_sql
 from marlstone.registry import query
 from marlstone.sources.tables import BARS_SQL, CANDIDATES_SQL, bars, candidates, table

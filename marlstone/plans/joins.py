@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.parsing import statutory_deadline
 from marlstone.operators.joins import as_of, in_force, intervals_of, latest_per
+from marlstone.operators.ordering import ranked
+from marlstone.operators.retrieval import dense_top_k
 from marlstone.registry import query
 from marlstone.sources.tables import BARS_SQL, DECISIONS_SQL, MEMBERSHIP_SQL, bars, decisions, membership, table
 
@@ -168,8 +170,6 @@ def jn_symbol_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("jn_alpha_merge", "WITH a AS (SELECT p_partkey AS symbol, p_retailprice AS alpha, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS k, count(*) OVER () AS n FROM part WHERE p_retailprice > 1000) SELECT p_partkey AS symbol, p_size AS base, alpha, coalesce(k <= greatest(1, n // 10), false) AS top_alpha FROM part LEFT JOIN a ON symbol = p_partkey")
 def jn_alpha_merge(spark: SparkSession, sf: str) -> DataFrame:
-    from marlstone.plans.scores import ranked
-
     p = table(spark, sf, "part")
     a = p.where("p_retailprice > 1000").select(C("p_partkey").alias("symbol"), C("p_retailprice").alias("alpha"))
     n = a.agg(F.count("*").alias("n"))
@@ -227,8 +227,6 @@ _NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DO
 
 @query("jn_dense_topk", f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
 def jn_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    from marlstone.operators.retrieval import dense_top_k
-
     e = table(spark, sf, "embeddings")
     asked = e.where("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), "embedding")
     return dense_top_k(asked, e.select("vec_id", "embedding"), 10)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import parsing as P
 from marlstone.functions import prices as X
 from marlstone.functions import scores as S
+from marlstone.operators.ordering import ranked
 from marlstone.plans.market import DAY_SQL, day
 from marlstone.registry import query
 from marlstone.sources.tables import CANDIDATES_SQL, MARKET_SQL, candidates, market_days, table
@@ -254,20 +255,6 @@ def sc_realtime_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(t, F.desc_nulls_last("technical"), C("symbol"))
 
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    """``rank`` from 1 over the whole table in that total order, without one task that sorts all rows.
-
-    Rows are sorted over range partitions; each partition's rows are numbered on from the sizes of those before it.
-    """
-    from pyspark.sql import Window
-
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # one row a partition
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return parts.withColumn("_k", own).join(F.broadcast(before), "_p").withColumn("rank", (C("_k") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_p", "_k", "_n", "_before")
-
-
 # ---- parsing
 
 
