@@ -1,3 +1,3 @@
 """Named queries over the test tables."""
 
-from marlstone.plans import backtests, decisions, joins, market, retrieval, scores, sectors  # noqa: F401
+from marlstone.plans import backtests, decisions, joins, market, retrieval, scores, sectors, streams  # noqa: F401
