@@ -69,7 +69,7 @@ def sector_aggregate(features: DataFrame) -> DataFrame:
 # ---- live
 
 LIVE_SCHEMA = "symbol long, event_time timestamp, last double, return_1m double, vwap double, n long"
-STATE_SCHEMA = "times array<double>, lasts array<double>, volume double, amount double, n long"
+STATE_SCHEMA = "times array<bigint>, lasts array<double>, volume double, amount double, n long"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,15 +78,15 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     times, lasts = list(times), list(lasts)
     for b in batches:
         b = b.sort_values(["event_time", "event_id"])
-        times += [t.timestamp() for t in b["event_time"]]
+        times += [t.value // 1000 for t in b["event_time"]]  # microseconds
         lasts += b["last"].tolist()
         volume, amount, n = volume + float(b["volume"].sum()), amount + float(b["amount"].sum()), n + len(b)
     times, lasts = times[-KEPT:], lasts[-KEPT:]
     state.update((times, lasts, volume, amount, n))
-    before = [p for t, p in zip(times, lasts, strict=True) if times[-1] - t >= 60]
+    before = [p for t, p in zip(times, lasts, strict=True) if times[-1] - t >= 60_000_000]
     yield pd.DataFrame(
         {
-            "symbol": [key[0]], "event_time": [pd.Timestamp(times[-1], unit="s")], "last": [lasts[-1]], "return_1m": [lasts[-1] / before[-1] - 1 if before else None],
+            "symbol": [key[0]], "event_time": [pd.Timestamp(times[-1], unit="us")], "last": [lasts[-1]], "return_1m": [lasts[-1] / before[-1] - 1 if before else None],
             "vwap": [amount / volume if volume else lasts[-1]], "n": [n],
         }
     )
