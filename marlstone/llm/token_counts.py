@@ -23,8 +23,10 @@ from marlstone.llm.session import map_texts
 
 #: Characters in a chunk of a long text.
 CHUNK = 65_536
-#: States and remembered runs kept at most; when there are more, the worker compiles anew.
-STATES, RUNS, RUN_LENGTH = 150_000, 300_000, 48
+#: States kept at most; when there are more, the worker compiles anew.
+STATES = 350_000
+#: Remembered runs of the current generation; when there are so many, they become the old one, whose runs return when met.
+RUNS, RUN_LENGTH = 400_000, 48
 
 RUN = regex.compile(f"[^{SPACE}]+")
 CLASS = regex.compile(r"(\p{L})|(\p{N})|.", regex.DOTALL)
@@ -54,6 +56,9 @@ class Transducer:
                 at = self.trie[at][s]
             self.token[at] = i
         self.marks_end = bool(words.suffix)
+        self.kinds: dict[str, str] = {}
+        self.runs: dict[str, int] = {}  # counts of runs don't depend on state numbers
+        self.old: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -61,7 +66,6 @@ class Transducer:
         self.number: dict[tuple, int] = {}
         self.step: list[dict[str, tuple[int, int]]] = []
         self.end: list[int | None] = []
-        self.runs: dict[str, int] = {}
         self._state(("", None, -1))
 
     def _state(self, key: tuple) -> int:
@@ -123,8 +127,10 @@ class Transducer:
             else:
                 live, pending, _ = self._bytes(None, -1, "'")
                 mode = "others"
-        m = CLASS.fullmatch(c)
-        kind = "letters" if m[1] else "digit" if m[2] else "others"
+        kind = self.kinds.get(c)
+        if kind is None:
+            m = CLASS.fullmatch(c)
+            kind = self.kinds[c] = "letters" if m[1] else "digit" if m[2] else "others"
         if mode and mode != kind or kind == "digit":
             out += self._close(live, pending)
             mode, live, pending = "", None, -1
@@ -166,12 +172,21 @@ class Transducer:
         """Tokens of a run from white space to white space: the composed map of its characters, remembered."""
         k = self.runs.get(text)
         if k is None:
-            q, k = self.advance(0, text)
-            k += self.close(q)
+            k = self.old.get(text)
+            if k is None:
+                q, k = self.advance(0, text)
+                k += self.close(q)
             if len(text) <= RUN_LENGTH:
                 self.runs[text] = k
         return k
 
+    def tidy(self) -> None:
+        """Between texts: keep what is remembered within its bounds."""
+        if len(self.states) > STATES:
+            self.reset()
+        if len(self.runs) > RUNS:
+            self.old, self.runs = self.runs, {}
+
 
 @dataclass(frozen=True)
 class ChunkMap:
@@ -234,8 +249,7 @@ class Counter:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        if len(self.machine.states) > STATES or len(self.machine.runs) > RUNS:
-            self.machine.reset()
+        self.machine.tidy()
         chunks = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
         return prefix_scan(self.machine, [chunk_map(self.machine, c) for c in chunks])
 
