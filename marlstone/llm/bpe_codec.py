@@ -22,7 +22,7 @@ class Codec:
         encoder = prefix_encoder(path)
         words = vocabulary(path)
         self.special = words.special
-        self.cache = UnitCache(lambda w: encoder.encode(w.encode()), words.special)
+        self.cache = UnitCache(lambda ws: [encoder.encode(w.encode()) for w in ws], words.special)
         top = max([*words.bytes, *words.special.values()]) + 1
         self.text_of: list[bytes] = [b""] * top
         for i, b in words.bytes.items():

@@ -10,6 +10,7 @@ is dealt again over one window more.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -105,14 +106,37 @@ class Packer:
         return rows
 
 
+class LibraryWords:
+    """Ids of words by the tokenizers library. Words of a space and letters are encoded as one text: the split cuts before
+    each space, and of a word's tokens the first alone begins with one."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.opens = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        self.opens[[i for t, i in tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True  # the byte alphabet's space
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        joined = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        if not joined:
+            return [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, dtype=np.int64)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(joined):
+            return [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        flat, ends = ids.tolist(), [*starts[1:].tolist(), len(ids)]
+        own = dict(zip(joined, (flat[a:b] for a, b in zip(starts.tolist(), ends, strict=True)), strict=True))
+        return [own[w] if w in own else self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+
 @lru_cache(maxsize=2)
 def library_ids(path: str) -> UnitCache:
     """Ids by the tokenizers library, word by word: the split's words are encoded apart from each other anyway."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     t = Tokenizer.from_file(path)
     special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
     t.no_truncation()
     t.no_padding()
-    return UnitCache(lambda w: t.encode(w, add_special_tokens=False).ids, special)
+    return UnitCache(LibraryWords(t).encode, special)
 
 
 def pack_documents(

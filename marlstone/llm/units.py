@@ -15,8 +15,8 @@ WORDS = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-#: Pieces kept at most; when there are more, the worker forgets all and goes on.
-KEPT = 400_000
+#: Pieces of the current generation; when there are so many, they become the old one, whose pieces return when met.
+KEPT = 500_000
 #: Longer pieces are not kept.
 KEPT_LENGTH = 48
 
@@ -30,45 +30,67 @@ def pack(ids: list[int]) -> bytes:
 
 
 class UnitCache:
-    """Ids of texts as little-endian unsigned 32-bit integers. ``encode_word`` gives the ids of one word of the split.
+    """Ids of texts as little-endian unsigned 32-bit integers. ``encode_words`` gives the ids of each of some words of the
+    split.
 
     A single space between other characters always begins a word, so a text is first cut there and each piece is looked
     up whole; only unknown pieces are split into words. Texts with two spaces in a row are split as a whole.
     """
 
-    def __init__(self, encode_word: Callable[[str], list[int]], special: dict[str, int]):
-        self.encode_word, self.special = encode_word, special
-        self.spaced: dict[str, bytes] = {}  # pieces that follow a space
-        self.words: dict[str, bytes] = {}
+    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], special: dict[str, int]):
+        self.encode_words, self.special = encode_words, special
+        self.known: dict[str, bytes] = {}  # by word; a word that a space begins is found without it, by piece
+        self.old: dict[str, bytes] = {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
-    def _split(self, text: str) -> bytes:
-        known, parts = self.words, []
-        for w in words(text):
-            ids = known.get(w)
-            if ids is None:
-                ids = pack(self.encode_word(w))
-                if len(w) <= KEPT_LENGTH:
-                    known[w] = ids
-            parts.append(ids)
-        return b"".join(parts)
-
-    def _plain(self, text: str) -> bytes:
-        if len(self.words) > KEPT:
-            self.words.clear()
-        if "  " in text:
-            return self._split(text)
-        first, *pieces = text.split(" ")
-        known = self.spaced
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each of which is one word or several; unknown words are encoded together."""
+        known = self.known
         if len(known) > KEPT:
-            known.clear()
+            self.old, self.known = known, {}
+            known = self.known
         parts = list(map(known.get, pieces))
-        for k in [k for k, p in enumerate(parts) if p is None]:
+        missing = [k for k, p in enumerate(parts) if p is None]
+        if not missing:
+            return parts
+        old, asked = self.old, {}
+        for k in missing:
             piece = pieces[k]
-            parts[k] = self._split(" " + piece)
+            p = old.get(piece)
+            if p is not None:
+                parts[k] = known[piece] = p
+            else:
+                asked[piece] = None
+        if not asked:
+            return parts
+        split = {piece: words(piece) for piece in asked}
+        fresh = list(dict.fromkeys(w for own in split.values() for w in own if w not in known and w not in old))
+        ids = dict(zip(fresh, map(pack, self.encode_words(fresh)), strict=True)) if fresh else {}
+        for piece, own in split.items():
+            got = []
+            for w in own:
+                p = ids.get(w)
+                if p is None:
+                    p = known.get(w)
+                    if p is None:
+                        p = old[w]
+                got.append(p)
+            asked[piece] = p = got[0] if len(got) == 1 else b"".join(got)
             if len(piece) <= KEPT_LENGTH:
-                known[piece] = parts[k]
-        return self._split(first) + b"".join(parts)
+                known[piece] = p
+        for k in missing:
+            if parts[k] is None:
+                parts[k] = asked[pieces[k]]
+        return parts
+
+    def _plain(self, text: str) -> bytes:
+        if "  " in text:
+            return b"".join(self._look_up(words(text)))
+        first, *rest = text.split(" ")
+        pieces = [" " + p for p in rest]
+        if first:
+            pieces.insert(0, first)
+        return b"".join(self._look_up(pieces))
 
     def ids(self, text: str) -> bytes:
         if self.cut is None or not any(s in text for s in self.special):
