@@ -345,3 +345,35 @@ def test_stores(spark, tmp_path):
     m = stores.columnar(bars, cal, "close")
     assert m.first()["values"] == [5.0, None, 6.0]
     assert sorted(map(tuple, stores.rows_of(m, cal, "close").collect())) == sorted(map(tuple, bars.collect()))
+
+
+# ---- registry of indicators
+
+
+def test_indicator_registry(spark):
+    from marlstone.functions.indicators import INDICATORS, Indicator, Registry
+
+    r = Registry()
+    for v in ("1.9.0", "1.10.0"):
+        r.add(Indicator("x", v, frozenset({"close", "volume"}), {"window": (2, 9)}, lambda window: F.lit(window)))
+    assert r.get("x").version == "1.10.0" and r.get("x", "1.9.0").version == "1.9.0"
+    assert r.missing(["x"], {"close"}) == {"x": {"volume"}}
+    with pytest.raises(ValueError):
+        r.add(r.get("x"))
+    with pytest.raises(ValueError):
+        r.get("x").build(window=1)
+    with pytest.raises(ValueError):
+        r.get("x").build(span=3)
+    with pytest.raises(KeyError):
+        r.get("y")
+    values = [float(k) for k in range(1, 8)]
+    got = [x.m for x in series(spark, values).select("d", INDICATORS.get("sma").build(window=3).alias("m")).orderBy("d").collect()]
+    assert got == [None, None, 2.0, 3.0, 4.0, 5.0, 6.0]
+
+
+def test_uuid5(spark):
+    import uuid
+
+    from marlstone.plans.remaining import uuid5
+
+    assert one(spark, uuid5(F.col("t")), t="chunk:1") == str(uuid.uuid5(uuid.NAMESPACE_URL, "chunk:1"))
