@@ -11,7 +11,7 @@ from marlstone.functions import prices as X
 from marlstone.functions import scores as S
 from marlstone.functions.series import change
 from marlstone.operators.backtest import prepared, run_top_k
-from marlstone.operators.ordering import ranked
+from marlstone.operators.ordering import ranked, running_max_before
 from marlstone.operators.regimes import confirm
 from marlstone.plans.joins import text_day
 from marlstone.plans.scores import ARGMAX_SQL, REGIME_SQL, inputs, scored_days
@@ -162,8 +162,6 @@ def ag_bh_fdr(spark: SparkSession, sf: str) -> DataFrame:
 
 def adjusted_p(p: DataFrame) -> DataFrame:
     """Benjamini-Hochberg adjusted p values of ``p`` (id, p): the least of p n / k from each rank on."""
-    from marlstone.operators.ordering import running_max_before
-
     n = p.agg(F.count("*").alias("n"))
     q = ranked(p, C("p"), C("id")).join(F.broadcast(n)).withColumn("q", C("p") * C("n") / C("rank"))
     # A least of those behind is a largest of the negated ones before, in the order turned round.

@@ -362,9 +362,6 @@ def wf_ffill(spark: SparkSession, sf: str) -> DataFrame:
     return grid.select("symbol", day(), F.last("close", ignorenulls=True).over(by_day().rowsBetween(Window.unboundedPreceding, 0)).alias("close"))
 
 
-jn_ffill = wf_ffill
-
-
 # ---- signals and rules
 
 

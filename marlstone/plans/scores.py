@@ -20,10 +20,6 @@ def clip_sql(x: str, a: float = 0, b: float = 1) -> str:
     return f"CASE WHEN ({x}) IS NOT NULL THEN greatest({float(a)}, least({float(b)}, ({x}))) END"
 
 
-def r4_sql(x: str) -> str:
-    return f"round(round(round({x}, 9), 9), 4)"
-
-
 # ---- market scores and regimes
 
 
@@ -356,9 +352,6 @@ def sc_limit_rule(spark: SparkSession, sf: str) -> DataFrame:
     return limit_rows(spark, sf).select("p_partkey", "board", "rate")
 
 
-_TICK = "CAST(round(CAST({} AS DECIMAL(20,6)) / 0.01, 0) * 0.01 AS DOUBLE)"
-
-
 @query("sc_limit_price", f"WITH {LIMIT_SQL} SELECT p_partkey, CASE WHEN rate IS NULL THEN NULL ELSE round(floor((p_retailprice * (1 + rate)) * 100 + 0.5 + 1e-7) / 100, 2) END AS upper, CASE WHEN rate IS NULL THEN NULL ELSE round(floor((p_retailprice * (1 - rate)) * 100 + 0.5 + 1e-7) / 100, 2) END AS lower FROM lr")
 def sc_limit_price(spark: SparkSession, sf: str) -> DataFrame:
     up, down = X.limit_prices(C("p_retailprice"), C("rate"), F.lit(0.01))

@@ -184,7 +184,6 @@ def pl_sector_strength(spark: SparkSession, sf: str) -> DataFrame:
     return strength(sector_features(spark, sf)).where("rank <= 3").select("sector", "score", "rank")
 
 
-tk_sector = pl_sector_strength
 
 # ---- high positions
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.series import change
-from marlstone.functions import scores as S
+from marlstone.functions.series import change, rolling_mean
 from marlstone.operators.regimes import confirm
 from marlstone.plans.backtests import MACHINE_SQL, regime_days
 from marlstone.plans.joins import CALENDAR_SQL, calendar, text_day
-from marlstone.plans.market import RULES_SQL, latest, rule_scan
-from marlstone.plans.sectors import snap, snap_sql, strength, sector_features, STRENGTH_SQL
+from marlstone.plans.market import RULES_SQL, rule_scan
+from marlstone.plans.sectors import STRENGTH_SQL, mean_present, sector_features, snap, snap_sql, strength
 from marlstone.registry import query
 from marlstone.sources import stores
 from marlstone.sources.tables import BARS_SQL, MARKET_SQL, TICKS_SQL, bars, market_days, table, ticks
@@ -192,8 +191,6 @@ def sc_quote_change(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sc_mean_present", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_retailprice WHEN p_size % 3 = 1 THEN (p_retailprice + p_size) / 2 END AS mean FROM part")
 def sc_mean_present(spark: SparkSession, sf: str) -> DataFrame:
-    from marlstone.plans.sectors import mean_present
-
     k = C("p_size") % 3
     a, b = F.when(k != 2, C("p_retailprice")), F.when(k == 1, C("p_size").cast("double"))
     return table(spark, sf, "part").select("p_partkey", mean_present(a, b).alias("mean"))
@@ -242,8 +239,6 @@ def pl_backfill(spark: SparkSession, sf: str) -> DataFrame:
 @query("ind_profile", f"WITH {BARS_SQL}, x AS (SELECT symbol, d, n, close, max(n) OVER (PARTITION BY symbol) AS total, CASE WHEN n >= 20 THEN avg(close) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS ma20 FROM bars) SELECT symbol, strftime(d, '%Y-%m-%d') AS d, {snap_sql('ma20', 4)} AS close__ma20, close > ma20 AS above FROM x WHERE total >= 260")
 def ind_profile(spark: SparkSession, sf: str) -> DataFrame:
     """A profile of indicators for the symbols with at least 260 bars."""
-    from marlstone.functions.series import rolling_mean
-
     b = bars(spark, sf).withColumn("total", F.count("*").over(Window.partitionBy("symbol"))).withColumn("ma20", rolling_mean(C("close"), 20))
     return b.where("total >= 260").select("symbol", text_day("d"), snap(C("ma20"), 4).alias("close__ma20"), (C("close") > C("ma20")).alias("above"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -103,5 +103,3 @@ def live_features(events: DataFrame, lateness: int = LATENESS) -> DataFrame:
 def latest_state(updates: DataFrame) -> DataFrame:
     """The last row of each symbol of an update log: the one that has seen most events."""
     return updates.groupBy("symbol").agg(F.max_by(F.struct(*(c for c in updates.columns if c != "symbol")), "n").alias("x")).select("symbol", "x.*")
-
-
