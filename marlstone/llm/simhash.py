@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import shingles
 from marlstone.llm.components import components
 from marlstone.llm.session import cut, fresh, join_sized, map_texts
 
@@ -176,7 +177,7 @@ def near_groups(
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Seeds of the fingerprints that ``similar_ids`` compares.
+#: Seeds of ``word_fingerprints``.
 SEEDS = (42, 43, 44, 45, 46, 47)
 
 
@@ -193,42 +194,11 @@ def word_fingerprints(text: str, seeds: tuple[int, ...] = SEEDS) -> list[int]:
     return out
 
 
-def redundant_ids(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(gone): ids of documents that have a near copy of smaller id, so that one document of each group is left.
-
-    Documents link when, for any seed, their words' fingerprints differ in at most THRESHOLD bits. One fingerprint of 64
-    bits finds about a third of the pairs that share 0.8 of their five-word shingles; six independent ones find some nine of
-    ten, more where pairs are alike in more, while unrelated documents differ in 15 bits or more. Each is searched by the same anchors. A null text counts as empty;
-    empty texts are copies of each other. Rows without an id are never named. An empty table gives an empty result.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = [np.array(word_fingerprints(t, seeds), dtype=np.uint64).view(np.int64) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fps": fps})
-
-    rows = cut(map_texts(docs.where(F.col(id_col).isNotNull()), run, "doc_id long, fps array<long>", id_col, text_col))
-    nodes = cut(rows.groupBy("fps").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
-    own = nodes.select("node", F.posexplode("fps").alias("k", "fp"))
-    first = cut(own.groupBy("k", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
-    same = own.join(first.where("n > 1"), ["k", "fp"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    near = family_links(first)
-    x, y = (first.select("k", F.col("fp").alias(side), F.col("first").alias(name)) for side, name in (("a", "x"), ("b", "y")))
-    near = near.join(x, ["k", "a"]).join(y, ["k", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links = same.unionByName(near)
-    later = components(links).select(F.col("a").alias("gone"))
-    # The other rows of a node: all but its least id.
-    best = nodes.where("n > 1").select(F.col("node").alias("gone"), F.lit(True).alias("is_node"), "fps")
-    copies = rows.join(best.select("fps").distinct(), "fps", "left_semi").select(F.col("doc_id").alias("gone"))
-    copies = copies.join(best.select("gone"), "gone", "left_anti")
-    return later.unionByName(copies).distinct()
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group of near copies the one of least id.
 
-    Ids are taken to be unique; rows that share the least id all stay, and so do rows without an id.
+    Near copies share 0.8 or more of their five-word shingles (``shingles``). Ids are taken to be unique; rows that share the least id all stay, and so do rows without an id.
     """
     name = fresh(docs, "_gone")
-    gone = redundant_ids(docs, id_col=id_col, text_col=text_col).withColumnRenamed("gone", name)
+    gone = shingles.redundant_ids(docs, id_col=id_col, text_col=text_col).withColumnRenamed("gone", name)
     return docs.join(gone, docs[id_col] == gone[name], "left_anti")
