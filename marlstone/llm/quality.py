@@ -124,7 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, n)
     model = fit(x, got["y"].to_numpy())
     # The prior of the labels, not of the balanced sample.
-    count = labels.where(F.col("quality").isNotNull()).agg(F.sum(F.col("quality").cast("double")), F.count("quality")).first()
+    known = labels.where(F.col("quality").isNotNull())
+    if fold_of:
+        known = known.where(F.crc32(F.col("doc_id").cast("string")) % fold_of != 0)
+    count = known.agg(F.sum(F.col("quality").cast("double")), F.count("quality")).first()
     good, total = count[0] or 0.0, count[1]
     return Discriminant(**{**model.__dict__, "prior": math.log((good + 1) / (total - good + 1))})
 
