@@ -14,8 +14,8 @@ import ahocorasick
 
 NEVER = 1 << 60
 
-#: White space by the Unicode property of that name (fixed values).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: White space by the Unicode property of that name, as the body of a character class (fixed values).
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_alphabet() -> dict[str, int]:

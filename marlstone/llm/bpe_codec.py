@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from marlstone.llm.bpe import prefix_encoder, vocabulary
 from marlstone.llm.session import map_texts
-from marlstone.llm.units import UnitCache
+from marlstone.llm.units import UnitCache, pack
 
 
 class Codec:
@@ -22,7 +22,7 @@ class Codec:
         encoder = prefix_encoder(path)
         words = vocabulary(path)
         self.special = words.special
-        self.cache = UnitCache(lambda ws: [encoder.encode(w.encode()) for w in ws], words.special)
+        self.cache = UnitCache(lambda ws: [pack(encoder.encode(w.encode())) for w in ws], words.special)
         top = max([*words.bytes, *words.special.values()]) + 1
         self.text_of: list[bytes] = [b""] * top
         for i, b in words.bytes.items():
@@ -54,7 +54,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(vocabulary_path)
         for b in batches:
-            ids = [c.encode(t) for t in b["text"]]
+            ids = list(c.cache.ids_of(b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "decoded": [c.decode(i) for i in ids]})
 
     return map_texts(docs, run, "doc_id long, ids binary, decoded string", id_col, text_col)
@@ -67,8 +67,7 @@ def encode_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
         c = codec(vocabulary_path)
         for b in batches:
             rows = []
-            for t in b["text"]:
-                ids = c.encode(t)
+            for ids in c.cache.ids_of(b["text"]):
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())

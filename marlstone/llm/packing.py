@@ -1,14 +1,15 @@
 """Packing token streams into fixed windows by multiway differencing.
 
-A document's ids and its end id are cut into full windows and a rest. Rests are cut into pieces of at most PIECE ids and
-gathered into blocks; each block is dealt over its windows by the Karmarkar-Karp method for many parts: every piece
-starts as a partial partition of its own, and the two partitions of the largest spread are merged so that the fullest
-window of one meets the emptiest of the other, until one is left. If its fullest window exceeds the capacity, the block
-is dealt again over one window more.
+A document's ids and its end id are cut into full windows and a rest. A rest of more than PIECE ids is cut once more, into
+PIECE ids and what is left. Rests are gathered into blocks; each block is dealt over its windows by the Karmarkar-Karp
+method for many parts: every piece starts as a partial partition of its own, and the two partitions of the largest spread
+are merged so that the fullest window of one meets the emptiest of the other, until one is left. If its fullest window
+exceeds the capacity, the block is dealt again over one window more.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import os
 import zlib
@@ -25,7 +26,7 @@ from marlstone.llm.session import map_texts
 from marlstone.llm.units import UnitCache
 
 #: Ids in a window; windows in a block; ids in a piece of a rest.
-WINDOW, BLOCK, PIECE = 1024, 128, 256
+WINDOW, BLOCK, PIECE = 1024, 128, 512
 #: Ids of a block's windows left free at first, for the windows to differ a little.
 SLACK = 64
 
@@ -34,30 +35,46 @@ SCHEMA = (
 )
 
 
+def _join(a: tuple[list, list], b: tuple[list, list], windows: int) -> tuple[list, list]:
+    """Two partial partitions merged, the fullest window of each with the emptiest of the other."""
+    if len(b[0]) > 1 and len(a[0]) == 1:
+        a, b = b, a
+    sums, own = a
+    if len(b[0]) == 1:  # one piece goes to the emptiest window
+        size, members = b[0][0], b[1][0]
+        if len(sums) == windows:
+            size, members = sums.pop(0) + size, own.pop(0) + members
+        at = bisect.bisect_left(sums, size)
+        sums.insert(at, size)
+        own.insert(at, members)
+        return a
+    (x, xs), (y, ys) = (([0] * (windows - len(s)) + s, [[]] * (windows - len(o)) + o) for s, o in (a, b))
+    order = sorted(((p + q, k) for k, (p, q) in enumerate(zip(x, reversed(y), strict=True)) if p + q))
+    return [n for n, _ in order], [xs[k] + ys[-1 - k] for _, k in order]
+
+
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
-    """Indexes of ``sizes`` dealt over ``windows`` near-equal windows by multiway differencing."""
+    """Indexes of ``sizes`` dealt over ``windows`` near-equal windows by multiway differencing.
+
+    A partition is two lists, the sums of its windows in rising order and the indexes in each; windows that hold nothing
+    are not listed. Pieces not yet merged wait in ``single``, largest last; a piece's spread is its size.
+    """
     if not sizes:
         return [[] for _ in range(windows)]
-    heap: list[tuple[int, int]] = []
-    parts: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-    # Pieces enter together where that is free: the k largest left fill a partition of k windows, one piece each.
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    for n, at in enumerate(range(0, len(order), windows)):
-        own = order[at : at + windows]
-        sums = np.zeros(windows, dtype=np.int64)
-        sums[: len(own)] = [sizes[i] for i in own]
-        parts[n] = (sums, [[i] for i in own] + [[] for _ in range(windows - len(own))])
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), n))
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
-        (x, xs), (y, ys) = parts.pop(a), parts[b]
-        sums = x + y[::-1]
-        merged = [p + q for p, q in zip(xs, ys[::-1], strict=True)]
-        rank = np.argsort(-sums, kind="stable")
-        sums = sums[rank]
-        parts[b] = (sums, [merged[i] for i in rank])
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), b))
-    return parts[heap[0][1]][1]
+    single = sorted(range(len(sizes)), key=lambda i: (sizes[i], -i))
+    heap: list[tuple[int, int, tuple[list, list]]] = []
+
+    def largest() -> tuple[list, list]:
+        if single and (not heap or sizes[single[-1]] > -heap[0][0]):
+            i = single.pop()
+            return [sizes[i]], [[i]]
+        return heapq.heappop(heap)[2]
+
+    for made in range(len(sizes) - 1):
+        sums, own = merged = _join(largest(), largest(), windows)
+        heapq.heappush(heap, (-(sums[-1] - (sums[0] if len(sums) == windows else 0)), made, merged))
+    got = largest()[1]
+    return got + [[] for _ in range(windows - len(got))]
 
 
 def deal(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -79,19 +96,20 @@ class Packer:
         self.held = 0
 
     def add(self, key, ids: bytes) -> list[tuple]:
+        view, window = memoryview(ids), self.window
         total, rows, at = len(ids) // 4, [], 0
-        while total - at >= self.window:
-            rows.append((key, at, self.window, zlib.crc32(ids[4 * at : 4 * (at + self.window)]), total, self.next, 0, self.window))
+        while total - at >= window:
+            rows.append((key, at, window, zlib.crc32(view[4 * at : 4 * (at + window)]), total, self.next, 0, window))
             self.next += 1
-            at += self.window
+            at += window
+        piece = PIECE * window // WINDOW or 1
         while at < total:
-            room = BLOCK * self.window - SLACK - self.held
-            n = min(PIECE, total - at, room)
-            self.waiting.append((key, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total))
+            n = min(piece, total - at)
+            if self.held + n > BLOCK * window - SLACK:
+                rows += self.finish()
+            self.waiting.append((key, at, n, zlib.crc32(view[4 * at : 4 * (at + n)]), total))
             self.held += n
             at += n
-            if n == room:
-                rows += self.finish()
         return rows
 
     def finish(self) -> list[tuple]:
@@ -107,25 +125,27 @@ class Packer:
 
 
 class LibraryWords:
-    """Ids of words by the tokenizers library. Words of a space and letters are encoded as one text: the split cuts before
-    each space, and of a word's tokens the first alone begins with one."""
+    """Ids of words by the tokenizers library, as bytes. Words that a space begins are encoded as one text: the split cuts
+    before each space, and of a word's tokens the first alone begins with one."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
         self.opens = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         self.opens[[i for t, i in tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True  # the byte alphabet's space
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        joined = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        if not joined:
-            return [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, dtype=np.int64)
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(joined):
-            return [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
-        flat, ends = ids.tolist(), [*starts[1:].tolist(), len(ids)]
-        own = dict(zip(joined, (flat[a:b] for a, b in zip(starts.tolist(), ends, strict=True)), strict=True))
-        return [own[w] if w in own else self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        known: dict[str, bytes] = {}
+        spaced = [w for w in words if w[0] == " " and not w[1:2].isspace() and len(w) > 1]
+        if len(spaced) > 1:
+            ids = self._ids("".join(spaced))
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(spaced):
+                flat, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                known = {w: flat[i:j] for w, i, j in zip(spaced, at, at[1:], strict=False)}
+        return [known[w] if w in known else self._ids(w).tobytes() for w in words]
 
 
 @lru_cache(maxsize=2)
@@ -154,7 +174,7 @@ def pack_documents(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        encode = library_ids(vocabulary_path).ids
+        encode = library_ids(vocabulary_path).ids_of
         packer = Packer(TaskContext.get().partitionId() << 36, window)
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -164,8 +184,8 @@ def pack_documents(
 
         for b in batches:
             rows: list[tuple] = []
-            for i, text in zip(b["doc_id"], b["text"], strict=True):
-                rows += packer.add(None if pd.isna(i) else int(i), encode(text) + end)
+            for i, ids in zip(b["doc_id"], encode(b["text"]), strict=True):
+                rows += packer.add(None if pd.isna(i) else int(i), ids + end)
             if rows:
                 yield frame(rows)
         if rows := packer.finish():

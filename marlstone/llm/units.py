@@ -1,28 +1,84 @@
-"""Cutting texts for byte-level BPE so that repeated pieces are encoded once per worker."""
+"""Ids of texts by byte-level BPE, a batch of texts at a time, so that each different word is encoded once.
+
+The split into words is computed over the code points of all texts together; the words are then numbered by an Arrow
+dictionary, only words that the worker does not remember are encoded, and ids are gathered by word number.
+"""
 
 from __future__ import annotations
 
-import re
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 
 from marlstone.llm.bpe import SPACE
 
-#: The split that byte-level vocabularies apply before merging (a fixed pattern of the vocabulary), and the same for ASCII.
-WORDS = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-#: Pieces of the current generation; when there are so many, they become the old one, whose pieces return when met.
+LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
+#: Words of the current generation; when there are so many, they become the old one, whose words return when met.
 KEPT = 500_000
-#: Longer pieces are not kept.
+#: Longer words are not kept.
 KEPT_LENGTH = 48
+#: Characters of texts that are split at once, and a place where a longer text may be cut: a space that begins a word.
+AT_ONCE = 4_000_000
+SAFE = regex.compile(rf"(?<=[\p{{L}}\p{{N}}]) (?=[\p{{L}}\p{{N}}])")
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """The class of each code point in the split that byte-level vocabularies apply before merging."""
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(0x110000))
+    out = np.full(len(every), OTHER, dtype=np.uint8)
+    for m in regex.finditer(rf"(\p{{L}}+)|(\p{{N}}+)|[{SPACE}]+", every):
+        out[m.start() : m.end()] = LETTER if m[1] else NUMBER if m[2] else WHITE
+    return out
+
+
+def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``texts`` and of each text their number.
+
+    A word is a run of letters, of numbers or of other characters, each with a space before it if there is one; or one of
+    's 't 're 've 'm 'll 'd where no other word has taken the apostrophe; or white space, of which the last character is
+    left to what follows.
+    """
+    joined = "".join(texts)
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+    if not joined:
+        return pa.array([], pa.large_string()), np.zeros(len(texts), dtype=np.int64)
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+    n, kind = points.size, character_classes()[points]
+    opens = np.zeros(n + 3, dtype=bool)  # the first character of a text; so are places beyond the last
+    opens[np.r_[0, ends[ends < n]]] = opens[n:] = True
+    edge = opens.copy()
+    edge[1:n] |= kind[1:] != kind[:-1]
+    white = kind == WHITE
+    last = np.flatnonzero(white & ~opens[1 : n + 1] & np.r_[~white[1:], False])
+    edge[last] = True
+    edge[last[points[last] == 32] + 1] = False
+    marks = np.flatnonzero(points == 39)
+    marks = marks[edge[marks] & ~opens[marks + 1]]
+    if marks.size:
+        after = np.r_[points, 0, 0]
+        one, two = after[marks + 1], np.where(opens[marks + 2], 0, after[marks + 2])
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        edge[marks[short | long] + 1] = False
+        edge[marks[short] + 2] = edge[marks[long] + 3] = True
+    starts = np.flatnonzero(edge[:n])
+    data = joined.encode()
+    if len(data) == n:
+        offsets = np.r_[starts, n]
+    else:
+        sizes = 1 + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
+        offsets = np.r_[0, np.cumsum(sizes, dtype=np.int64)][np.r_[starts, n]]
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+    return words, np.diff(np.r_[0, np.searchsorted(starts, ends)])
 
 
 def words(text: str) -> list[str]:
-    return ASCII_WORDS.findall(text) if text.isascii() else WORDS.findall(text)
+    return split_words([text])[0].to_pylist()
 
 
 def pack(ids: list[int]) -> bytes:
@@ -30,71 +86,89 @@ def pack(ids: list[int]) -> bytes:
 
 
 class UnitCache:
-    """Ids of texts as little-endian unsigned 32-bit integers. ``encode_words`` gives the ids of each of some words of the
-    split.
+    """Ids of texts as little-endian unsigned 32-bit integers. ``encode_words`` gives these bytes for each of some words."""
 
-    A single space between other characters always begins a word, so a text is first cut there and each piece is looked
-    up whole; only unknown pieces are split into words. Texts with two spaces in a row are split as a whole.
-    """
-
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], special: dict[str, int]):
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], special: dict[str, int]):
         self.encode_words, self.special = encode_words, special
-        self.known: dict[str, bytes] = {}  # by word; a word that a space begins is found without it, by piece
+        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
-    def _look_up(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each of which is one word or several; unknown words are encoded together."""
-        known = self.known
-        if len(known) > KEPT:
-            self.old, self.known = known, {}
-            known = self.known
-        parts = list(map(known.get, pieces))
+    def _look_up(self, asked: list[str]) -> list[bytes]:
+        """Ids of different words; unknown ones are encoded together."""
+        if len(self.known) > KEPT:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        parts = list(map(known.get, asked))
         missing = [k for k, p in enumerate(parts) if p is None]
-        if not missing:
-            return parts
-        old, asked = self.old, {}
+        fresh = []
         for k in missing:
-            piece = pieces[k]
-            p = old.get(piece)
-            if p is not None:
-                parts[k] = known[piece] = p
+            w = asked[k]
+            p = parts[k] = old.get(w)
+            if p is None:
+                fresh.append(k)
             else:
-                asked[piece] = None
-        if not asked:
-            return parts
-        split = {piece: words(piece) for piece in asked}
-        fresh = list(dict.fromkeys(w for own in split.values() for w in own if w not in known and w not in old))
-        ids = dict(zip(fresh, map(pack, self.encode_words(fresh)), strict=True)) if fresh else {}
-        for piece, own in split.items():
-            got = []
-            for w in own:
-                p = ids.get(w)
-                if p is None:
-                    p = known.get(w)
-                    if p is None:
-                        p = old[w]
-                got.append(p)
-            asked[piece] = p = got[0] if len(got) == 1 else b"".join(got)
-            if len(piece) <= KEPT_LENGTH:
-                known[piece] = p
-        for k in missing:
-            if parts[k] is None:
-                parts[k] = asked[pieces[k]]
+                known[w] = p
+        for k, p in zip(fresh, self.encode_words([asked[k] for k in fresh]) if fresh else [], strict=True):
+            parts[k] = p
+            if len(asked[k]) <= KEPT_LENGTH:
+                known[asked[k]] = p
         return parts
 
-    def _plain(self, text: str) -> bytes:
-        if "  " in text:
-            return b"".join(self._look_up(words(text)))
-        first, *rest = text.split(" ")
-        pieces = [" " + p for p in rest]
-        if first:
-            pieces.insert(0, first)
-        return b"".join(self._look_up(pieces))
+    def _plain(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts of AT_ONCE characters or so together."""
+        found, counts = split_words(texts)
+        numbered = found.dictionary_encode()
+        codes = numbered.indices.to_numpy()
+        parts = self._look_up(numbered.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(parts), dtype="<u4")
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        of_word = sizes[codes]
+        ends = np.r_[0, np.cumsum(of_word)]
+        shift = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
+        ids = flat[np.repeat(shift, of_word) + np.arange(ends[-1])]
+        at = ends[np.r_[0, np.cumsum(counts)]].tolist()
+        for a, b in zip(at, at[1:], strict=False):
+            yield ids[a:b].tobytes()
+
+    def _parts(self, text: str) -> list[str | int]:
+        """Pieces of a text that are encoded apart, and special ids between them."""
+        out: list[str | int] = []
+        pieces = self.cut.split(text) if self.cut is not None and any(s in text for s in self.special) else [text]
+        for k, piece in enumerate(pieces):
+            if k % 2:
+                out.append(self.special[piece])
+                continue
+            at = 0
+            while len(piece) - at > AT_ONCE and (m := SAFE.search(piece, at + AT_ONCE)):
+                out.append(piece[at : m.start()])
+                at = m.start()
+            out.append(piece[at:])
+        return out
+
+    def ids_of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text in turn."""
+        waiting: list[list[str | int]] = []
+        held = 0
+        for text in texts:
+            waiting.append(self._parts(text))
+            held += len(text)
+            if held >= AT_ONCE:
+                yield from self._flush(waiting)
+                waiting, held = [], 0
+        yield from self._flush(waiting)
+
+    def _flush(self, waiting: list[list[str | int]]) -> Iterator[bytes]:
+        pieces, size = [[]], 0
+        for p in (p for parts in waiting for p in parts if isinstance(p, str)):
+            if size and size + len(p) > 2 * AT_ONCE:
+                pieces.append([])
+                size = 0
+            pieces[-1].append(p)
+            size += len(p)
+        ids = (x for group in pieces for x in self._plain(group))
+        for parts in waiting:
+            yield b"".join([next(ids) if isinstance(p, str) else p.to_bytes(4, "little") for p in parts])
 
     def ids(self, text: str) -> bytes:
-        if self.cut is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        return b"".join(
-            self.special[x].to_bytes(4, "little") if k % 2 else self._plain(x) for k, x in enumerate(self.cut.split(text))
-        )
+        return next(self.ids_of([text]))
