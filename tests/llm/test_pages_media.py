@@ -54,6 +54,99 @@ def test_template_goes_and_article_stays(spark, monkeypatch, rows):
     assert got[99] == "Our best offers of the week other"
 
 
+def sentences(r, n):
+    return " ".join("".join(r.choice("abcdefgh ") for _ in range(60)).strip() + "." for _ in range(n))
+
+
+def site(articles):
+    """Pages of two hosts with planted templates: a strip of equal contents, a menu whose entries differ on every page, a
+    numbered line, and a paragraph at the end; with and without an article element. Another host has two pages only."""
+    r = random.Random(21)
+    rows, want = [], {}
+    around = ("<article>", "</article>") if articles else ("<div id='text'>", "</div>")
+    for k in range(30):
+        host = f"h{k % 2}.example" if k < 28 else "few.example"
+        paragraphs = [sentences(r, 3) for _ in range(6)]
+        if k % 7 == 0:  # copies of one article, but for a few words
+            paragraphs = [f"{'fox and hound and hare ' * 8}number {x}." for x in range(6)]
+            paragraphs[k % 6] += f" And {k}."
+        body = "".join(f"<p>{x}" for x in paragraphs)
+        menu = "".join(f"<div><a href='/{r.random()}'>{sentences(r, 1)[:12]}</a></div>" for _ in range(4))
+        rows.append((
+            k,
+            f"http://{host}/{k}",
+            f"<body><div class='x1'>{menu}</div><div><span>Our best offers, all week</span></div>{around[0]}<h1>Title {k}</h1>{body}{around[1]}"
+            f"<div class='y'>Visitors so far: {r.randrange(10**6)}</div><p>All rights are with the editors of this site.</p></body>",
+        ))
+        want[k] = " ".join([f"Title {k}", *(" ".join(x.split()) for x in paragraphs)])
+    return rows, want
+
+
+def brute_templates(rows):
+    """Hashes that recur, per host, with every page compared in plain Python."""
+    seen = {}
+    for _, url, source in rows:
+        page = html_text.Page(source)
+        inside, container = page.article(), page.containers()
+        places = {}
+        for h, n in page.places(inside, container).values():
+            places[h] = places.get(h, 0) + n
+        whole = sum(len(t) - t.count(" ") for _, t in page.items if t)
+        for h in set(page.contents(inside, container).values()) | set(places):
+            seen.setdefault((url.split("/")[2], h), []).append((page.identity(), places.get(h, 0), whole if h in places else 1))
+    found = {}
+    for (host, h), own in seen.items():
+        different = max(len({x[0][0] for x in own}), len({x[0][1] for x in own}))
+        if different >= 5 and len(own) <= 5 * different and sum(x[1] for x in own) <= 0.25 * sum(x[2] for x in own):
+            found.setdefault(host, set()).add(h)
+    return found
+
+
+@pytest.mark.parametrize("articles", [True, False])
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_templates_are_removed_by_count(spark, monkeypatch, articles, rows):
+    """By the counts alone (no tag, role or class name here tells anything), equal to brute force on both routes."""
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", rows)
+    pages, want = site(articles)
+    known = brute_templates(pages)
+    assert set(known) == {"h0.example", "h1.example"}
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, PAGES).repartition(3)).collect()}
+    assert got == {k: html_text.Page(s).text(known.get(u.split("/")[2], set())) for k, u, s in pages}
+    assert all(got[k] == want[k] for k in range(28))
+    plain = {k: html_text.Page(s).text(set()) for k, _, s in pages}
+    if not articles:  # an article element alone would do; here the counts alone tell
+        assert all(plain[k] != got[k] for k in range(28)) and plain[29] == got[29]
+
+
+def test_html_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.page_id, r.url, r.html or "") for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    known = brute_templates(rows)
+    want = sorted((i, html_text.Page(s).text(known.get(u.split("/")[2], set()))) for i, u, s in rows)
+    assert sorted((r.page_id, r.text) for r in queries.op9_html(spark, sf).collect()) == want
+    removed = 0
+    for _, u, s in rows:
+        p = html_text.Page(s)
+        removed += any(h in known.get(u.split("/")[2], ()) for h, _ in p.places(p.article(), p.containers()).values())
+    assert removed > 20  # pages of which the counts delete something
+
+
+def test_all_articles_of_a_page_stay(spark):
+    h = "<main><p>lead</p></main><article><p>one</article><article><p>two two</article><article class='comment'>no</article><p>out</p>"
+    assert html_text.extract(spark.createDataFrame([(1, "http://a.example", h)], PAGES)).first().text == "lead one two two"
+
+
+def test_many_open_elements_take_linear_time():
+    import time
+
+    times = []
+    for n in (8_000, 64_000):
+        at = time.perf_counter()
+        html_text.Page("<p>" + "<b>" * n + "</i>" * n + "<p>x</p>" * n + "<td>" * n).text(set())
+        times.append(time.perf_counter() - at)
+    assert times[1] < 24 * times[0] + 0.2
+
+
 def payloads():
     r = random.Random(5)
     yield from (b"", b"a", b"x" * 64, b"y" * 65, bytes(range(256)) * 3, "Größe 中文 🙂".encode())
