@@ -2,9 +2,10 @@
 
 The transducer is deterministic and compiled on demand. A state holds where the scan stands in the word split, and for
 each vocabulary entry that may still be completed the last token before it: enough to know the unique last token of
-every longer prefix. White space leads every state back to the start, so the map of a chunk of text is a short head,
-applied to whatever state comes in, and a constant rest. Maps of neighbouring chunks compose, and a parallel prefix
-scan gives state and count at each chunk's end.
+every longer prefix. A long text is cut into chunks. White space leads every state back to the start, so a chunk's state
+map is a head, which depends on the state that comes in, and a constant rest. The head is the scan from a word's start and
+the states that it meets: a scan from any other state falls in with it after a few characters. Maps of neighbouring
+chunks compose, and a parallel prefix scan gives state and count at each chunk's end.
 """
 
 from __future__ import annotations
@@ -23,11 +24,16 @@ from marlstone.llm.session import map_texts
 
 #: Characters in a chunk of a long text.
 CHUNK = 65_536
-#: States kept at most; when there are more, the worker compiles anew.
-STATES = 350_000
+#: States kept at most; when there are more, compilation starts anew, within a text too.
+STATES = 250_000
 #: Remembered runs of the current generation; when there are so many, they become the old one, whose runs return when met.
 RUNS, RUN_LENGTH = 400_000, 48
 
+#: Characters after which two scans of one text have nearly always met.
+MEETING = 128
+
+#: Control characters that Python splits at though they are no white space.
+CONTROL = regex.compile("[\x1c-\x1f]")
 RUN = regex.compile(f"[^{SPACE}]+")
 CLASS = regex.compile(r"(\p{L})|(\p{N})|.", regex.DOTALL)
 #: Word endings that the vocabulary's split takes after an apostrophe (fixed values).
@@ -155,11 +161,18 @@ class Transducer:
         return k
 
     def advance(self, q: int, text: str) -> tuple[int, int]:
-        """State and emitted tokens after ``text``, which has no white space."""
+        """State and emitted tokens after ``text``, which has no white space. When there are too many states, compilation
+        starts anew from the one that the scan is in."""
         step, out = self.step, 0
         for c in text:
             arc = step[q].get(c)
-            q, k = arc if arc is not None else self._compile(q, c)
+            if arc is None:
+                if len(self.states) > STATES:
+                    key = self.states[q]
+                    self.reset()
+                    step, q = self.step, self._state(key)
+                arc = self._compile(q, c)
+            q, k = arc
             out += k
         return q, out
 
@@ -187,43 +200,96 @@ class Transducer:
         if len(self.runs) > RUNS:
             self.old, self.runs = self.runs, {}
 
+    # State maps of chunks name states by their keys, which outlive the numbers.
+
+    def after(self, key: tuple, text: str) -> tuple[tuple, int]:
+        q, k = self.advance(self._state(key), text)
+        return self.states[q], k
+
+    def closed(self, key: tuple) -> int:
+        return self.close(self._state(key))
+
+
+START = ("", None, -1)
+
+
+class Stretch:
+    """The state map of a text without white space: the scan from a word's start, and the states on its first characters.
+
+    A scan from another state takes the same states after a few characters; from where the two meet on, the rest is known.
+    """
+
+    def __init__(self, machine: Transducer, text: str):
+        self.text, self.met = text, []
+        key, total = START, 0
+        for c in text[:MEETING]:
+            key, k = machine.after(key, c)
+            total += k
+            self.met.append((key, total))
+        self.exit, k = machine.after(key, text[MEETING:])
+        self.total = total + k
+
+    def apply(self, machine: Transducer, key: tuple) -> tuple[tuple, int]:
+        if key == START:
+            return self.exit, self.total
+        out = 0
+        for c, (usual, before) in zip(self.text, self.met, strict=False):
+            key, k = machine.after(key, c)
+            out += k
+            if key == usual:
+                return self.exit, out + self.total - before
+        key, k = machine.after(key, self.text[len(self.met) :])
+        return key, out + k
+
 
 @dataclass(frozen=True)
 class ChunkMap:
-    """The state map of a chunk. ``head``: its text before the first white space, or all of it (``resets`` is False).
-    After the white space: ``count`` tokens are emitted and ``exit`` is the text of the unfinished last run."""
+    """The state map of one or several chunks: ``head`` maps the text before the first white space. If there is any white
+    space (``resets``), ``count`` tokens follow after the head's last word has been closed, and the state is ``exit``.
+    ``start`` is the head's state and count from a word's start."""
 
-    head: str
+    head: tuple[Stretch, ...]
+    start: tuple[tuple, int]
     resets: bool
     count: int
-    exit: str
+    exit: tuple
+
+    def _through_head(self, machine: Transducer, key: tuple) -> tuple[tuple, int]:
+        if key == START:
+            return self.start
+        out = 0
+        for stretch in self.head:
+            key, k = stretch.apply(machine, key)
+            out += k
+        return key, out
+
+    def apply(self, machine: Transducer, key: tuple) -> tuple[tuple, int]:
+        key, out = self._through_head(machine, key)
+        return (self.exit, out + machine.closed(key) + self.count) if self.resets else (key, out)
 
 
 def chunk_map(machine: Transducer, text: str) -> ChunkMap:
-    if text.isascii() and regex.search("[\x1c-\x1f]", text) is None:
-        runs = text.split()
-    else:
-        runs = RUN.findall(text)
+    found = list(RUN.finditer(text))
+    if len(found) == 1 and len(found[0][0]) == len(text):
+        whole = Stretch(machine, text)
+        return ChunkMap((whole,), (whole.exit, whole.total), False, 0, START)
     if not text:
-        return ChunkMap("", False, 0, "")
-    opens, closes = RUN.match(text) is not None, RUN.match(text[-1]) is not None
-    if len(runs) == 1 and opens and closes:
-        return ChunkMap(text, False, 0, "")
-    head = runs.pop(0) if opens and runs else ""
-    tail = runs.pop() if closes and runs else ""
-    known = list(map(machine.runs.get, runs))
-    for k in [k for k, n in enumerate(known) if n is None]:
-        known[k] = machine.run(runs[k])
-    return ChunkMap(head, True, sum(known), tail)
+        return ChunkMap((), (START, 0), False, 0, START)
+    head: tuple[Stretch, ...] = ()
+    if found and found[0].start() == 0:
+        head = (Stretch(machine, found.pop(0)[0]),)
+    tail = found.pop()[0] if found and found[-1].end() == len(text) else ""
+    state, k = machine.after(START, tail)
+    return ChunkMap(head, (head[0].exit, head[0].total) if head else (START, 0), True, sum(machine.run(m[0]) for m in found) + k, state)
 
 
 def compose(machine: Transducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
     """The map of a's text followed by b's."""
-    if not a.resets:
-        return ChunkMap(a.head + b.head, b.resets, b.count, b.exit)
-    if not b.resets:
-        return ChunkMap(a.head, True, a.count, a.exit + b.head)
-    return ChunkMap(a.head, True, a.count + machine.run(a.exit + b.head) + b.count, b.exit)
+    if a.resets:
+        key, k = b.apply(machine, a.exit)
+        return ChunkMap(a.head, a.start, True, a.count + k, key)
+    key, k = b._through_head(machine, a.start[0])
+    return ChunkMap(a.head + b.head, (key, a.start[1] + k), b.resets, b.count, b.exit)
 
 
 def prefix_scan(machine: Transducer, maps: list[ChunkMap]) -> list[ChunkMap]:
@@ -244,21 +310,31 @@ class Counter:
         self.special = sorted(words.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
-    def prefix_counts(self, text: str) -> list[ChunkMap]:
-        """The maps from the start of ``text`` to the end of each of its chunks."""
+    def _folded(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        self.machine.tidy()
-        chunks = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
-        return prefix_scan(self.machine, [chunk_map(self.machine, c) for c in chunks])
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+        return text.lower()
+
+    def prefix_counts(self, text: str) -> list[int]:
+        """Tokens emitted up to the end of each chunk of ``text``, of which the last word is not yet closed, and of the whole."""
+        text = self._folded(text)
+        machine = self.machine
+        maps = prefix_scan(machine, [chunk_map(machine, text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])
+        ends = [m.apply(machine, START) for m in maps]
+        return [k for _, k in ends] + [ends[-1][1] + machine.closed(ends[-1][0])] if ends else [0]
 
     def _plain(self, text: str) -> int:
-        if not text:
-            return 0
-        whole = self.prefix_counts(text)[-1]
         machine = self.machine
-        return whole.count + sum(machine.run(x) for x in (whole.head, whole.exit) if x)
+        machine.tidy()
+        if len(text) > CHUNK:
+            return self.prefix_counts(text)[-1]
+        # One chunk: the sum over its runs, each mapped from a word's start to the white space after it.
+        text = self._folded(text)
+        runs = text.split() if text.isascii() and CONTROL.search(text) is None else RUN.findall(text)
+        known = list(map(machine.runs.get, runs))
+        for k in [k for k, n in enumerate(known) if n is None]:
+            known[k] = machine.run(runs[k])
+        return sum(known)
 
     def count(self, text: str) -> int:
         """Tokens of ``text``; each special string in it is one token and separates the texts around it."""

@@ -49,6 +49,36 @@ def test_chunks_compose_to_the_whole(chunk, monkeypatch):
         assert counter.count(text) == len(encode(text)), repr(text)
 
 
+def unbroken(seed, n):
+    """Texts without white space: letters and digits as in base64, a few letters, Chinese, marks and apostrophes."""
+    r = random.Random(seed)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghij", "中文字的是在有人我他这", "ab'sre'llv!?-", "é\u0301ßΣσ🙂"):
+        yield "".join(r.choice(alphabet) for _ in range(n))
+
+
+@pytest.mark.parametrize("chunk", [64, 1000])
+def test_maps_of_chunks_without_white_space(chunk, monkeypatch):
+    encode, _ = library(WORD)
+    counter = token_counts.Counter(WORD)
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    for text in unbroken(chunk, 5_000):
+        maps = [token_counts.chunk_map(counter.machine, text[i : i + chunk]) for i in range(0, len(text), chunk)]
+        assert not any(m.resets for m in maps)
+        assert counter.count(text) == len(encode(text))
+        assert counter.prefix_counts(text)[-1] == len(encode(text))
+        mixed = text[:1500] + " \n" + text[1500:3000] + "\u3000x"
+        assert counter.count(mixed) == len(encode(mixed))
+
+
+def test_states_stay_bounded_within_a_text(monkeypatch):
+    encode, _ = library(WORD)
+    counter = token_counts.Counter(WORD)
+    monkeypatch.setattr(token_counts, "STATES", 3_000)
+    for text in unbroken(5, 60_000):
+        assert counter.count(text) == len(encode(text))
+        assert len(counter.machine.states) <= 3_001 + token_counts.MEETING
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_ids_and_decoding_equal_the_library_on_noise(seed):
     encode, t = library(BYTE)
