@@ -31,7 +31,8 @@ def format_conversations(
 
     Turns go by (turn, role, text), nulls first, so repeated turn numbers have a fixed order and equal rows stay apart.
     A null role or text counts as empty. Rows of a null conversation id form one conversation. An empty table gives no
-    row; other columns are not read. A conversation is held whole by one task, as its formatted text is.
+    row; other columns are not read. A conversation is held whole by one task, as its formatted text
+    is; time is in proportion to its turns.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
@@ -42,22 +43,18 @@ def format_conversations(
         ).alias("one"),
     )
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
-    block = "array<struct<role:string,texts:array<string>>>"
-
-    def step(done: Column, turn: Column) -> Column:
-        last = F.element_at(done, -1)
-        merged = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(escape(turn["text"]))).alias("texts"))
-        fresh = F.struct(turn["role"].alias("role"), F.array(escape(turn["text"])).alias("texts"))
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == turn["role"])
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(fresh)))
-
-    # A turn merges when its role is that of the turn before; runs of one role become one block.
-    blocks = F.aggregate("turns", F.array().cast(block), lambda done, t: step(done, t))
-    shown = F.transform(
-        blocks,
-        lambda b: F.concat(F.lit(START), F.url_encode(b["role"]), F.lit("\n"), F.array_join(b["texts"], SEPARATOR), F.lit(END)),
+    # Runs of one role begin where the turn before has another one; each run becomes one block. Every turn is visited once.
+    begins = F.filter(
+        F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (F.get("turns", i - 1)["role"] != F.get("turns", F.greatest(i - 2, F.lit(0)))["role"])
     )
-    return whole.select("conv_id", F.array_join(shown, "").alias("formatted"))
+    runs = whole.withColumn("begins", begins)
+
+    def block(i: Column, k: Column) -> Column:
+        after = F.coalesce(F.get("begins", k + 1), F.size("turns") + 1)
+        texts = F.transform(F.slice("turns", i, after - i), lambda t: escape(t["text"]))
+        return F.concat(F.lit(START), F.url_encode(F.get("turns", i - 1)["role"]), F.lit("\n"), F.array_join(texts, SEPARATOR), F.lit(END))
+
+    return runs.select("conv_id", F.array_join(F.transform("begins", block), "").alias("formatted"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.session import cut
+from marlstone.llm.session import stored
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """(a, m): the least neighbour of each node. Stored, so that the join with it has a shuffle of its own on both sides and
+    adaptive execution can split the partition of a node with very many links."""
+    return stored(links.groupBy("a").agg(F.min("b").alias("m")), "least")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbours and itself."""
     near = _both_ways(links)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = _least(near).select("a", F.least("a", "m").alias("m"))
     return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(down)
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -37,12 +43,12 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     def digest(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = digest(now)
     if not before[0]:
         return now
     for _ in range(limit):
-        now = cut(_small_star(_large_star(now)))
+        now = stored(_small_star(stored(_large_star(now), "links")), "links")
         after = digest(now)
         if after == before:
             return now

@@ -14,6 +14,10 @@ from marlstone.llm.jpeg import BLOCK_BYTES, Image, encode
 from marlstone.llm.session import map_texts
 
 
+#: Images decoded at once.
+AT_ONCE = 200
+
+
 def padded(data: bytes) -> bytes:
     """``data`` and zero bytes up to a positive multiple of 64."""
     return data + bytes(-len(data) % BLOCK_BYTES if data else BLOCK_BYTES)
@@ -35,49 +39,59 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def tensors(stored: DataFrame) -> DataFrame:
-    """(doc_id, height, width, rgb): the full-resolution RGB tensor of each stored image, uint8 in row-major order."""
+    """(doc_id, n_bytes, media, payload, height, width, rgb) per row of ``stored``: the bytes read back from the image's
+    coefficients, and its full-resolution RGB tensor, uint8 in row-major order.
+
+    Null or equal ids keep their rows; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            images = [Image(m) for m in b["media"]]
-            yield pd.DataFrame(
-                {"doc_id": b["doc_id"], "height": [i.height for i in images], "width": [i.width for i in images], "rgb": [i.rgb().tobytes() for i in images]}
-            )
+            for at in range(0, len(b), AT_ONCE):
+                some = b.iloc[at : at + AT_ONCE]
+                images = [Image(m) for m in some["media"]]
+                yield some.assign(
+                    payload=[i.payload() for i in images],
+                    height=[i.height for i in images],
+                    width=[i.width for i in images],
+                    rgb=[b"".join([strip.tobytes() for strip in i.rgb_strips()]) for i in images],
+                )
 
-    return stored.select("doc_id", "media").mapInPandas(run, "doc_id long, height int, width int, rgb binary")
+    return stored.select("doc_id", "n_bytes", "media").mapInPandas(
+        run, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary"
+    )
 
 
-def feature(image: Image) -> str:
+def feature(height: int, width: int, rgb: bytes) -> str:
     """Size, mean of each channel and mean absolute step to the right, in thousandths, over the whole RGB tensor."""
-    sums, steps, pixels = np.zeros(3, dtype=np.int64), 0, 0
-    for strip in image.rgb_strips():
+    pixels = np.frombuffer(rgb, dtype=np.uint8).reshape(height, width, 3)
+    n, steps, sums = height * width, 0, np.zeros(3, dtype=np.int64)
+    for top in range(0, height, 1024):
+        strip = pixels[top : top + 1024]
         sums += strip.sum(axis=(0, 1), dtype=np.int64)
-        grey = strip[..., 1].astype(np.int16)
-        steps += int(np.abs(grey[:, 1:] - grey[:, :-1]).sum(dtype=np.int64))
-        pixels += strip.shape[0] * strip.shape[1]
-    means = [int(s) * 1000 // pixels for s in sums]
-    return f"{image.width}x{image.height};rgb={means[0]},{means[1]},{means[2]};step={steps * 1000 // pixels}"
+        green = strip[..., 1].astype(np.int16)
+        steps += int(np.abs(green[:, 1:] - green[:, :-1]).sum(dtype=np.int64))
+    means = [int(s) * 1000 // n for s in sums]
+    return f"{width}x{height};rgb={means[0]},{means[1]},{means[2]};step={steps * 1000 // n}"
 
 
-def digests(stored: DataFrame) -> DataFrame:
-    """What the stored bytes hold: payload_bytes, payload_sha256, tail_crc32 (of its last 64 bytes), media_bytes,
-    media_sha256 and the feature of the RGB tensor, per row of ``stored``."""
+def digests(read: DataFrame) -> DataFrame:
+    """What the columns of ``tensors`` hold: payload_bytes, payload_sha256, tail_crc32 (of its last 64 bytes), media_bytes,
+    media_sha256 and the feature of the RGB tensor, per row of ``read``. Null or equal ids keep their rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for media in b["media"]:
-                image = Image(media)
-                payload = image.payload()
+            for media, payload, height, width, rgb in zip(b["media"], b["payload"], b["height"], b["width"], b["rgb"], strict=True):
                 rows.append(
-                    (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(image))
+                    (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(height, width, rgb))
                 )
             out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             out.insert(1, "n_bytes", b["n_bytes"].to_numpy())
             yield out
 
-    return stored.select("doc_id", "n_bytes", "media").mapInPandas(
+    return read.mapInPandas(
         run,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )

@@ -13,13 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.labelled import labelled_sample
+from marlstone.llm.labelled import known_labels, labelled_sample
 from marlstone.llm.session import map_texts
 
 #: Labelled rows of each class that are used to fit, at most.
 ROWS_PER_CLASS = 12_000
 #: Shares of the pooled and of the spherical covariance in each class's covariance.
 POOLED, SPHERICAL = 0.15, 0.02
+#: Part of the log densities' difference that counts: the statistics have heavier tails than the densities, which makes the
+#: whole difference too sure of itself.
+TEMPER = 0.5
 LETTER = re.compile(r"[^\W\d_]")
 ODD = re.compile(r"[^\w\s.,;:'\"()?-]")
 UPPER_WORD = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{2,}\b")
@@ -108,7 +111,7 @@ def fit(x: np.ndarray, y: np.ndarray, pooled: float = POOLED, spherical: float =
         factors.append(np.linalg.inv(low))
         log_dets.append(2 * float(np.log(np.diag(low)).sum()))
     prior = math.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1))
-    return Discriminant(centre, scale, tuple(means), tuple(factors), tuple(log_dets), prior, 0.5)
+    return Discriminant(centre, scale, tuple(means), tuple(factors), tuple(log_dets), prior, TEMPER)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, fold_of: int | None = None) -> Discriminant:
@@ -117,17 +120,14 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"x": [statistics(t) for t in b["text"]], "y": b["y"]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics(t) for t in b["text"]], "y": b["y"]})
 
     sample = labelled_sample(docs, labels, "quality", rows_per_class, fold_of)
-    got = sample.select("text", "y").mapInPandas(run, "x array<double>, y int").toPandas()
+    got = sample.mapInPandas(run, "doc_id long, x array<double>, y int").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, n)
     model = fit(x, got["y"].to_numpy())
-    # The prior of the labels, not of the balanced sample.
-    known = labels.where(F.col("quality").isNotNull())
-    if fold_of:
-        known = known.where(F.crc32(F.col("doc_id").cast("string")) % fold_of != 0)
-    count = known.agg(F.sum(F.col("quality").cast("double")), F.count("quality")).first()
+    # The prior of all labels that may be used, not of the balanced sample; each document counts once.
+    count = known_labels(labels, "quality", fold_of).agg(F.sum(F.col("y").cast("double")), F.count("y")).first()
     good, total = count[0] or 0.0, count[1]
     return Discriminant(**{**model.__dict__, "prior": math.log((good + 1) / (total - good + 1))})
 
@@ -148,7 +148,11 @@ def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is ``threshold`` or more, with all their columns."""
+    """The rows of ``docs`` whose score is ``threshold`` or more, with all their columns, whatever these are called.
+
+    A null text counts as empty. Each row is judged by its text alone, so rows of null or equal ids and equal rows go or
+    stay as their texts do; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("double")
     def quality_score(texts: pd.Series) -> pd.Series:

@@ -53,14 +53,14 @@ WITH t AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), o AS (
-  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
          length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) AS shown
   FROM t
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(shown + CASE WHEN before IS NOT DISTINCT FROM role THEN 10 ELSE 24 + length(role) END) AS BIGINT) AS formatted_chars
 FROM o GROUP BY conv_id
 """
@@ -117,7 +117,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.store(table(spark, sf_dir, "documents")))
+    return media.digests(media.tensors(media.store(table(spark, sf_dir, "documents"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -37,6 +37,14 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again. Unlike ``cut`` it carries no constraints over, which
+    would pile up over many rounds, and its size is known to the planner."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -52,7 +60,11 @@ def map_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Run ``fn`` over (id, text) batches of ``df`` without a shuffle; a null text arrives as the empty string."""
+    """Run ``fn`` over (id, text) batches of ``df`` without a shuffle; a null text arrives as the empty string.
+
+    A batch is bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB by default), so long texts come a
+    few at a time.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(fn, schema)
 

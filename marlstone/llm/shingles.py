@@ -1,16 +1,17 @@
 """Near copies by an exact rule: two texts are near copies when their sets of five-word shingles have a Jaccard similarity of
 0.8 or more.
 
-Candidates come from two searches. The first links each text to the least of those that share three least hashes with it,
-so a large group of copies falls into few components at the cost of a few pairs a text. The second is a prefix filter and
-loses no pair: of two sets of that similarity, each ordered alike, the first fifths share a shingle. Common shingles, as
-counted in a sample, come last in that order; which ones are taken for common changes the work, not the result. Pairs of one
-component are left out of it. Every candidate is compared by its whole sets before it counts as a link.
+Candidates come from three searches. The first takes the texts whose SimHashes a given search links, and pairs each with
+the least of its group. The second does so for texts that share three least hashes. So a large group of copies falls into
+few components at the cost of a few pairs a text. The third is a prefix filter and loses no pair: of two sets of that
+similarity, each ordered alike, the first fifths share a shingle. Common shingles, as counted in a sample, come last in
+that order; which ones are taken for common changes the work, not the result. Pairs of one component are left out of it.
+Every candidate is compared by its whole sets before it counts as a link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,14 @@ def shingle_set(text: str, words: dict[bytes, int]) -> np.ndarray:
     return np.unique(out)
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """Signed SimHash of a set of 64-bit hashes: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, own.size, 65_536):
+        ones += np.unpackbits(own[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > own.size).tobytes(), "big", signed=True)
+
+
 def near(shared: int, x: int, y: int) -> bool:
     """Whether sets of x and y members that share so many have a similarity of 0.8 or more."""
     return 9 * shared >= 4 * (x + y)
@@ -85,18 +94,19 @@ def _common(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, size, bands, prefix): a digest and the size of each set, its bands and its first shingles."""
+    """(doc_id, key, size, fp, bands, prefix): a digest and the size of each set, its SimHash, its bands and its first shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, common = _Words(), sent.value
         for b in batches:
-            keys, sizes, bands, prefixes = [], [], [], []
+            keys, sizes, fps, bands, prefixes = [], [], [], [], []
             for text in b["text"]:
                 own = shingle_set(text, words)
                 n = own.size
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(n)
+                fps.append(set_fingerprint(own))
                 if not n:
                     bands.append([])
                     prefixes.append([])
@@ -107,9 +117,9 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     last = common[np.minimum(np.searchsorted(common, own), common.size - 1)] == own
                     own = np.concatenate([own[~last], own[last]])
                 prefixes.append(own[: n - (4 * n + 4) // 5 + 1].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "size": sizes, "bands": bands, "prefix": prefixes})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "size": sizes, "fp": fps, "bands": bands, "prefix": prefixes})
 
-    return map_texts(docs, run, "doc_id long, key binary, size int, bands array<long>, prefix array<long>", id_col, text_col)
+    return map_texts(docs, run, "doc_id long, key binary, size int, fp long, bands array<long>, prefix array<long>", id_col, text_col)
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,11 +185,22 @@ def near_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
     return cut(joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct())
 
 
-def redundant_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _fingerprint_stars(own: DataFrame, link_fingerprints: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): each row of ``own`` (doc_id, fp) with the least id of the group that its fingerprint is linked to."""
+    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    member = components(link_fingerprints(nodes.select("fp"))).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    rooted = cut(nodes.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = rooted.groupBy("root").agg(F.min("first").alias("b"), F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("rows")).where("rows > 1")
+    of_node = join_sized(rooted, least, "root", "nodes", F.xxhash64("fp"), "inner").select("fp", "b", "n")
+    stars = join_sized(own.select("doc_id", "fp"), cut(of_node), "fp", "n", F.xxhash64("doc_id"), "inner")
+    return stars.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+
+
+def redundant_ids(docs: DataFrame, link_fingerprints: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(gone): ids of documents that a chain of near copies joins to one of smaller id, so one document of each group is left.
 
     A null text counts as empty; texts without words are copies of each other. Rows without an id are never named. An empty
-    table gives an empty result.
+    table gives an empty result. ``link_fingerprints`` gives links (a, b) of a table of SimHashes (fp).
     """
     docs = docs.where(F.col(id_col).isNotNull())
     rows = cut(_sketches(docs, id_col, text_col))
@@ -192,7 +213,7 @@ def redundant_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     banded = own.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     first = cut(banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     stars = join_sized(banded, first, "band", "n", F.xxhash64("node"), "inner").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    sure = near_pairs(stars, docs, id_col, text_col)
+    sure = near_pairs(_fingerprint_stars(own, link_fingerprints).unionByName(stars), docs, id_col, text_col)
     parts = components(sure).select(F.col("a").alias("doc_id"), F.col("b").alias("part"))
 
     tagged = own.join(parts, "doc_id", "left").select("doc_id", F.coalesce("part", "doc_id").alias("part"), "size", "prefix")

@@ -25,6 +25,9 @@ from marlstone.llm.session import cut, fresh, join_sized, map_texts
 THRESHOLD = 3
 BLOCK = 31
 SEED = 42
+#: Replicas of an anchor from which on it is split, as counted over one fingerprint in SAMPLED; anchors of that kind that
+#: are broadcast at most.
+HOT_ROWS, SAMPLED, BROADCAST_ROWS = 50_000, 16, 200_000
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -78,16 +81,37 @@ def _anchors(block: Column, syndrome: Column) -> Column:
 
 
 def replicas(distinct: DataFrame) -> DataFrame:
-    """(anchor, fp) for every anchor that a fingerprint of ``distinct`` (k, fp) is replicated to, on both blocks; the
-    number k of the fingerprint's family stands in the anchor's upper 32 bits."""
-    family = F.shiftleft(F.col("k").cast("long"), 32)
+    """(anchor, block, fp) for every anchor that a fingerprint of ``distinct`` (fp) is replicated to, on both blocks."""
+    mask = F.lit((1 << BLOCK) - 1)
     parts = distinct.select(
-        "fp", F.explode(F.array(*(F.struct(family.bitwiseOR(F.lit(k << BLOCK)).alias("mark"), F.shiftrightunsigned("fp", BLOCK * k).bitwiseAND(F.lit((1 << BLOCK) - 1)).alias("block")) for k in range(2)))).alias("p")
-    ).select("fp", "p.mark", "p.block")
-    near = parts.withColumn("syndrome", _syndrome(F.col("block"))).select(
-        "fp", "mark", F.explode(_anchors(F.col("block"), F.col("syndrome"))).alias("anchor")
+        "fp", F.posexplode(F.array(*(F.shiftrightunsigned("fp", BLOCK * k).bitwiseAND(mask) for k in range(2)))).alias("block", "part")
     )
-    return near.select(F.col("anchor").bitwiseOR(F.col("mark")).alias("anchor"), "fp")
+    near = parts.withColumn("syndrome", _syndrome(F.col("part"))).select("fp", "block", F.explode(_anchors(F.col("part"), F.col("syndrome"))).alias("anchor"))
+    return near.select(F.col("anchor").bitwiseOR(F.shiftleft(F.col("block").cast("long"), BLOCK)).alias("anchor"), "block", "fp")
+
+
+def _rest_masks(block: int) -> list[int]:
+    """The bits outside a block in four parts: fingerprints that differ in three bits at most agree on one of them."""
+    rest = [b for b in range(64) if not BLOCK * block <= b < BLOCK * (block + 1)]
+    masks = [sum(1 << b for b in rest[k::4]) for k in range(4)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def dealt_replicas(distinct: DataFrame) -> DataFrame:
+    """(key, fp): replicas by anchor. Anchors that by a sample have HOT_ROWS replicas or more are split by what their
+    fingerprints have outside the block; which ones are split changes the work, not the links."""
+    rows = replicas(distinct)
+    sample = replicas(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0))
+    hot = cut(sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SAMPLED >= HOT_ROWS).select("anchor", F.lit(True).alias("hot")))
+    count = hot.count()
+    if not count:
+        return rows.select(F.col("anchor").alias("key"), "fp")
+    tagged = rows.join(F.broadcast(hot) if count <= BROADCAST_ROWS else hot, "anchor", "left")
+    split = F.array(*(
+        F.xxhash64("anchor", F.lit(k), F.when(F.col("block") == 0, F.col("fp").bitwiseAND(F.lit(a))).otherwise(F.col("fp").bitwiseAND(F.lit(b))))
+        for k, (a, b) in enumerate(zip(_rest_masks(0), _rest_masks(1), strict=True))
+    ))
+    return tagged.select(F.explode(F.when(F.col("hot"), split).otherwise(F.array("anchor"))).alias("key"), "fp")
 
 
 def group_links(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -110,49 +134,43 @@ def group_links(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int,
 
 
 def _compare(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
-    """Links of a partition that is sorted by anchor; an anchor's rows may lie in several batches."""
-    held_a, held_f = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    """Links of a partition that is sorted by key; a key's rows may lie in several batches."""
+    held_k, held_f = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
 
-    def links(anchors: np.ndarray, fps: np.ndarray) -> pd.DataFrame | None:
-        starts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
-        sizes = np.diff(np.r_[starts, anchors.size])
+    def links(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame | None:
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sizes = np.diff(np.r_[starts, keys.size])
         two = starts[sizes == 2]
         x, y = fps[two], fps[two + 1]
         near = np.bitwise_count(x ^ y) <= threshold
-        found = set(zip((anchors[two] >> 32)[near].tolist(), np.maximum(x, y)[near].tolist(), np.minimum(x, y)[near].tolist(), strict=True))
+        found = set(zip(np.maximum(x, y)[near].tolist(), np.minimum(x, y)[near].tolist(), strict=True))
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            k = int(anchors[s]) >> 32
-            found.update((k, a, b) for a, b in group_links(fps[s : s + n], threshold))
+            found.update(group_links(fps[s : s + n], threshold))
         if not found:
             return None
         rows = np.array(sorted(found), dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"k": rows[:, 0], "a": rows[:, 1], "b": rows[:, 2]})
+        return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1]})
 
     for batch in batches:
-        anchors = np.concatenate([held_a, batch["anchor"].to_numpy(dtype=np.int64)])
+        keys = np.concatenate([held_k, batch["key"].to_numpy(dtype=np.int64)])
         fps = np.concatenate([held_f, batch["fp"].to_numpy(dtype=np.int64).view(np.uint64)])
-        if not anchors.size:
+        if not keys.size:
             continue
-        last = int(np.searchsorted(anchors, anchors[-1]))
-        held_a, held_f = anchors[last:], fps[last:]
-        if last and (out := links(anchors[:last], fps[:last])) is not None:
+        last = int(np.searchsorted(keys, keys[-1]))
+        held_k, held_f = keys[last:], fps[last:]
+        if last and (out := links(keys[:last], fps[:last])) is not None:
             yield out
-    if held_a.size > 1 and (out := links(held_a, held_f)) is not None:
+    if held_k.size > 1 and (out := links(held_k, held_f)) is not None:
         yield out
 
 
-def family_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(k, a, b): links that join the fingerprints of ``distinct`` (k, fp) within ``threshold`` (at most 3) bits of others
-    of their family k into their components; every link is itself such a chain."""
+def near_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b): links that join the fingerprints of ``distinct`` (fp) within ``threshold`` (at most 3) bits of others into
+    their components; every link is itself such a chain."""
     if threshold > THRESHOLD:
         raise ValueError("the anchors cover three bits")
-    dealt = replicas(distinct).repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInPandas(lambda it: _compare(it, threshold), "k long, a long, b long").distinct()
-
-
-def near_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): the links of the fingerprints of ``distinct`` (fp), which are one family."""
-    return family_links(distinct.select(F.lit(0).alias("k"), "fp"), threshold).select("a", "b")
+    dealt = dealt_replicas(distinct).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInPandas(lambda it: _compare(it, threshold), "a long, b long").distinct()
 
 
 def near_groups(
@@ -177,28 +195,15 @@ def near_groups(
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Seeds of ``word_fingerprints``.
-SEEDS = (42, 43, 44, 45, 46, 47)
-
-
-def word_fingerprints(text: str, seeds: tuple[int, ...] = SEEDS) -> list[int]:
-    """SimHash of the set of words of ``text`` (lower-cased in A-Z) for each seed."""
-    words = sorted(set(text.encode().lower().split()))
-    if not words:
-        return [0] * len(seeds)
-    out = []
-    for seed in seeds:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
-        ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(words)).tobytes(), "big"))
-    return out
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group of near copies the one of least id.
 
-    Near copies share 0.8 or more of their five-word shingles (``shingles``). Ids are taken to be unique; rows that share the least id all stay, and so do rows without an id.
+    Near copies share 0.8 or more of their five-word shingles. Candidates are first the texts whose SimHashes of these
+    shingles are linked by the anchors; every candidate is compared by its whole sets, and a prefix filter finds the pairs
+    whose fingerprints are further apart (``shingles``). A null text counts as empty; texts without words are copies of each
+    other. Ids are taken to be unique; rows that share the least id all stay, and so do rows without an id. An empty table
+    gives an empty result; other columns are kept, whatever these are called.
     """
     name = fresh(docs, "_gone")
-    gone = shingles.redundant_ids(docs, id_col=id_col, text_col=text_col).withColumnRenamed("gone", name)
+    gone = shingles.redundant_ids(docs, near_links, id_col, text_col).withColumnRenamed("gone", name)
     return docs.join(gone, docs[id_col] == gone[name], "left_anti")

@@ -227,7 +227,11 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col: s
 
 
 def keep_clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with all their columns."""
+    """The rows of ``docs`` that are not toxic, with all their columns, whatever these are called.
+
+    A null text counts as empty. Each row is judged by its text alone, so rows of null or equal ids and equal rows go or
+    stay as their texts do; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("double")
     def toxic_score(texts: pd.Series) -> pd.Series:

@@ -65,3 +65,19 @@ def test_hostile_conversation(spark, sf):
     flat = f"user\n{text}\nassistant\n{text}\n"
     assert r.n_turns == 2 and r.turns_sha256 == hashlib.sha256(flat.encode()).hexdigest()
     assert r.loss_chars == len(text) and r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_null_turns_and_long_conversations(spark, tmp_path):
+    """The SQL orders null turns as the query does; a conversation of 50,000 turns is formatted in one go."""
+    rows = [*ROWS, (6, None, "user", "z"), (6, None, "assistant", None), (6, 0, "user", "y"), (6, None, None, "x")]
+    rows = [r for r in rows if r[0] is not None]
+    spark.createDataFrame(rows, TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    names = "conv_id, n_turns, turns_sha256, loss_chars, loss_sha256"  # formatted_chars: roles here are percent-encoded
+    want = duckdb.sql(f"SELECT {names} FROM ({queries.OP2_SQL}) ORDER BY conv_id").fetchall()
+    got = queries.op2_chat_format(spark, str(tmp_path)).orderBy("conv_id").selectExpr(*names.split(", ")).collect()
+    assert [tuple(r) for r in got] == want
+    many = spark.range(50_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    r = read(many)[1]
+    assert len(r.turns) == 50_000 and r.loss_text == "".join(str(k) for k in range(50_000) if k % 3)
+    assert r.formatted.count(chat.START) == 33_333 + 1

@@ -63,6 +63,44 @@ def test_hot_group(spark):
     assert [tuple(x) for x in r] == [(1, 3000, 3000), (6000, 6000, 1)]
 
 
+def test_level_is_searched_by_range_and_filter(spark):
+    """Files of the level have disjoint ranges of digests and Bloom filters; a look-up's condition reaches the scan and gives
+    what brute force does."""
+    import pyarrow.parquet as pq
+
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text "), (F.col("id") % 4000).cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little data would make one file
+    level = exact_dedup.compact(exact_dedup.flush_runs(docs.repartition(5), "doc_id", "text"), "smallest")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = []
+    for f in level.inputFiles():
+        group = pq.ParquetFile(f.removeprefix("file:")).metadata.row_group(0)
+        ranges.append((group.column(0).statistics.min, group.column(0).statistics.max))
+    ranges.sort()
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    asked = ["TEXT 7", "text 3999", "no such text", None]
+    found = exact_dedup.lookup(level, asked)
+    assert sorted((r.keep_id, r.group_size) for r in found.collect()) == [(7, 2), (3999, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(digest" in plan
+    assert exact_dedup.lookup(level, []).count() == 0
+
+
+def test_filter_loses_no_key(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("k"))
+    keys = spark.range(0, 20_000, 7).select(F.col("id").alias("key"))
+    n = keys.count()
+    got = {r.k for r in exact_dedup.maybe_in(rows, F.col("k"), keys, "key", n).collect()}
+    rest = {r.k for r in exact_dedup.maybe_in(rows, F.col("k"), keys, "key", n, found=False).collect()}
+    assert set(range(0, 20_000, 7)) <= got and got | rest == set(range(20_000)) and not got & rest and len(got) < 2 * n
+
+
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_copies_go_with_and_without_filters(spark, awkward, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", most)
+    assert sorted(str(r.doc_id) for r in exact_dedup.drop_copies(awkward).collect()) == sorted(["1", "3", "5", "None", "7", "8", "9", "10"])
+
+
 def slow_fingerprint(text):
     words = [w for w in __import__("re").findall(rb"[^\x20\x09-\x0d]+", lower(text).encode())]
     if not words:
@@ -108,8 +146,11 @@ def test_near_groups_equal_brute_force(spark, awkward):
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_groups(docs).collect()) == expected
 
 
-def test_anchors_lose_no_link(spark):
+@pytest.mark.parametrize("hot", [1, 50_000])
+def test_anchors_lose_no_link(spark, monkeypatch, hot):
     """Random fingerprints with planted neighbours at 0 to 4 bits, a chain and a dense group."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)  # 1: every anchor that the sample meets is split
+    monkeypatch.setattr(simhash, "SAMPLED", 1 if hot == 1 else 16)
     r = random.Random(7)
     fps = [r.getrandbits(64) for _ in range(300)]
     for f in fps[:200]:

@@ -185,7 +185,7 @@ def test_inverse_transform():
 
 def test_media_query(spark, sf, awkward, clashing, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(awkward.columns).unionByName(awkward)
-    got = media.digests(media.store(docs)).collect()
+    got = media.digests(media.tensors(media.store(docs))).collect()
     want = []
     for r in docs.collect():
         raw = (r.text or "").encode()

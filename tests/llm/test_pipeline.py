@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from marlstone.llm import quality, simhash, toxicity
+from marlstone.llm import quality, toxicity
+from tests.llm.test_near_copies import brute_gone
 
 
 @pytest.fixture(scope="module")
@@ -47,21 +48,10 @@ def test_exact_stage(steps):
 
 
 def test_near_stage(steps):
+    """All pairs by the stage's rule: five words, a similarity of 0.8 or more."""
     _, before, after = steps[3]
-    rows = sorted((r.doc_id, simhash.word_fingerprints(r.text or "")) for r in before.collect())
-    root = {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for k, (i, x) in enumerate(rows):
-        for j, y in rows[:k]:
-            if any((a ^ b).bit_count() <= 3 for a, b in zip(x, y, strict=True)):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    assert {r.doc_id for r in after.collect()} == {i for i, _ in rows if find(i) == i}
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    assert {r.doc_id for r in after.collect()} == {i for i, _ in rows} - brute_gone(rows)
 
 
 def test_packing_stage(steps):

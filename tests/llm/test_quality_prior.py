@@ -3,6 +3,8 @@
 import math
 import zlib
 
+from pyspark.sql import functions as F
+
 from marlstone.llm import quality
 
 
@@ -15,3 +17,12 @@ def test_held_out_labels_do_not_move_the_prior(spark):
     used = [int(i % 3 == 0) for i, o in zip(ids, out, strict=True) if not o]
     model = quality.train(docs, labels, fold_of=5)
     assert any(out) and math.isclose(model.prior, math.log((sum(used) + 1) / (len(used) - sum(used) + 1)))
+
+
+def test_held_out_labels_change_no_score(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    flipped = labels.withColumn("quality", F.when(out, 1 - F.col("quality")).otherwise(F.col("quality")))
+    repeated = labels.unionByName(labels.where("quality = 1"))
+    a, b, c = (sorted(map(tuple, quality.score(docs, quality.train(docs, x, fold_of=5)).collect())) for x in (labels, flipped, repeated))
+    assert a == b == c and len({s for _, s in a}) > 5
