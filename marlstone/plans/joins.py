@@ -26,10 +26,12 @@ def jn_decision_outcome(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(o, "decision_id")
 
 
-@query("jn_membership_asof", f"WITH {BARS_SQL}, {MEMBERSHIP_SQL} SELECT b.symbol, strftime(d, '%Y-%m-%d') AS d, close, sector FROM bars b JOIN member m ON b.symbol = m.symbol AND valid_from <= d AND (valid_to IS NULL OR valid_to >= d) WHERE d >= DATE '1998-10-01' AND d < DATE '1999-04-01'")
+@query("jn_membership_asof", f"WITH {BARS_SQL}, {MEMBERSHIP_SQL} SELECT b.symbol, strftime(d, '%Y-%m-%d') AS d, close, sector FROM bars b JOIN member m ON b.symbol = m.symbol AND valid_from <= d AND (valid_to IS NULL OR valid_to >= d)")
 def jn_membership_asof(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).where(C("d").between("1998-10-01", "1999-03-31")).select("symbol", "d", "close")
-    return in_force(b, F.broadcast(membership(spark, sf)), "symbol", "d").select("symbol", text_day("d"), "close", "sector")  # two rows a supplier
+    """The sector of every bar by the intervals of its symbol: an equality join on the symbol, which Spark broadcasts or
+    shuffles by the intervals' size."""
+    b = bars(spark, sf).select("symbol", "d", "close")
+    return in_force(b, membership(spark, sf), "symbol", "d").select("symbol", text_day("d"), "close", "sector")
 
 
 _OBS_SQL = "obs AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS d, max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2)"
@@ -98,11 +100,11 @@ def jn_price_at(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("decision_id", "symbol", "entry_price", "exit_price", text_day("exit_day"))
 
 
-@query("jn_ffill_calendar", f"WITH {BARS_SQL}, cal AS (SELECT DISTINCT d FROM bars WHERE d >= DATE '1999-01-01' AND d < DATE '1999-03-01'), s AS (SELECT DISTINCT symbol FROM bars) SELECT s.symbol, strftime(cal.d, '%Y-%m-%d') AS d, arg_max(close, bars.d) AS close FROM s CROSS JOIN cal LEFT JOIN bars ON bars.symbol = s.symbol AND bars.d <= cal.d GROUP BY ALL")
+@query("jn_ffill_calendar", f"WITH {BARS_SQL}, cal AS (SELECT DISTINCT d FROM bars), s AS (SELECT DISTINCT symbol FROM bars), g AS (SELECT s.symbol, cal.d FROM s CROSS JOIN cal) SELECT g.symbol, strftime(g.d, '%Y-%m-%d') AS d, bars.close FROM g ASOF LEFT JOIN bars ON bars.symbol = g.symbol AND bars.d <= g.d")
 def jn_ffill_calendar(spark: SparkSession, sf: str) -> DataFrame:
     """Last known close of every symbol on every trading day of the calendar."""
     b = bars(spark, sf).select("symbol", "d", "close")
-    calendar = b.where(C("d").between("1999-01-01", "1999-02-28")).agg(F.array_sort(F.collect_set("d")).alias("days"))  # a row of trading days
+    calendar = b.agg(F.array_sort(F.collect_set("d")).alias("days"))  # a row of trading days
     asked = b.select("symbol").distinct().join(F.broadcast(calendar)).select("symbol", F.explode("days").alias("d"))
     return as_of(asked, b.withColumnRenamed("d", "t"), "symbol", "d", "t", ["t"], ["close"]).select("symbol", text_day("d"), "close")
 

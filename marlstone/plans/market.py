@@ -353,9 +353,9 @@ def ag_robust_z(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(F.broadcast(mad), "day").select("symbol", r6(z, "z"))
 
 
-@query("wf_ffill", with_bars(", days AS (SELECT DISTINCT d FROM bars WHERE d >= DATE '1998-01-01' AND d < DATE '1998-04-01'), sy AS (SELECT DISTINCT symbol FROM bars), g AS (SELECT symbol, days.d, close FROM sy CROSS JOIN days LEFT JOIN bars USING (symbol, d)) SELECT symbol, strftime(d, '%Y-%m-%d') AS d, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM g"))
+@query("wf_ffill", with_bars(", days AS (SELECT DISTINCT d FROM bars), sy AS (SELECT DISTINCT symbol FROM bars), g AS (SELECT symbol, days.d, close FROM sy CROSS JOIN days LEFT JOIN bars USING (symbol, d)) SELECT symbol, strftime(d, '%Y-%m-%d') AS d, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM g"))
 def wf_ffill(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).where((F.col("d") >= "1998-01-01") & (F.col("d") < "1998-04-01"))
+    b = bars(spark, sf)
     symbols = bars(spark, sf).select("symbol").distinct()
     # A calendar has one row per trading day: broadcast against the symbols it is filled for.
     grid = symbols.join(F.broadcast(b.select("d").distinct()), how="cross").join(b.select("symbol", "d", "close"), ["symbol", "d"], "left")
@@ -436,9 +436,9 @@ def scan_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return latest(b).drop("d")
 
 
-@query("tk_amount10", with_bars("SELECT strftime(d, '%Y-%m-%d') AS d, symbol, amount FROM bars WHERE d >= DATE '1998-01-01' AND d < DATE '1998-07-01' QUALIFY row_number() OVER (PARTITION BY d ORDER BY amount DESC, symbol) <= 10"))
+@query("tk_amount10", with_bars("SELECT strftime(d, '%Y-%m-%d') AS d, symbol, amount FROM bars QUALIFY row_number() OVER (PARTITION BY d ORDER BY amount DESC, symbol) <= 10"))
 def tk_amount10(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).where(F.col("d").between("1998-01-01", "1998-06-30"))
+    b = bars(spark, sf)
     w = Window.partitionBy("d").orderBy(F.desc("amount"), "symbol")
     return b.withColumn("k", F.row_number().over(w)).where("k <= 10").select(day(), "symbol", "amount")
 

@@ -10,6 +10,7 @@ from marlstone.operators import retrieval as R
 from marlstone.plans.joins import merge_recall, text_day
 from marlstone.plans.sectors import snap, snap_sql
 from marlstone.registry import query
+from marlstone.sources import stores
 from marlstone.sources.tables import table
 
 C = F.col
@@ -21,13 +22,23 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- scalars over texts
 
-_WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
+_TERMS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
+_WHITE = R.WHITE.replace("{", "{{").replace("}", "}}")  # these are format strings
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[" + _WHITE + "]+'), lambda x: x <> '')"
+_COMPACT = "regexp_replace(lower(coalesce({0}, '')), '[" + _WHITE + "]+', '', 'g')"
+_CHARS = "regexp_extract_all(" + _COMPACT + ", '(?s).')"
 
 
-@query("sc_tokenize", f"WITH w AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents) SELECT doc_id, count(*) + sum(greatest(length(w) - 1, 0))::BIGINT AS n_tokens, count(*) AS n_words FROM w GROUP BY 1")
+def _grams_sql(c: str, n: int) -> str:
+    return f"list_transform(generate_series(1, len({c}) - {n - 1}), lambda i: " + " || ".join(f"{c}[i + {k}]" if k else f"{c}[i]" for k in range(n)) + ")"
+
+
+@query("sc_tokenize", f"WITH w AS (SELECT doc_id, len({_WORDS.format('text')}) AS w, length({_COMPACT.format('text')}) AS c FROM documents) SELECT doc_id, w + c + greatest(c - 1, 0) AS n_tokens, w AS n_words, greatest(c - 2, 0) AS n_trigrams FROM w")
 def sc_tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    t, w = F.size(R.tokens(C("text"))), F.size(R.words(C("text")))
-    return docs(spark, sf).select("doc_id", t.cast("long").alias("n_tokens"), w.cast("long").alias("n_words")).where("n_words > 0")
+    """Words between white space, characters and character bigrams of every whole text; the reranker adds trigrams."""
+    c = docs(spark, sf).select("doc_id", R.words(C("text")).alias("w"), R.characters(C("text")).alias("c"))
+    n = lambda x: F.size(x).cast("long")
+    return c.select("doc_id", n(F.concat("w", "c", R.grams(C("c"), 2))).alias("n_tokens"), n(C("w")).alias("n_words"), n(R.grams(C("c"), 3)).alias("n_trigrams"))
 
 
 @query("sc_chunk", "WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents), c AS (SELECT doc_id, unnest(generate_series(0, ceil(length(t) / 300.0)::INT - 1))::INT AS idx, t FROM f WHERE length(t) > 0) SELECT doc_id, idx, length(substr(t, idx * 300 + 1, 300))::INT AS n, sha256(substr(t, idx * 300 + 1, 300)) AS digest FROM c")
@@ -40,7 +51,7 @@ def sc_chunk(spark: SparkSession, sf: str) -> DataFrame:
 def sc_fnv1a(spark: SparkSession, sf: str) -> DataFrame:
     """Buckets of every document's distinct words. DuckDB has no 64-bit exclusive or over a fold of code points that stays
     exact, so a plain Python loop is the oracle, in the tests."""
-    w = docs(spark, sf).select(F.explode(R.words(C("text"))).alias("word")).distinct()
+    w = docs(spark, sf).select(F.explode(R.terms(C("text"))).alias("word")).distinct()
     return w.select("word", R.fnv1a(C("word")).alias("hash"), F.pmod(R.fnv1a(C("word")), F.lit(1024)).alias("bucket"))
 
 
@@ -52,13 +63,18 @@ def sc_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.size(found).cast("long").alias("numbers"), F.size(F.filter(found, lambda x: ~F.contains(head, x))).cast("long").alias("beyond_head"))
 
 
-@query("sc_char_overlap", "WITH q AS (SELECT item_id, list_distinct(string_split(lower(text), '')) AS cs FROM benchmark) SELECT item_id, doc_id, round(len(list_filter(cs, lambda c: contains(lower(coalesce(d.text, '')), c))) / len(cs), 6) AS score FROM q, documents d WHERE n_chars < 60")
+@query("sc_char_overlap", "WITH q AS (SELECT item_id, list_filter(list_distinct(string_split(lower(text), '')), lambda c: c <> '') AS cs FROM benchmark WHERE item_id % 100 = 0), d AS (SELECT doc_id, list_distinct(string_split(lower(coalesce(text, '')), '')) AS ds FROM documents) SELECT item_id, doc_id, round(len(list_intersect(cs, ds)) / len(cs), 6) AS score FROM q, d WHERE len(cs) > 0")
 def sc_char_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of a query's distinct characters that each short document has."""
-    q = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), "")).alias("cs"))
-    d = docs(spark, sf).where("n_chars < 60").select("doc_id", F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "")).alias("ds"))
-    cs = F.filter("cs", lambda c: c != "")
-    return d.join(F.broadcast(q)).select("item_id", "doc_id", F.round(F.size(F.array_intersect(cs, "ds")) / F.size(cs), 6).alias("score"))  # the benchmark is small
+    """Share of a query's distinct characters that each whole document has: every query whose id is divisible by 100 against
+    all documents, queries broadcast in blocks."""
+    q = table(spark, sf, "benchmark").where("item_id % 100 = 0").select("item_id", F.filter(F.array_distinct(F.split(F.lower("text"), "")), lambda c: c != "").alias("cs")).where(F.size("cs") > 0)
+    d = docs(spark, sf).select("doc_id", F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "")).alias("ds"))
+    blocks, out = max(1, -(-q.count() // R.QUERY_BLOCK)), None
+    for b in range(blocks):
+        own = d.join(F.broadcast(q.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)))
+        own = own.select("item_id", "doc_id", F.round(F.size(F.array_intersect("cs", "ds")) / F.size("cs"), 6).alias("score"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query("sc_memory_candidate", "SELECT doc_id, upper(coalesce(lang, 'na')) || '::' || coalesce(source, 'na') || '::' || CASE WHEN coalesce(text, '') LIKE '%not %' THEN 'risk' WHEN n_chars > 1000 THEN 'lesson' ELSE 'fact' END AS merge_key, CASE WHEN coalesce(text, '') LIKE '%not %' THEN 'risk' WHEN n_chars > 1000 THEN 'lesson' ELSE 'fact' END AS memory_type FROM documents")
@@ -195,10 +211,10 @@ def pr_manifest_check(spark: SparkSession, sf: str) -> DataFrame:
 # ---- search predicates
 
 
-@query("tx_fts", f"WITH q AS (SELECT ['the', 'of'] AS terms) SELECT doc_id FROM documents, q WHERE list_has_all({_WORDS.format('text')}, terms)")
+@query("tx_fts", f"WITH q AS (SELECT ['the', 'of'] AS terms) SELECT doc_id FROM documents, q WHERE list_has_all({_TERMS.format('text')}, terms)")
 def tx_fts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with all terms of a plain text query."""
-    return docs(spark, sf).where(F.size(F.array_except(F.array(F.lit("the"), F.lit("of")), R.words(C("text")))) == 0).select("doc_id")
+    return docs(spark, sf).where(F.size(F.array_except(F.array(F.lit("the"), F.lit("of")), R.terms(C("text")))) == 0).select("doc_id")
 
 
 @query("tx_like", "SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', lang, source, text)), 'tion')")
@@ -266,20 +282,46 @@ CORPUS_SQL = f"""dt AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS term F
 dl AS (SELECT doc_id, len({_WORDS.format('text')}) AS len FROM documents), qn AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY 1, 2),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 tot AS (SELECT count(*) AS n, avg(len) AS avg_len FROM dl),
-bm AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score FROM tf JOIN dl USING (doc_id) JOIN df USING (term) JOIN qn USING (term), tot GROUP BY 1, 2)"""
+rc AS (SELECT query_id, doc_id, {snap_sql('sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)))')} AS score FROM tf JOIN dl USING (doc_id) JOIN df USING (term) JOIN qn USING (term), tot GROUP BY 1, 2)"""
+RECALLED_SQL = f"{CORPUS_SQL}, cand AS (SELECT query_id, doc_id FROM rc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30)"
+
+
+def _tokens_sql(name: str, key: str, source: str) -> str:
+    """Counts n of words, characters and bigrams, and n3 with trigrams, of the rows of ``source`` (key, text)."""
+    return f"""{name}0 AS (SELECT {key}, {_WORDS.format('text')} AS w, {_CHARS.format('text')} AS c FROM {source}),
+{name} AS (SELECT {key}, token, sum(plain) AS n, count(*) AS n3 FROM (SELECT {key}, unnest(list_concat(w, c, {_grams_sql('c', 2)})) AS token, 1 AS plain FROM {name}0 UNION ALL SELECT {key}, unnest({_grams_sql('c', 3)}), 0 FROM {name}0) GROUP BY 1, 2)"""
+
+
+#: Scores of the rows of ``cand``.
+SCORED_SQL = f"""{_tokens_sql('dk', 'doc_id', '(SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM cand))')}, {_tokens_sql('qk', 'query_id', '(SELECT item_id AS query_id, text FROM benchmark)')},
+cl AS (SELECT query_id, doc_id, len(w) + len(c) + greatest(len(c) - 1, 0) AS len FROM cand JOIN dk0 USING (doc_id)), ct AS (SELECT query_id, count(*) AS n_docs, avg(len) AS avg_len FROM cl GROUP BY 1),
+hit AS (SELECT cl.query_id, cl.doc_id, token, len, dk.n AS tf, dk.n3 AS tf3, qk.n AS n, qk.n3 AS n3 FROM cl JOIN dk ON dk.doc_id = cl.doc_id JOIN qk USING (query_id, token)),
+cdf AS (SELECT query_id, token, count(*) AS df FROM hit WHERE tf > 0 GROUP BY 1, 2), whole AS (SELECT query_id, sum(n3) AS whole FROM qk GROUP BY 1),
+sc AS (SELECT query_id, doc_id, sum(coalesce(n * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)), 0)) AS bm25, sum(least(n3, tf3)) / any_value(whole) AS overlap FROM hit JOIN ct USING (query_id) JOIN whole USING (query_id) LEFT JOIN cdf USING (query_id, token) GROUP BY 1, 2)"""
 
 
 def corpus_terms(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", R.words(C("text")).alias("terms"))
 
 
-def query_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select(C("item_id").alias("query_id"), R.words(C("text")).alias("terms"))
+def query_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(C("item_id").alias("query_id"), "text")
 
 
-@query("ag_bm25", f"WITH {CORPUS_SQL} SELECT query_id, doc_id, {snap_sql('score')} AS score FROM bm")
+def recall(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` best of every query by its words among all documents."""
+    q = query_texts(spark, sf).select("query_id", R.words(C("text")).alias("terms"))
+    return top(R.bm25(q, corpus_terms(spark, sf)).withColumn("score", snap(C("score"))), k)
+
+
+def recalled_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return R.candidate_scores(recall(spark, sf).select("query_id", "doc_id"), query_texts(spark, sf), docs(spark, sf))
+
+
+@query("ag_bm25", f"WITH {RECALLED_SQL}, {SCORED_SQL} SELECT query_id, doc_id, {snap_sql('bm25')} AS score FROM sc")
 def ag_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25(query_terms(spark, sf), corpus_terms(spark, sf)).select("query_id", "doc_id", snap(C("score")).alias("score"))
+    """BM25 of each query's thirty recalled documents, with the statistics of these."""
+    return recalled_scores(spark, sf).select("query_id", "doc_id", snap(C("bm25")).alias("score"))
 
 
 def top(df: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -287,78 +329,111 @@ def top(df: DataFrame, k: int, by: str = "query_id", score: str = "score", tie:
     return df.withColumn("rank", F.row_number().over(w).cast("long")).where(C("rank") <= k)
 
 
-@query("tk_recall", f"WITH {CORPUS_SQL} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {snap_sql('score')} DESC, doc_id) AS rank FROM bm QUALIFY rank <= 10")
+@query("tk_recall", f"WITH {CORPUS_SQL} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM rc QUALIFY rank <= 10")
 def tk_recall(spark: SparkSession, sf: str) -> DataFrame:
-    b = R.bm25(query_terms(spark, sf), corpus_terms(spark, sf)).withColumn("score", snap(C("score")))
-    return top(b, 10).select("query_id", "doc_id", "rank")
+    return recall(spark, sf, 10).select("query_id", "doc_id", "rank")
 
 
-OVERLAP_SQL = f"{CORPUS_SQL}, ov AS (SELECT query_id, doc_id, sum(least(times, tf)) / (SELECT count(*) FROM qt WHERE qt.query_id = qn.query_id) AS score FROM tf JOIN qn USING (term) GROUP BY 1, 2)"
+@query("ag_token_overlap", f"WITH {RECALLED_SQL}, {SCORED_SQL} SELECT query_id, doc_id, {snap_sql('overlap')} AS score FROM sc")
+def ag_token_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return recalled_scores(spark, sf).select("query_id", "doc_id", snap(C("overlap")).alias("score"))
 
 
-@query("ag_token_overlap", f"WITH {OVERLAP_SQL} SELECT query_id, doc_id, {snap_sql('score')} AS score FROM ov")
-def ag_token_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return R.overlap(query_terms(spark, sf), corpus_terms(spark, sf)).select("query_id", "doc_id", snap(C("score")).alias("score"))
+#: What a confirmed candidate gets on top of its overlap.
+STATUS_BONUS = 0.2
+_RERANK = f"overlap + CASE WHEN status = 'confirmed' THEN {STATUS_BONUS} ELSE 0 END"
+
 
+def rerank_score() -> Column:
+    return C("overlap") + F.when(C("status") == "confirmed", STATUS_BONUS).otherwise(0.0)
 
-@query("tk_rerank", f"WITH {OVERLAP_SQL}, c AS (SELECT query_id, doc_id FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {snap_sql('score')} DESC, doc_id) <= 30) SELECT query_id, doc_id, {snap_sql('score')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {snap_sql('score')} DESC, doc_id) AS rank FROM c JOIN ov USING (query_id, doc_id) QUALIFY rank <= 5")
+
+@query("tk_rerank", f"WITH {RECALLED_SQL}, {SCORED_SQL}, {META_SQL}, r AS (SELECT query_id, doc_id, {snap_sql(_RERANK, 4)} AS score FROM sc JOIN mem USING (doc_id)) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 5")
 def tk_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    q, d = query_terms(spark, sf), corpus_terms(spark, sf)
-    c = top(R.bm25(q, d).withColumn("score", snap(C("score"))), 30).select("query_id", "doc_id")
-    r = R.overlap(q, d).withColumn("score", snap(C("score")))
-    return top(c.join(r, ["query_id", "doc_id"]), 5).select("query_id", "doc_id", "score", "rank")
+    r = recalled_scores(spark, sf).join(memories(spark, sf).select("doc_id", "status"), "doc_id")
+    return top(r.select("query_id", "doc_id", snap(rerank_score(), 4).alias("score")), 5)
 
 
-@query("ag_minmax_sigmoid", f"WITH {OVERLAP_SQL}, s AS (SELECT query_id, doc_id, 1 / (1 + exp(-score)) AS s FROM ov) SELECT query_id, doc_id, {snap_sql('CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 1.0 END')} AS score FROM s WINDOW w AS (PARTITION BY query_id)")
+@query("ag_minmax_sigmoid", f"WITH {RECALLED_SQL}, {SCORED_SQL}, s AS (SELECT query_id, doc_id, 1 / (1 + exp(-overlap)) AS s FROM sc) SELECT query_id, doc_id, {snap_sql('CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 1.0 END')} AS score FROM s WINDOW w AS (PARTITION BY query_id)")
 def ag_minmax_sigmoid(spark: SparkSession, sf: str) -> DataFrame:
-    s = R.overlap(query_terms(spark, sf), corpus_terms(spark, sf)).withColumn("s", 1 / (1 + F.exp(-C("score"))))
-    ends = s.groupBy("query_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    scaled = F.when(C("hi") > C("lo"), (C("s") - C("lo")) / (C("hi") - C("lo"))).otherwise(1.0)
-    return s.join(ends, "query_id").select("query_id", "doc_id", snap(scaled).alias("score"))
+    s = recalled_scores(spark, sf).withColumn("s", 1 / (1 + F.exp(-C("overlap"))))
+    w = Window.partitionBy("query_id")  # thirty rows
+    lo, hi = F.min("s").over(w), F.max("s").over(w)
+    return s.select("query_id", "doc_id", snap(F.when(hi > lo, (C("s") - lo) / (hi - lo)).otherwise(1.0)).alias("score"))
 
 
-@query("ag_embed_ngram")
-def ag_embed_ngram(spark: SparkSession, sf: str) -> DataFrame:
-    """Hashed counts of each document's words and bigrams, scaled to length 1: (doc_id, bucket, value). Checked in the tests
-    against a plain loop, as the hash has no SQL."""
-    g = docs(spark, sf).select("doc_id", F.explode(R.tokens(C("text"))).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("n"))
-    # Each distinct gram is hashed once.
-    buckets = g.select("g").distinct().withColumn("bucket", F.pmod(R.fnv1a(C("g")), F.lit(256)).cast("int"))
-    b = g.join(buckets, "g").groupBy("doc_id", "bucket").agg(F.sum("n").alias("n"))
-    norm = b.groupBy("doc_id").agg(F.sqrt(F.sum((C("n") * C("n")).cast("double"))).alias("norm"))
-    return b.join(norm, "doc_id").select("doc_id", "bucket", F.round(C("n") / C("norm"), 8).alias("value"))
+def _vectors_sql(name: str, key: str, source: str) -> str:
+    """(key, bucket, value): hashed 1- to 3-grams of the rows of ``source`` (key, text), scaled to length 1."""
+    return f"""{name}c AS (SELECT {key}, {_CHARS.format('text')} AS c FROM {source}),
+{name}g AS (SELECT {key}, g, count(*) AS n FROM (SELECT {key}, unnest(list_concat(c, {_grams_sql('c', 2)}, {_grams_sql('c', 3)})) AS g FROM {name}c) GROUP BY 1, 2),
+{name}h AS (SELECT g, list_reduce(list_prepend(2166136261::BIGINT, list_transform(regexp_extract_all(g, '(?s).'), lambda x: unicode(x)::BIGINT)), lambda a, x: (xor(a, x) * 16777619) % 4294967296) % {R.DIMENSIONS} AS bucket FROM (SELECT DISTINCT g FROM {name}g)),
+{name}n AS (SELECT {key}, bucket, sum(n) AS n FROM {name}g JOIN {name}h USING (g) GROUP BY 1, 2),
+{name} AS (SELECT {key}, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY {key})), 8) AS value FROM {name}n)"""
 
 
-# ---- the whole chain
+_DOC_VECTORS = _vectors_sql("dv", "doc_id", "documents")
 
-_DENSE_SIM = "(doc_id * 7 + query_id * 11) % 101 / 101::DOUBLE"
-HYBRID_SQL = f"""{OVERLAP_SQL}, {META_SQL}, den AS (SELECT query_id, doc_id, {_DENSE_SIM} AS score FROM documents, (SELECT DISTINCT query_id FROM qt) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
-spa AS (SELECT query_id, doc_id, {snap_sql('score')} AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {snap_sql('score')} DESC, doc_id) <= 20),
-mg AS (SELECT coalesce(den.query_id, spa.query_id) AS query_id, coalesce(den.doc_id, spa.doc_id) AS doc_id, den.score AS dense, spa.score AS sparse FROM den FULL JOIN spa ON den.query_id = spa.query_id AND den.doc_id = spa.doc_id),
-hy AS (SELECT mg.query_id, mg.doc_id, mem.source, {snap_sql(f"0.35 * coalesce(dense, 0) + 0.20 * coalesce(bm.score, 0) + 0.30 * coalesce(ov.score, 0) + 0.05 * pow(0.5, age / 90.0) + 0.05 * ({_STATUS}) + {_BONUS}", 4)} AS score
- FROM mg JOIN mem ON mem.doc_id = mg.doc_id LEFT JOIN bm ON bm.query_id = mg.query_id AND bm.doc_id = mg.doc_id LEFT JOIN ov ON ov.query_id = mg.query_id AND ov.doc_id = mg.doc_id WHERE NOT coalesce(valid_days < age, false)),
-fin AS (SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hy QUALIFY rank <= 10)"""
 
+@query("ag_embed_ngram", f"WITH {_DOC_VECTORS} SELECT doc_id, bucket::INT AS bucket, value::DOUBLE AS value FROM dv")
+def ag_embed_ngram(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashed 1- to 3-grams of each whole document, scaled to length 1: (doc_id, bucket, value) of what isn't 0."""
+    v = docs(spark, sf).select("doc_id", R.embed("text").alias("v"))
+    return v.select("doc_id", F.posexplode("v").alias("bucket", "value")).where("value > 0")
 
-def hybrid(spark: SparkSession, sf: str, parts: tuple[str, ...] = ("dense", "sparse", "bm25", "rerank")) -> DataFrame:
-    """(query_id, doc_id, source, score, rank): two recall branches merged, scored, freed of expired rows, ten of each query.
 
-    Dense likeness stands in by a formula of both ids, as the documents have no embedding here. Each branch keeps twenty per
-    query before the merge. ``parts`` that are left out count as 0.
-    """
-    q, d = query_terms(spark, sf), corpus_terms(spark, sf)
-    likeness = ((C("doc_id") * 7 + C("query_id") * 11) % 101) / 101.0
-    every = docs(spark, sf).select("doc_id").join(F.broadcast(q.where(F.size("terms") > 0).select("query_id")))  # the benchmark's queries against all rows
-    dense = top(every.withColumn("score", likeness), 20)
-    bm = R.bm25(q, d)
-    sparse = top(bm.withColumn("score", snap(C("score"))), 20)
+# ---- the whole chain
+
+HYBRID_SQL = f"""{CORPUS_SQL}, {META_SQL}, {_DOC_VECTORS}, {_vectors_sql('qv', 'query_id', '(SELECT item_id AS query_id, text FROM benchmark)')},
+dn AS (SELECT doc_id, sqrt(sum(value * value)) AS norm FROM dv GROUP BY 1), qm AS (SELECT query_id, sqrt(sum(value * value)) AS norm FROM qv GROUP BY 1),
+den AS (SELECT query_id, doc_id, round(sum(dv.value / dn.norm * qv.value / qm.norm), 6) AS score FROM dv JOIN dn USING (doc_id) JOIN qv USING (bucket) JOIN qm USING (query_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
+spa AS (SELECT query_id, doc_id, score FROM rc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20),
+mg AS (SELECT coalesce(den.query_id, spa.query_id) AS query_id, coalesce(den.doc_id, spa.doc_id) AS doc_id, den.score AS dense FROM den FULL JOIN spa ON den.query_id = spa.query_id AND den.doc_id = spa.doc_id),
+cand AS (SELECT query_id, doc_id FROM mg JOIN mem USING (doc_id) WHERE source IS DISTINCT FROM 'src1' OR (confidence >= 0.5 AND status IN ('confirmed', 'active') AND importance >= 0.2)), {SCORED_SQL},
+hy AS (SELECT query_id, doc_id, source, {_POL} AS p, {snap_sql(f"0.35 * coalesce(dense, 0) + 0.20 * coalesce(bm25, 0) + 0.30 * coalesce({_RERANK}, 0) + 0.05 * importance + 0.05 * pow(0.5, age / 90.0) + 0.05 * ({_STATUS}) + CASE WHEN source = 'src1' THEN 0.05 * confidence ELSE 0 END + {_BONUS}", 4)} AS score
+ FROM cand JOIN mg USING (query_id, doc_id) JOIN mem USING (doc_id) LEFT JOIN sc USING (query_id, doc_id) WHERE NOT coalesce(valid_days < age, false)),
+fp AS (SELECT query_id, source, arg_max(p, (score, -doc_id)) AS first FROM hy WHERE p <> 0 GROUP BY 1, 2),
+fin AS (SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hy LEFT JOIN fp USING (query_id, source) WHERE p = 0 OR source IS NULL OR p = first QUALIFY rank <= 10)"""
+
+#: Parts of the chain, in the order in which the ladder adds them.
+PARTS = ("dense", "sparse", "bm25", "rerank", "freshness", "priority", "conflicts")
+
+
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """What two recall branches of twenty hits a query find, merged, freed of expired rows and of knowledge rows that lack
+    support, with every score that ``ranked`` may use. Dense likeness is that of hashed n-gram vectors."""
+    q, d = query_texts(spark, sf), docs(spark, sf)
+    near = R.dense_top_k(q.select("query_id", R.embed("text").alias("embedding")), d.select(C("doc_id").alias("vec_id"), R.embed("text").alias("embedding")), 20)
     key = lambda x: x.withColumn("chunk_id", F.struct("query_id", "doc_id"))
-    merged = merge_recall(key(dense), key(sparse)).select("chunk_id.*", "dense_score", "sparse_score")
-    x = merged.join(memories(spark, sf), "doc_id").where(~F.coalesce(C("valid_days") < C("age"), F.lit(False)))
-    x = x.join(bm.withColumnRenamed("score", "bm"), ["query_id", "doc_id"], "left").join(R.overlap(q, d).withColumnRenamed("score", "ov"), ["query_id", "doc_id"], "left")
-    on = lambda name, c: F.coalesce(C(c), F.lit(0.0)) if name in parts else F.lit(0.0)
-    score = 0.35 * on("dense", "dense_score") + 0.20 * on("bm25", "bm") + 0.30 * on("rerank", "ov") + 0.05 * freshness(C("age")) + 0.05 * by_value(C("status"), STATUS_SCORE, 0.6) + 0.02 * by_value(C("source"), PRIORITY, 0.0)
-    return top(x.select("query_id", "doc_id", "source", snap(score, 4).alias("score")), 10)
+    merged = merge_recall(key(near.withColumnRenamed("vec_id", "doc_id")), key(recall(spark, sf, 20))).select("chunk_id.*", "dense_score", "sparse_score")
+    gate = (C("confidence") >= 0.5) & C("status").isin("confirmed", "active") & (C("importance") >= 0.2)
+    m = merged.join(memories(spark, sf).drop("text"), "doc_id").where(~C("source").eqNullSafe("src1") | gate)
+    path = stores.shared_path(spark, "candidates")
+    m.write.parquet(path)  # both branches are used twice below
+    m = spark.read.schema(m.schema).parquet(path)
+    scores = R.candidate_scores(m.select("query_id", "doc_id"), q, d)
+    return m.join(scores, ["query_id", "doc_id"], "left").where(~F.coalesce(C("valid_days") < C("age"), F.lit(False)))
+
+
+def ranked(found: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """(query_id, doc_id, source, score, rank): ten of each query; parts that are left out count as 0. Of each source only what
+    agrees with its best row that isn't neutral."""
+    on = lambda name, c: F.coalesce(c, F.lit(0.0)) if name in parts else F.lit(0.0)
+    branch = [C(f"{b}_score").isNotNull() for b in ("dense", "sparse") if b in parts]
+    score = (
+        0.35 * on("dense", C("dense_score")) + 0.20 * on("bm25", C("bm25")) + 0.30 * on("rerank", rerank_score()) + 0.05 * C("importance")
+        + 0.05 * on("freshness", freshness(C("age"))) + 0.05 * by_value(C("status"), STATUS_SCORE, 0.6)
+        + F.when(C("source") == "src1", 0.05 * C("confidence")).otherwise(0.0) + 0.02 * on("priority", by_value(C("source"), PRIORITY, 0.0))
+    )
+    x = found.where(branch[0] if len(branch) == 1 else branch[0] | branch[1]).select("query_id", "doc_id", "source", polarity().alias("p"), snap(score, 4).alias("score"))
+    if "conflicts" in parts:
+        w = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # forty rows
+        first = F.first(F.when(C("p") != 0, C("p")), ignorenulls=True).over(w)
+        x = x.withColumn("first", first).where("p = 0 or source is null or p = first")
+    return top(x.select("query_id", "doc_id", "source", "score"), 10)
+
+
+def hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked(candidates(spark, sf))
 
 
 @query("pl_hybrid_retrieve", f"WITH {HYBRID_SQL} SELECT query_id, doc_id, score, rank FROM fin")
@@ -415,24 +490,37 @@ def ag_regression(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("metric", snap(C("v")).alias("value"), (C("v") >= C("b") - 0.03).alias("passes"))
 
 
+#: The standard ladder of variants.
+LADDER = {
+    "dense_only": ("dense",), "sparse_only": ("sparse",), "dense_sparse": PARTS[:2], "with_bm25_score": PARTS[:3], "with_reranker": PARTS[:4],
+    "with_freshness": PARTS[:5], "with_source_priority": PARTS[:6], "with_conflict_resolution": PARTS,
+}
+
+
 @query("ag_ablation")
 def ag_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean metrics of the chain as its parts are added one after another."""
-    ladder = [("dense",), ("dense", "bm25"), ("dense", "bm25", "rerank")]
-    out, g = None, gains(spark, sf)
-    for parts in ladder:
-        m = metrics(hybrid(spark, sf, parts), g).agg(*(snap(F.avg(x)).alias(x) for x in _MET)).withColumn("variant", F.lit("+".join(parts)))
+    """Mean metrics of the chain as its parts are added one after another. Candidates are found and scored once. The last
+    variant equals ``ag_ir_run``, which has SQL; a test compares them."""
+    found, path = candidates(spark, sf), stores.shared_path(spark, "scored")
+    found.write.parquet(path)
+    found, out, g = spark.read.schema(found.schema).parquet(path), None, gains(spark, sf)
+    for name, parts in LADDER.items():
+        m = metrics(ranked(found, parts), g).agg(*(snap(F.avg(x)).alias(x) for x in _MET)).withColumn("variant", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out
 
 
 @query("pl_vector_index")
 def pl_vector_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of all documents with a stable point id and the buckets of their hashed vector; rows are keyed by chunk, so a
-    repeated run writes the same rows."""
+    """Chunks of all documents embedded and written as a version of an index keyed by point, then read back: the mapping from
+    chunk to point and the entries of each vector that aren't 0. A repeated run writes the same rows."""
     c = docs(spark, sf).select("doc_id", F.explode(R.chunks(C("text"))).alias("c")).select("doc_id", C("c.index").alias("idx"), C("c.text").alias("text"))
     point = F.sha2(F.concat_ws(":", F.lit("chunk"), C("doc_id").cast("string"), C("idx").cast("string")), 256)
-    return c.select("doc_id", "idx", F.substring(point, 1, 32).alias("point_id"), F.sha2(C("text").cast("binary"), 256).alias("content_hash"), F.size(F.array_distinct(R.words(C("text")))).alias("n_terms"))
+    rows = c.select(F.substring(point, 1, 32).alias("point_id"), "doc_id", "idx", F.sha2(C("text").cast("binary"), 256).alias("content_hash"), R.embed("text").alias("embedding"))
+    path = stores.shared_path(spark, "vectors")
+    stores.append_version(rows, path, 1)
+    back = stores.current(spark, path, ["point_id"])
+    return back.select("doc_id", "idx", "point_id", "content_hash", F.size(F.filter("embedding", lambda x: x > 0)).alias("entries"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 5).alias("norm"))
 
 
 @query("sc_query_intent", "SELECT item_id, CASE WHEN regexp_matches(lower(text), '\\b(risk|loss|danger)\\b') THEN 'risk_review' WHEN regexp_matches(lower(text), '\\b(what|who|when)\\b') THEN 'factual_qa' ELSE 'general' END AS task, CASE WHEN regexp_matches(lower(text), '\\b(risk|loss|danger)\\b') THEN greatest(6 * 3, 18) ELSE greatest(4 * 3, 10) END AS top_n FROM benchmark")

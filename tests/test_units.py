@@ -303,7 +303,32 @@ def test_hash_and_chunks(spark):
     assert one(spark, F.size(retrieval.chunks(F.col("t"))), t="  ") == 0
     got = one(spark, retrieval.chunks(F.col("t"), 4), t=" ab  cd\nef ")
     assert [c.text for c in got] == ["ab c", "d ef"]
-    assert one(spark, retrieval.tokens(F.col("t")), t="Ab c") == ["ab", "ab", "c"]
+    # Words between white space; characters and their n-grams of the text without it, across words.
+    for text in ("Ab c", "\u4e0a\u8bc1\u6307\u6570 \u4e0b\u8dcc", "a\u3000b\u00a0c\n", "x", "", " ", "\U0001f642y"):
+        words, compact = text.lower().split(), "".join(text.lower().split())
+        assert one(spark, retrieval.words(F.col("t")), t=text) == words
+        assert one(spark, retrieval.characters(F.col("t")), t=text) == list(compact)
+        for n in (2, 3):
+            assert one(spark, retrieval.grams(retrieval.characters(F.col("t")), n), t=text) == [compact[i : i + n] for i in range(len(compact) - n + 1)]
+        counts = {}
+        for n in (1, 2, 3):
+            for i in range(len(compact) - n + 1):
+                counts[fnv(compact[i : i + n]) % 384] = counts.get(fnv(compact[i : i + n]) % 384, 0) + 1
+        norm = sum(v * v for v in counts.values()) ** 0.5
+        assert {k: v for k, v in enumerate(retrieval.ngram_vector(text).tolist()) if v} == {k: round(v / norm, 8) for k, v in counts.items()}
+
+
+def test_chinese_query_meets_its_document(spark):
+    """Texts without spaces share characters, bigrams and trigrams, so the right one of two candidates comes first."""
+    q = spark.createDataFrame([(1, "\u80a1\u7968\u4e0b\u8dcc\u98ce\u9669")], "query_id long, text string")
+    d = spark.createDataFrame([(1, "\u4eca\u5929\u5929\u6c14\u5f88\u597d"), (2, "\u8fd9\u53ea\u80a1\u7968\u6709\u4e0b\u8dcc\u98ce\u9669"), (3, None)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "query_id long, doc_id long")
+    got = {r.doc_id: r for r in retrieval.candidate_scores(pairs, q, d).collect()}
+    # Of 6 words and characters ... the query has 1 word, 6 characters, 5 bigrams and 4 trigrams.
+    assert set(got) == {2} and got[2].overlap == (6 + 4 + 2) / 16 and got[2].bm25 > 0
+    both = d.select(F.col("doc_id").alias("vec_id"), retrieval.embed("text").alias("embedding"))
+    best = retrieval.dense_top_k(q.select("query_id", retrieval.embed("text").alias("embedding")), both, 1).first()
+    assert best.vec_id == 2
 
 
 def test_dense_top_k_in_blocks(spark, monkeypatch):
