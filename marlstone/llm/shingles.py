@@ -30,16 +30,20 @@ BANDS, IN_BAND = 4, 3
 SAMPLED, COMMON, COMMON_ROWS = 16, 3, 500_000
 #: Pairs of a bucket that are listed at once.
 CHUNK = 1 << 20
+#: Counters of a sketch, and the count at which one is full.
+COUNTERS, FULL = 256, 255
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array([xxhash.xxh64_intdigest(bytes([k]), 1) for k in range(BANDS * IN_BAND)], dtype=np.uint64)
 
 
 class _Words(dict):
-    """Hashes of words; the first 200,000 are remembered."""
+    """Hashes of words; the first 50,000 are remembered."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 5)
-        if len(self) < 200_000:
+        if len(self) < 50_000:
             self[word] = h
         return h
 
@@ -72,6 +76,18 @@ def set_fingerprint(own: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > own.size).tobytes(), "big", signed=True)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Members of a set by the upper bits of their hash, as many counters of a byte."""
+    return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=COUNTERS), FULL).astype(np.uint8).tobytes()
+
+
+def may_be_near(a: bytes, b: bytes, x: int, y: int) -> bool:
+    """Whether sets of x and y members with these sketches can be near copies: they share no more than the lesser count of
+    each counter. A counter that is full in both may hold any number."""
+    least = np.minimum(np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8))
+    return bool(least.max() == FULL) or near(int(least.sum(dtype=np.int64)), x, y)
+
+
 def near(shared: int, x: int, y: int) -> bool:
     """Whether sets of x and y members that share so many have a similarity of 0.8 or more."""
     return 9 * shared >= 4 * (x + y)
@@ -94,18 +110,20 @@ def _common(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, size, fp, bands, prefix): a digest and the size of each set, its SimHash, its bands and its first shingles."""
+    """(doc_id, key, size, sketch, fp, bands, prefix): a digest and the size of each set, its sketch, its SimHash, its bands and its
+    first shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, common = _Words(), sent.value
         for b in batches:
-            keys, sizes, fps, bands, prefixes = [], [], [], [], []
+            keys, sizes, sketches, fps, bands, prefixes = [], [], [], [], [], []
             for text in b["text"]:
                 own = shingle_set(text, words)
                 n = own.size
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(n)
+                sketches.append(sketch(own))
                 fps.append(set_fingerprint(own))
                 if not n:
                     bands.append([])
@@ -117,9 +135,9 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     last = common[np.minimum(np.searchsorted(common, own), common.size - 1)] == own
                     own = np.concatenate([own[~last], own[last]])
                 prefixes.append(own[: n - (4 * n + 4) // 5 + 1].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "size": sizes, "fp": fps, "bands": bands, "prefix": prefixes})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "size": sizes, "sketch": sketches, "fp": fps, "bands": bands, "prefix": prefixes})
 
-    return map_texts(docs, run, "doc_id long, key binary, size int, fp long, bands array<long>, prefix array<long>", id_col, text_col)
+    return map_texts(docs, run, "doc_id long, key binary, size int, sketch binary, fp long, bands array<long>, prefix array<long>", id_col, text_col)
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,15 +179,26 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from listed(held)
 
 
-def near_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``pairs`` (a, b: ids) whose texts are near copies by their whole shingle sets."""
-    pairs = cut(pairs.distinct())
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _with_both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b) with the columns of both ids' rows of ``rows`` (doc_id and ``columns``), named after the side. Only rows
+    that some pair has are moved."""
+    joined = pairs
     for side in ("a", "b"):
-        sized = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
-        known = sized.join(texts.withColumnsRenamed({"id": side, "text": f"text_{side}"}), side)
-        spread = F.xxhash64("a", "b")
-        joined = join_sized(pairs if side == "a" else joined, known, side, "n", spread, "inner").drop("n")
+        sized = cut(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")))
+        asked = F.broadcast(sized) if sized.count() <= BROADCAST_IDS else sized
+        known = rows.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)).join(asked, side)
+        joined = join_sized(joined, known, side, "n", F.xxhash64("a", "b"), "inner").drop("n")
+    return joined
+
+
+def near_pairs(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``pairs`` (a, b: ids) whose texts are near copies by their whole shingle sets. ``rows`` are the texts'
+    sketches; pairs that cannot be near by these need no texts."""
+
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fits = [may_be_near(a, b, x, y) for a, b, x, y in zip(batch["sketch_a"], batch["sketch_b"], batch["size_a"], batch["size_b"], strict=True)]
+            yield batch.loc[np.array(fits, dtype=bool), ["a", "b"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
@@ -182,7 +211,10 @@ def near_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_c
                 kept.append(near(np.intersect1d(own, other, assume_unique=True).size, own.size, other.size))
             yield batch.loc[np.array(kept, dtype=bool), ["a", "b"]]
 
-    return cut(joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct())
+    sketched = _with_both(cut(pairs.distinct()), rows, "sketch", "size").select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b")
+    left = cut(sketched.mapInPandas(possible, "a long, b long").distinct())
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return cut(_with_both(left, texts, "text").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct())
 
 
 def _fingerprint_stars(own: DataFrame, link_fingerprints: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -213,11 +245,11 @@ def redundant_ids(docs: DataFrame, link_fingerprints: Callable[[DataFrame], Data
     banded = own.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     first = cut(banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     stars = join_sized(banded, first, "band", "n", F.xxhash64("node"), "inner").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    sure = near_pairs(_fingerprint_stars(own, link_fingerprints).unionByName(stars), docs, id_col, text_col)
+    sure = near_pairs(_fingerprint_stars(own, link_fingerprints).unionByName(stars), docs, own.select("doc_id", "sketch", "size"), id_col, text_col)
     parts = components(sure).select(F.col("a").alias("doc_id"), F.col("b").alias("part"))
 
     tagged = own.join(parts, "doc_id", "left").select("doc_id", F.coalesce("part", "doc_id").alias("part"), "size", "prefix")
     dealt = tagged.select(F.col("doc_id").alias("node"), "part", "size", F.posexplode("prefix").alias("pos", "sh"))
     dealt = dealt.select("sh", "part", "node", "size", "pos").repartition("sh").sortWithinPartitions("sh", "part")
-    further = near_pairs(dealt.mapInPandas(_pairs, "a long, b long"), docs, id_col, text_col)
+    further = near_pairs(dealt.mapInPandas(_pairs, "a long, b long"), docs, own.select("doc_id", "sketch", "size"), id_col, text_col)
     return components(sure.unionByName(further)).select(F.col("a").alias("gone")).unionByName(met).distinct()

@@ -18,7 +18,7 @@ from marlstone.llm.bpe import SPACE
 
 LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
 #: Words of the current generation; when there are so many, they become the old one, whose words return when met.
-KEPT = 500_000
+KEPT = 200_000
 #: Longer words are not kept.
 KEPT_LENGTH = 48
 #: Characters of texts that are split at once, and a place where a longer text may be cut: a space that begins a word.
