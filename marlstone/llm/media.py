@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marlstone.llm.jpeg import BLOCK_BYTES, Image, encode
 from marlstone.llm.session import map_texts
@@ -39,8 +38,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def tensors(stored: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, payload, height, width, rgb) per row of ``stored``: the bytes read back from the image's
-    coefficients, and its full-resolution RGB tensor, uint8 in row-major order.
+    """(doc_id, n_bytes, media, payload, height, width, rgb, feature) per row of ``stored``: the bytes read back from the
+    image's coefficients, its full-resolution RGB tensor, uint8 in row-major order, and the tensor's feature.
 
     Null or equal ids keep their rows; an empty table gives an empty result.
     """
@@ -48,17 +47,15 @@ def tensors(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), AT_ONCE):
-                some = b.iloc[at : at + AT_ONCE]
-                images = [Image(m) for m in some["media"]]
-                yield some.assign(
-                    payload=[i.payload() for i in images],
-                    height=[i.height for i in images],
-                    width=[i.width for i in images],
-                    rgb=[b"".join([strip.tobytes() for strip in i.rgb_strips()]) for i in images],
-                )
+                some, rows = b.iloc[at : at + AT_ONCE], []
+                for media in some["media"]:
+                    image = Image(media)
+                    rgb = b"".join([strip.tobytes() for strip in image.rgb_strips()])
+                    rows.append((image.payload(), image.height, image.width, rgb, feature(image.height, image.width, rgb)))
+                yield some.assign(**dict(zip(("payload", "height", "width", "rgb", "feature"), map(list, zip(*rows, strict=True)), strict=True)))
 
     return stored.select("doc_id", "n_bytes", "media").mapInPandas(
-        run, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary"
+        run, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary, feature string"
     )
 
 
@@ -78,20 +75,8 @@ def feature(height: int, width: int, rgb: bytes) -> str:
 def digests(read: DataFrame) -> DataFrame:
     """What the columns of ``tensors`` hold: payload_bytes, payload_sha256, tail_crc32 (of its last 64 bytes), media_bytes,
     media_sha256 and the feature of the RGB tensor, per row of ``read``. Null or equal ids keep their rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for media, payload, height, width, rgb in zip(b["media"], b["payload"], b["height"], b["width"], b["rgb"], strict=True):
-                rows.append(
-                    (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(height, width, rgb))
-                )
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            out.insert(1, "n_bytes", b["n_bytes"].to_numpy())
-            yield out
-
-    return read.mapInPandas(
-        run,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
-    )
+    size = lambda c: F.octet_length(c).cast("long")
+    return read.select(
+        "doc_id", "n_bytes", size("payload").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
