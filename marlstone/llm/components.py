@@ -12,23 +12,23 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _least(links: DataFrame) -> DataFrame:
+def _least(links: DataFrame, rows: int) -> DataFrame:
     """(a, m): the least neighbour of each node. Stored, so that the join with it has a shuffle of its own on both sides and
     adaptive execution can split the partition of a node with very many links."""
-    return stored(links.groupBy("a").agg(F.min("b").alias("m")), "least")
+    return stored(links.groupBy("a").agg(F.min("b").alias("m")), "least", rows)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, rows: int) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbours and itself."""
     near = _both_ways(links)
-    least = _least(near).select("a", F.least("a", "m").alias("m"))
+    least = _least(near, 2 * rows).select("a", F.least("a", "m").alias("m"))
     return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, rows: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of these."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _least(down)
+    least = _least(down, rows)
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -48,7 +48,9 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     if not before[0]:
         return now
     for _ in range(limit):
-        now = stored(_small_star(stored(_large_star(now), "links")), "links")
+        rows = before[0]
+        large = stored(_large_star(now, rows), "links", 2 * rows)
+        now = stored(_small_star(large, 2 * rows), "links", 4 * rows)
         after = digest(now)
         if after == before:
             return now

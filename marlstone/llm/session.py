@@ -37,10 +37,17 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a file that ``stored`` writes when the number of rows is known.
+FILE_ROWS = 200_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read again. Unlike ``cut`` it carries no constraints over, which
-    would pile up over many rounds, and its size is known to the planner."""
+    would pile up over many rounds, and its size is known to the planner. With ``rows``, an upper bound of its rows, it is
+    written in files of FILE_ROWS, not one for each of many nearly empty partitions."""
     path = new_table_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
