@@ -402,3 +402,13 @@ def test_uuid5(spark):
     from marlstone.plans.remaining import uuid5
 
     assert one(spark, uuid5(F.col("t")), t="chunk:1") == str(uuid.uuid5(uuid.NAMESPACE_URL, "chunk:1"))
+
+
+def test_last_variant_of_the_ladder_is_the_whole_chain(spark, sf):
+    import marlstone.plans  # noqa: F401
+    from marlstone.registry import REGISTRY
+
+    rows = {r.variant: r for r in REGISTRY["ag_ablation"].build(spark, sf).collect()}
+    whole = REGISTRY["ag_ir_run"].build(spark, sf).first()
+    assert len(rows) == 8
+    assert all(rows["with_conflict_resolution"][m] == whole[m] for m in ("recall", "precision5", "rr", "ndcg"))
