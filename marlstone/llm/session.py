@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +28,35 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Settings while a table is stored: Arrow batches for Python of 8 MB at most, and shuffle files that go once it is there.
+STORING = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextmanager
+def storing(spark: SparkSession) -> Iterator[None]:
+    """The session under STORING; its own settings hold again afterwards. For results that are computed within the block: what
+    is only declared in it runs under the session's own."""
+    own = {k: spark.conf.get(k, None) for k in STORING}
+    for k, v in STORING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in own.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared folder, so a lost executor costs no lineage."""
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with storing(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -48,7 +74,8 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    df.write.parquet(path)
+    with storing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.session import cut, join_sized, map_texts
+from marlstone.llm.session import cut, join_sized, map_texts, storing
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -105,7 +105,8 @@ def _common(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
     sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLED)) == 0)
     counts = map_texts(sample, run, "sh long", id_col, text_col).groupBy("sh").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    got = counts.orderBy(F.desc("n"), "sh").limit(COMMON_ROWS).select("sh").toPandas()
+    with storing(docs.sparkSession):
+        got = counts.orderBy(F.desc("n"), "sh").limit(COMMON_ROWS).select("sh").toPandas()
     return np.sort(got["sh"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
