@@ -205,14 +205,14 @@ def pl_outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ATTRIBUTION_SQL = """at0 AS (SELECT o_orderkey AS decision_id, CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderkey % 101 - 50) / 500::DOUBLE END AS absolute, CASE WHEN o_orderkey % 17 <> 0 THEN (o_orderkey % 61 - 30) / 500::DOUBLE END AS market,
- CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 71 - 35) / 500::DOUBLE END AS sector_excess, CASE WHEN o_orderkey % 7 <> 0 THEN -(o_orderkey % 97) / 1000::DOUBLE END AS mae FROM orders), atr AS (SELECT *, absolute - market AS market_excess FROM at0)"""
+ CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 71 - 35) / 500::DOUBLE END AS sector_excess, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 83 - 41) / 500::DOUBLE END AS theme_excess, CASE WHEN o_orderkey % 7 <> 0 THEN -(o_orderkey % 97) / 1000::DOUBLE END AS mae FROM orders), atr AS (SELECT *, absolute - market AS market_excess FROM at0)"""
 
 
 def attribution_rows(spark: SparkSession, sf: str) -> DataFrame:
     k = C("o_orderkey")
     a = table(spark, sf, "orders").select(
         k.alias("decision_id"), F.when(k % 13 != 0, (k % 101 - 50) / 500.0).alias("absolute"), F.when(k % 17 != 0, (k % 61 - 30) / 500.0).alias("market"),
-        F.when(k % 11 != 0, (k % 71 - 35) / 500.0).alias("sector_excess"), F.when(k % 7 != 0, -(k % 97) / 1000.0).alias("mae"),
+        F.when(k % 11 != 0, (k % 71 - 35) / 500.0).alias("sector_excess"), F.when(k % 5 != 0, (k % 83 - 41) / 500.0).alias("theme_excess"), F.when(k % 7 != 0, -(k % 97) / 1000.0).alias("mae"),
     )
     return a.withColumn("market_excess", C("absolute") - C("market"))
 
@@ -220,12 +220,13 @@ def attribution_rows(spark: SparkSession, sf: str) -> DataFrame:
 def verdicts() -> dict[str, Column]:
     """1 for correct, -1 for wrong, 0 for unknown, by what was judged."""
     sign = lambda x: F.when(x > 0.02, 1).when(x < -0.02, -1).otherwise(0)
-    a, m, me, se, mae = (C(x) for x in ("absolute", "market", "market_excess", "sector_excess", "mae"))
+    a, m, me, se, te, mae = (C(x) for x in ("absolute", "market", "market_excess", "sector_excess", "theme_excess", "mae"))
     return {
         "direction": sign(a),
         "market_regime": F.when((m > 0.02) & (a > 0), 1).when((m < -0.02) & (a < 0), -1).otherwise(0),
         "stock_selection": sign(me),
         "sector_selection": F.when((me > 0.02) & (se < -0.02), -1).otherwise(sign(se)),
+        "theme_selection": sign(te),
         "entry_timing": F.when((mae <= -0.05) & (a - mae >= 0.03), -1).when(mae >= -0.01, 1).otherwise(0),
     }
 
@@ -236,6 +237,7 @@ VERDICT_SQL = {
     "market_regime": "CASE WHEN market > 0.02 AND absolute > 0 THEN 1 WHEN market < -0.02 AND absolute < 0 THEN -1 ELSE 0 END",
     "stock_selection": _SGN.format("market_excess"),
     "sector_selection": f"CASE WHEN market_excess > 0.02 AND sector_excess < -0.02 THEN -1 ELSE {_SGN.format('sector_excess')} END",
+    "theme_selection": _SGN.format("theme_excess"),
     "entry_timing": "CASE WHEN mae <= -0.05 AND absolute - mae >= 0.03 THEN -1 WHEN mae >= -0.01 THEN 1 ELSE 0 END",
 }
 
@@ -254,7 +256,7 @@ def sc_attribution(spark: SparkSession, sf: str) -> DataFrame:
 _JUDGED = " + ".join(f"abs({v})" for v in VERDICT_SQL.values())
 
 
-@query("sc_applicability", f"WITH {ATTRIBUTION_SQL} SELECT decision_id, round(({_JUDGED}) / 5, 6) AS applicability FROM atr")
+@query("sc_applicability", f"WITH {ATTRIBUTION_SQL} SELECT decision_id, round(({_JUDGED}) / 6, 6) AS applicability FROM atr")
 def sc_applicability(spark: SparkSession, sf: str) -> DataFrame:
     """Share of what was judged either way."""
     v = verdicts()
