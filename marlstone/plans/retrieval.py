@@ -11,7 +11,7 @@ from marlstone.plans.joins import merge_recall, text_day
 from marlstone.plans.sectors import snap, snap_sql
 from marlstone.registry import query
 from marlstone.sources import stores
-from marlstone.sources.tables import table
+from marlstone.sources.tables import over_cores, table
 
 C = F.col
 
@@ -20,6 +20,11 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def dealt_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents for work that takes far longer than reading them."""
+    return over_cores(docs(spark, sf))
+
+
 # ---- scalars over texts
 
 _TERMS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
@@ -63,13 +68,17 @@ def sc_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.size(found).cast("long").alias("numbers"), F.size(F.filter(found, lambda x: ~F.contains(head, x))).cast("long").alias("beyond_head"))
 
 
+#: Queries, each of at most some thousand distinct characters, that meet all documents in one block.
+CHARACTER_QUERIES = 2_000
+
+
 @query("sc_char_overlap", "WITH q AS (SELECT item_id, list_filter(list_distinct(string_split(lower(text), '')), lambda c: c <> '') AS cs FROM benchmark WHERE item_id % 100 = 0), d AS (SELECT doc_id, list_distinct(string_split(lower(coalesce(text, '')), '')) AS ds FROM documents) SELECT item_id, doc_id, round(len(list_intersect(cs, ds)) / len(cs), 6) AS score FROM q, d WHERE len(cs) > 0")
 def sc_char_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a query's distinct characters that each whole document has: every query whose id is divisible by 100 against
     all documents, queries broadcast in blocks."""
     q = table(spark, sf, "benchmark").where("item_id % 100 = 0").select("item_id", F.filter(F.array_distinct(F.split(F.lower("text"), "")), lambda c: c != "").alias("cs")).where(F.size("cs") > 0)
     d = docs(spark, sf).select("doc_id", F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "")).alias("ds"))
-    blocks, out = max(1, -(-q.count() // R.QUERY_BLOCK)), None
+    blocks, out = max(1, -(-q.count() // CHARACTER_QUERIES)), None
     for b in range(blocks):
         own = d.join(F.broadcast(q.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)))
         own = own.select("item_id", "doc_id", F.round(F.size(F.array_intersect("cs", "ds")) / F.size("cs"), 6).alias("score"))
@@ -301,7 +310,7 @@ sc AS (SELECT query_id, doc_id, sum(coalesce(n * ln(1 + (n_docs - df + 0.5) / (d
 
 
 def corpus_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", R.words(C("text")).alias("terms"))
+    return dealt_docs(spark, sf).select("doc_id", R.words(C("text")).alias("terms"))
 
 
 def query_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -377,7 +386,7 @@ _DOC_VECTORS = _vectors_sql("dv", "doc_id", "documents")
 @query("ag_embed_ngram", f"WITH {_DOC_VECTORS} SELECT doc_id, bucket::INT AS bucket, value::DOUBLE AS value FROM dv")
 def ag_embed_ngram(spark: SparkSession, sf: str) -> DataFrame:
     """Hashed 1- to 3-grams of each whole document, scaled to length 1: (doc_id, bucket, value) of what isn't 0."""
-    v = docs(spark, sf).select("doc_id", R.embed("text").alias("v"))
+    v = dealt_docs(spark, sf).select("doc_id", R.embed("text").alias("v"))
     return v.select("doc_id", F.posexplode("v").alias("bucket", "value")).where("value > 0")
 
 
@@ -402,7 +411,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """What two recall branches of twenty hits a query find, merged, freed of expired rows and of knowledge rows that lack
     support, with every score that ``ranked`` may use. Dense likeness is that of hashed n-gram vectors."""
     q, d = query_texts(spark, sf), docs(spark, sf)
-    near = R.dense_top_k(q.select("query_id", R.embed("text").alias("embedding")), d.select(C("doc_id").alias("vec_id"), R.embed("text").alias("embedding")), 20)
+    near = R.dense_top_k(q.select("query_id", R.embed("text").alias("embedding")), dealt_docs(spark, sf).select(C("doc_id").alias("vec_id"), R.embed("text").alias("embedding")), 20)
     key = lambda x: x.withColumn("chunk_id", F.struct("query_id", "doc_id"))
     merged = merge_recall(key(near.withColumnRenamed("vec_id", "doc_id")), key(recall(spark, sf, 20))).select("chunk_id.*", "dense_score", "sparse_score")
     gate = (C("confidence") >= 0.5) & C("status").isin("confirmed", "active") & (C("importance") >= 0.2)

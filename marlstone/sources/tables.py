@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """``df``, dealt evenly over the cores where the planner's size of it is below one scan split per core: a small file may be
+    a single row group, which one task reads. Larger tables have splits enough and are not shuffled."""
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, 128 << 20
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: symbol, d, open, high, low, close, volume, amount. The open is the close before, or the first low."""
     price = F.col("l_extendedprice") / F.col("l_quantity")

@@ -27,8 +27,7 @@ def plain(v):
     return v.item() if hasattr(v, "item") else v
 
 
-@pytest.mark.parametrize("name", WITH_SQL)
-def test_query_equals_sql(spark, sf, con, name):
+def compare(spark, sf, con, name):
     df = REGISTRY[name].build(spark, sf)
     got = [tuple(map(plain, r)) for r in df.collect()]
     r = con.execute(REGISTRY[name].sql)
@@ -40,6 +39,11 @@ def test_query_equals_sql(spark, sf, con, name):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("name", WITH_SQL)
+def test_query_equals_sql(spark, sf, con, name):
+    compare(spark, sf, con, name)
+
+
 @pytest.mark.parametrize("name", sorted(n for n, q in REGISTRY.items() if not q.sql))
 def test_query_without_sql_runs(spark, sf, name):
     assert REGISTRY[name].build(spark, sf).count() > 0

@@ -337,7 +337,7 @@ def test_dense_top_k_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     ask = df.withColumnRenamed("vec_id", "query_id")
     whole = sorted(map(tuple, retrieval.dense_top_k(ask, df, 3).collect()))
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 7 * 8 * 8)
     assert sorted(map(tuple, retrieval.dense_top_k(ask, df, 3).collect())) == whole
     assert len(whole) == 180 and all(r[1] == r[0] for r in whole if r[3] == 1)
 
