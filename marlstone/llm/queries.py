@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe_codec, chat, exact_dedup, html_text, media, packing, quality, simhash, token_counts, toxicity
+from marlstone.llm import bpe_codec, centroids, chat, exact_dedup, html_text, media, packing, quality, ranked_search, simhash, token_counts, toxicity, url_filter
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -120,6 +120,82 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.tensors(media.store(table(spark, sf_dir, "documents"))))
 
 
+#: Rules of the URL filter: host, path and verdict.
+RULES = [url_filter.Rule(*r) for r in (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels carry over to pages by their id: no other labels of pages are given."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.outcomes(table(spark, sf_dir, "labels")), RULES)
+
+
+def _op11_sql() -> str:
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    longest = sorted(RULES, key=lambda r: (len(r.name), r.name), reverse=True)
+    name, verdict = (" ".join(f"WHEN {fits(r)} THEN '{v(r)}'" for r in longest) for v in (lambda r: r.name, lambda r: r.verdict))
+    two = ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL_SUFFIXES)
+    tail = lambda n: f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+
+    def rho(children: str, parents: str) -> str:
+        a = f"SELECT sum(n)::DOUBLE AS a, count(*) AS c, sum(n * (k / n - pk / pn) * (k / n - pk / pn)) AS b, sum(n * (k / n) * (1 - k / n)) AS w, sum(n * n / pn) AS z FROM {children} WHERE n > 0"
+        r = "(b / (c - p) - w / (a - c)) / (b / (c - p) + ((a - z) / (c - p) - 1) * (w / (a - c)))"
+        ok = "c > p AND a > c AND b / (c - p) + ((a - z) / (c - p) - 1) * (w / (a - c)) > 0"
+        held = f"least(greatest(coalesce(CASE WHEN {ok} THEN {r} END, {url_filter.LEAST_RHO}), {url_filter.LEAST_RHO}), {url_filter.MOST_RHO})"
+        return f"SELECT (1 - rho) / rho AS s FROM (SELECT {held} AS rho FROM ({a}), (SELECT count(*) AS p FROM {parents} WHERE n > 0))"
+
+    return f"""
+WITH p0 AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+p AS (SELECT page_id, translate(host, '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, path FROM p0),
+o AS (SELECT doc_id AS page_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels WHERE doc_id IS NOT NULL AND coalesce(toxic, quality) IS NOT NULL GROUP BY 1),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, {tail(2)} AS two FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+hd AS (SELECT host, n, k, CASE WHEN two IN ({two}) THEN {tail(3)} ELSE two END AS domain, CASE WHEN two IN ({two}) THEN two ELSE {tail(1)} END AS suffix FROM h),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hd GROUP BY 1, 2), s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1), g AS (SELECT sum(n) AS n, sum(k) AS k FROM s),
+s1 AS (SELECT s.*, g.n AS pn, g.k AS pk, (g.k + 0.5::DOUBLE) / (g.n + 1) AS prior FROM s, g), cs AS ({rho('s1', 'g')}), sp AS (SELECT suffix, n, k, (s * prior + k) / (s + n) AS mean FROM s1, cs),
+d1 AS (SELECT d.*, sp.n AS pn, sp.k AS pk, mean AS prior FROM d JOIN sp USING (suffix)), cd AS ({rho('d1', 'sp')}), dp AS (SELECT domain, n, k, (s * prior + k) / (s + n) AS mean FROM d1, cd),
+h1 AS (SELECT host, hd.n, hd.k, dp.n AS pn, dp.k AS pk, mean AS prior FROM hd JOIN dp USING (domain)), ch AS ({rho('h1', 'dp')}), hp AS (SELECT host, (s * prior + k) / (s + n) AS mean, s + n AS trials FROM h1, ch),
+hb AS (SELECT host, greatest(mean - {url_filter.SIGMAS}::DOUBLE * sqrt(mean * (1 - mean) / (trials + 1)), 0) AS bound FROM hp)
+SELECT page_id, host, path, CASE {name} END AS rule, coalesce(CASE {verdict} END, CASE WHEN bound >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 6) AS bad_bound FROM p JOIN hb USING (host)
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, components=64, salt="2:")
+
+
+def _op12_sql(k: int = 40, rounds: int = 5, components: int = 64) -> str:
+    near = lambda c: f"(SELECT rid, vec_id, arg_min(c, (dist, c)) AS c, min(dist) AS dist FROM (SELECT rid, vec_id, c, list_sum(list_transform(list_zip(v.x, {c}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS dist FROM v, {c}) GROUP BY rid, vec_id)"
+    steps = [f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {components}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), rid) - 1 AS c, x FROM v QUALIFY c < {k})"""]
+    for r in range(rounds):
+        mean = f"SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM (SELECT c, i, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT c, generate_subscripts(x, 1) AS i, unnest(x) AS e FROM {near(f'c{r}')} JOIN (SELECT rid, x FROM v) USING (rid)) GROUP BY c, i) GROUP BY c"
+        steps.append(f"m{r} AS MATERIALIZED ({mean}), c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (c))")
+    last = f"c{rounds}"
+    return ", ".join(steps) + f""", a AS MATERIALIZED {near(last)}
+SELECT vec_id, c::INT AS cluster, dist AS distance, sum(dist) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(dist) OVER ()::BIGINT AS inertia, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM a JOIN {last} USING (c)"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), q AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark),
+g AS (SELECT count(*) AS N, sum(len(ts))::BIGINT AS L FROM d WHERE len(ts) > 0), m AS (SELECT doc_id, ts, 100 - 25 + (25 * len(ts) * N) // L AS m FROM d, g WHERE len(ts) > 0),
+tf AS (SELECT doc_id, m, t, count(*) AS tf FROM (SELECT doc_id, m, unnest(ts) AS t FROM m) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(N) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY t),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN tf USING (t) JOIN w USING (t) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -131,6 +207,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html": op9_html,
     "op10_media": op10_media,
+    "op11_url_filter": op11_url_filter,
+    "op12_centroids": op12_centroids,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op11_url_filter": OP11_SQL, "op12_centroids": OP12_SQL, "op13_ranked_search": OP13_SQL}
