@@ -22,7 +22,7 @@ def confirm(days: DataFrame) -> DataFrame:
         regime, p = r["regime"], float(r["p"])
         if not s:
             s.update(confirmed=regime, days=1, p=p, candidate=None, n=0)
-            status = "confirmed_switch"
+            status = "stable"
         else:
             s["days"] += 1
             if regime == s["confirmed"]:

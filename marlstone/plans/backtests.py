@@ -11,7 +11,7 @@ from marlstone.functions import prices as X
 from marlstone.functions import scores as S
 from marlstone.functions.series import change
 from marlstone.operators.backtest import prepared, run_top_k
-from marlstone.operators.ordering import ranked, running_max_before
+from marlstone.operators.ordering import materialised, ranked, running_max_before
 from marlstone.operators.regimes import confirm
 from marlstone.plans.joins import text_day
 from marlstone.plans.scores import ARGMAX_SQL, REGIME_SQL, inputs, scored_days
@@ -181,9 +181,9 @@ def normal_cdf(z: Column) -> Column:
     return 0.5 * (1 + F.when(z < 0, -e).otherwise(e))
 
 
-def deflated_sharpe(sharpe: Column, n: Column, trials: int, skew: Column, kurt: Column) -> Column:
+def deflated_sharpe(sharpe: Column, n: Column, trials: Column, skew: Column, kurt: Column) -> Column:
     variance = F.greatest(F.lit(1e-12), 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe)
-    z = (sharpe - math.sqrt(2 * math.log(max(1, trials))) / F.sqrt(n)) * F.sqrt(n - 1) / F.sqrt(variance)
+    z = (sharpe - F.sqrt(2 * F.log(trials)) / F.sqrt(n)) * F.sqrt(n - 1) / F.sqrt(variance)
     return F.when(n > 1, normal_cdf(z)).otherwise(0.0)
 
 
@@ -195,7 +195,7 @@ _ERF_SQL = f"(1 - ((((({ERF[5]} * {_T} + {ERF[4]}) * {_T}) + {ERF[3]}) * {_T} +
 @query("ag_deflated_sharpe", f"WITH {BARS_SQL}, r AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY d) - 1 AS r FROM bars), m AS (SELECT symbol, avg(r) AS mu, stddev_pop(r) AS sd, count(r) AS n FROM r GROUP BY 1), s AS (SELECT symbol, any_value(mu / sd) AS sr, any_value(n) AS n, avg(pow((r - mu) / sd, 3)) AS sk, avg(pow((r - mu) / sd, 4)) AS ku FROM r JOIN m USING (symbol) GROUP BY 1), z AS (SELECT symbol, {_Z} AS z FROM s) SELECT symbol, {snap_sql(f'0.5 * (1 + CASE WHEN z < 0 THEN -{_ERF_SQL} ELSE {_ERF_SQL} END)')} AS dsr FROM z")
 def ag_deflated_sharpe(spark: SparkSession, sf: str) -> DataFrame:
     """Probability that a symbol's Sharpe ratio beats the best of a hundred trials without skill."""
-    return sharpe_statistics(spark, sf).select("symbol", snap(deflated_sharpe(C("sr"), C("n"), 100, C("sk"), C("ku"))).alias("dsr"))
+    return sharpe_statistics(spark, sf).select("symbol", snap(deflated_sharpe(C("sr"), C("n"), F.lit(100), C("sk"), C("ku"))).alias("dsr"))
 
 
 def sharpe_statistics(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,13 +220,18 @@ def ag_pbo(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def overfitting(spark: SparkSession, sf: str) -> DataFrame:
-    r = bars(spark, sf).select("symbol", "d", change(C("close")).alias("r")).where("r is not null")
-    q = r.groupBy("symbol", (F.year("d") % PARTS).alias("part")).agg(F.sum("r").alias("s"), F.count("r").alias("n"))
+    r = bars(spark, sf).select(C("symbol").alias("trial"), (F.year("d") % PARTS).alias("part"), change(C("close")).alias("r"))
+    return overfitting_of(r)
+
+
+def overfitting_of(returns: DataFrame) -> DataFrame:
+    """One row, ``pbo`` and ``splits``, of ``returns`` (trial, part, r), part below PARTS."""
+    q = returns.where("r is not null").groupBy("trial", "part").agg(F.sum("r").alias("s"), F.count("r").alias("n"))
     x = q.select("*", F.explode(F.array(*map(F.lit, _MASKS))).alias("mask"))
     inside = F.expr("shiftright(mask, part) & 1") == 1
     mean = lambda c: F.sum(F.when(c, C("s"))) / F.sum(F.when(c, C("n")))
-    io = x.groupBy("mask", "symbol").agg(mean(inside).alias("i"), mean(~inside).alias("o"))
-    best = io.groupBy("mask").agg(F.max_by("o", F.struct(snap(C("i"), 9).alias("a"), (-C("symbol")).alias("b"))).alias("chosen"), F.count("*").alias("trials"))
+    io = x.groupBy("mask", "trial").agg(mean(inside).alias("i"), mean(~inside).alias("o"))
+    best = io.groupBy("mask").agg(F.max_by("o", F.struct(snap(C("i"), 9).alias("a"), (-C("trial")).alias("b"))).alias("chosen"), F.count("*").alias("trials"))
     c = io.join(best, "mask").groupBy("mask").agg(F.sum(F.when(C("o") <= C("chosen"), 1).otherwise(0)).alias("rank"), F.max("trials").alias("trials"))
     return c.agg(F.round(F.avg((C("rank") <= C("trials") / 2.0).cast("double")), 8).alias("pbo"), F.count("*").alias("splits"))
 
@@ -249,10 +254,67 @@ def ag_walkforward(spark: SparkSession, sf: str) -> DataFrame:
     return walk_forward(spark, sf).select("w", snap(C("ic")).alias("ic"), "days", (C("ic") > 0).alias("passes"))
 
 
-@query("ag_validate_strategy", f"WITH {PBO_SQL}, {WALK_SQL.replace(BARS_SQL + ', ', '')} SELECT (SELECT avg((rank <= trials / 2.0)::INT) FROM c) <= 0.35 AS pbo_ok, (SELECT avg((ic > 0)::INT) FROM wf) >= 0.5 AS walk_ok")
+#: Gates of a strategy: adjusted p value, deflated Sharpe ratio, probability of overfitting, share of windows that hold up.
+ALPHA, LEAST_DSR, MOST_PBO, LEAST_WINDOWS = 0.05, 0.5, 0.35, 0.5
+
+
+def strategy_verdicts(returns: DataFrame, windows: DataFrame) -> DataFrame:
+    """(trial, adjusted_p, deflated_sharpe, pbo, windows, passed, reasons) of each trial of ``returns`` (trial, part, r).
+
+    The p value is that of a mean return above 0; it is adjusted for the false discovery rate over all trials, and the Sharpe
+    ratio is deflated by their number. Overfitting is a fact of the family, and so is the share of its walk-forward
+    ``windows`` (ic) with a positive correlation. Every gate that fails is a reason. A trial without returns, or whose
+    returns don't vary, has a p value of 1 and a deflated Sharpe ratio of 0.
+    """
+    m = returns.groupBy("trial").agg(F.avg("r").alias("mu"), F.stddev_pop("r").alias("sd"), F.count("r").alias("n"))
+    m = m.withColumn("sr", F.when(C("sd") > 0, C("mu") / C("sd")))
+    p = adjusted_p(m.select(C("trial").alias("id"), F.coalesce(1 - normal_cdf(C("sr") * F.sqrt("n")), F.lit(1.0)).alias("p")))
+    trials = m.agg(F.count("*").alias("trials"))  # one row
+    family = overfitting_of(returns).join(windows.agg(F.avg((C("ic") > 0).cast("double")).alias("windows"))).join(trials)
+    x = m.join(p.select(C("id").alias("trial"), C("adjusted").alias("adjusted_p")), "trial").join(F.broadcast(family))
+    x = x.withColumn("deflated_sharpe", F.coalesce(deflated_sharpe(C("sr"), C("n"), C("trials"), F.lit(0.0), F.lit(3.0)), F.lit(0.0)))
+    failed = {
+        "FDR_FAILED": C("adjusted_p") > ALPHA, "DEFLATED_SHARPE_FAILED": C("deflated_sharpe") < LEAST_DSR, "PBO_FAILED": ~(C("pbo") <= MOST_PBO),
+        "WALK_FORWARD_FAILED": ~(F.coalesce("windows", F.lit(0.0)) >= LEAST_WINDOWS),
+    }
+    reasons = F.concat_ws(",", *(F.when(c, name) for name, c in failed.items()))
+    return x.select("trial", "adjusted_p", "deflated_sharpe", "pbo", "windows", (reasons == "").alias("passed"), reasons.alias("reasons"))
+
+
+def _cdf_sql(z: str) -> str:
+    e = _ERF_SQL.replace("z", f"({z})").replace(f"e({z})ro", "zero")
+    return f"(0.5 * (1 + CASE WHEN ({z}) < 0 THEN -{e} ELSE {e} END))"
+
+
+_DSR_Z = "(sr - sqrt(2 * ln(trials)) / sqrt(n)) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 + 0.5 * sr * sr))"
+VALIDATE_SQL = f"""{PBO_SQL}, {WALK_SQL.replace(BARS_SQL + ', ', '')}, tm AS (SELECT symbol, avg(r) AS mu, stddev_pop(r) AS sd, count(r) AS n FROM r GROUP BY 1), ts AS (SELECT symbol, n, CASE WHEN sd > 0 THEN mu / sd END AS sr, count(*) OVER () AS trials FROM tm),
+ tp AS (SELECT *, coalesce(1 - {_cdf_sql('sr * sqrt(n)')}, 1) AS p FROM ts), tq AS (SELECT *, p * trials / row_number() OVER (ORDER BY p, symbol) AS q, row_number() OVER (ORDER BY p, symbol) AS k FROM tp),
+ tv AS (SELECT symbol, least(1.0, min(q) OVER (ORDER BY k DESC)) AS ap, CASE WHEN n > 1 THEN coalesce({_cdf_sql(_DSR_Z)}, 0) ELSE 0 END AS dsr FROM tq), fam AS (SELECT (SELECT round(avg((rank <= trials / 2.0)::INT), 8) FROM c) AS pbo, (SELECT avg((ic > 0)::INT) FROM wf) AS windows)"""
+
+
+@query("ag_validate_strategy", f"WITH {VALIDATE_SQL} SELECT symbol AS trial, {snap_sql('ap')} AS adjusted_p, {snap_sql('dsr')} AS deflated_sharpe, pbo, windows, concat_ws(',', CASE WHEN ap > {ALPHA} THEN 'FDR_FAILED' END, CASE WHEN dsr < {LEAST_DSR} THEN 'DEFLATED_SHARPE_FAILED' END, CASE WHEN NOT pbo <= {MOST_PBO} THEN 'PBO_FAILED' END, CASE WHEN NOT coalesce(windows, 0) >= {LEAST_WINDOWS} THEN 'WALK_FORWARD_FAILED' END) AS reasons FROM tv, fam")
 def ag_validate_strategy(spark: SparkSession, sf: str) -> DataFrame:
-    p = overfitting(spark, sf).select((C("pbo") <= 0.35).alias("pbo_ok"))
-    return p.join(F.broadcast(walk_forward(spark, sf).agg((F.avg((C("ic") > 0).cast("double")) >= 0.5).alias("walk_ok"))))
+    """Every symbol, held as a strategy of its own, against all gates."""
+    r = bars(spark, sf).select(C("symbol").alias("trial"), (F.year("d") % PARTS).alias("part"), change(C("close")).alias("r"))
+    return strategy_verdicts(r, walk_forward(spark, sf)).select("trial", *(snap(C(x)).alias(x) for x in ("adjusted_p", "deflated_sharpe")), "pbo", "windows", "reasons")
+
+
+#: Largest fall from a peak with which a backtest passes.
+MOST_DRAWDOWN = 0.35
+
+
+@query("fd_evaluate_strategy")
+def fd_evaluate_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    """The backtested strategies: metrics of their curves, the gates over their daily returns, and a drawdown gate. The fold
+    beneath has no SQL; ``strategy_verdicts`` and ``curve_metrics`` have."""
+    e = materialised(equity(spark, sf).select(C("strategy").alias("trial"), "d", C("equity").alias("v")))
+    m = curve_metrics(e, "trial")
+    r = e.select("trial", (F.year("d") % PARTS).alias("part"), (C("v") / F.lag("v").over(Window.partitionBy("trial").orderBy("d")) - 1).alias("r"))
+    v = strategy_verdicts(r, walk_forward(spark, sf)).join(m.select("trial", "total_return", "sharpe", "max_drawdown"), "trial")
+    deep = C("max_drawdown") < -MOST_DRAWDOWN
+    reasons = F.concat_ws(",", F.when(C("reasons") != "", C("reasons")), F.when(deep, "DRAWDOWN_FAILED"))
+    out = v.select(C("trial").alias("strategy"), "total_return", "sharpe", "max_drawdown", "adjusted_p", "deflated_sharpe", "pbo", "windows", reasons.alias("reasons"))
+    return out.withColumn("passed", C("reasons") == "")
 
 
 # ---- regimes over time
@@ -269,7 +331,7 @@ _URGENT = "c.regime IN ('high_position_retreat', 'downtrend')"
 _N = "CASE WHEN c.regime = s.cand THEN s.n + 1 ELSE 1 END"
 _SWITCH = f"(c.regime <> s.conf AND {_N} >= {_NEED} AND ({_URGENT} OR (c.p >= s.p + 0.08 AND s.days + 1 >= 2)))"
 MACHINE_SQL = f"""{REGIME_SQL}, cd AS (SELECT row_number() OVER (ORDER BY d) AS i, d, {ARGMAX_SQL} AS regime, greatest(p1, p2, p3, p4, p5, p6) AS p FROM rp),
- sm(i, conf, cand, n, days, p, status) AS (SELECT i, regime, NULL::VARCHAR, 0, 1, p, 'confirmed_switch' FROM cd WHERE i = 1 UNION ALL
+ sm(i, conf, cand, n, days, p, status) AS (SELECT i, regime, NULL::VARCHAR, 0, 1, p, 'stable' FROM cd WHERE i = 1 UNION ALL
  SELECT c.i, CASE WHEN {_SWITCH} THEN c.regime ELSE s.conf END, CASE WHEN c.regime = s.conf OR {_SWITCH} THEN NULL ELSE c.regime END, CASE WHEN c.regime = s.conf OR {_SWITCH} THEN 0 ELSE {_N} END,
   CASE WHEN {_SWITCH} THEN 1 ELSE s.days + 1 END, CASE WHEN c.regime = s.conf OR {_SWITCH} THEN c.p ELSE s.p END, CASE WHEN c.regime = s.conf THEN 'stable' WHEN {_SWITCH} THEN 'confirmed_switch' ELSE 'watch_switch' END
   FROM sm s JOIN cd c ON c.i = s.i + 1)"""

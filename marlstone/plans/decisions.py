@@ -246,11 +246,27 @@ def _listed(value: int) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {v} = {value} THEN '{k}' END" for k, v in VERDICT_SQL.items()) + ")"
 
 
-@query("sc_attribution", f"WITH {ATTRIBUTION_SQL} SELECT decision_id, {_listed(1)} AS correct, {_listed(-1)} AS wrong, {_listed(0)} AS unknown FROM atr")
+def contributions() -> dict[str, Column]:
+    """What market, theme or sector, stock and timing add to a return: the stock's is the excess over its sector, or over the
+    market where no sector is known."""
+    a, sector = C("absolute"), C("absolute") - C("sector_excess")
+    return {"market_regime": C("market"), "theme_selection": F.coalesce("sector_excess", "theme_excess"), "stock_selection": a - F.coalesce(sector, C("market")), "timing": C("mae")}
+
+
+CONTRIBUTION_SQL = {"market_regime": "market", "theme_selection": "coalesce(sector_excess, theme_excess)", "stock_selection": "absolute - coalesce(absolute - sector_excess, market)", "timing": "mae"}
+_SIZES = " + ".join(f"abs(coalesce({c}, 0))" for c in CONTRIBUTION_SQL.values())
+
+
+@query("sc_attribution", f"WITH {ATTRIBUTION_SQL} SELECT decision_id, {_listed(1)} AS correct, {_listed(-1)} AS wrong, {_listed(0)} AS unknown, " + ", ".join(f"{snap_sql(c)} AS {k}, CASE WHEN {_SIZES} > 0 THEN {snap_sql(f'abs({c}) / ({_SIZES})')} END AS {k}_share" for k, c in CONTRIBUTION_SQL.items()) + " FROM atr")
 def sc_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Six dimensions judged, and the contributions with their shares of the sum of all sizes."""
     v = verdicts()
     listed = lambda k: F.concat_ws(",", *(F.when(c == k, name) for name, c in v.items()))
-    return attribution_rows(spark, sf).select("decision_id", listed(1).alias("correct"), listed(-1).alias("wrong"), listed(0).alias("unknown"))
+    a = attribution_rows(spark, sf).withColumn("part", F.struct(*(c.alias(k) for k, c in contributions().items())))
+    size = sum((F.abs(F.coalesce(C(f"part.{k}"), F.lit(0.0))) for k in contributions()), F.lit(0.0))
+    a = a.withColumn("size", size)
+    shares = [x for k in contributions() for x in (snap(C(f"part.{k}")).alias(k), F.when(C("size") > 0, snap(F.abs(C(f"part.{k}")) / C("size"))).alias(f"{k}_share"))]
+    return a.select("decision_id", listed(1).alias("correct"), listed(-1).alias("wrong"), listed(0).alias("unknown"), *shares)
 
 
 _JUDGED = " + ".join(f"abs({v})" for v in VERDICT_SQL.values())

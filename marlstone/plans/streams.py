@@ -15,6 +15,7 @@ from marlstone.registry import query
 from marlstone.sources import stores
 from marlstone.sources.tables import BARS_SQL, MARKET_SQL, TICKS_SQL, bars, market_days, table, ticks
 from marlstone.streaming import ticks as T
+from marlstone.streaming.live import FIELDS, RETENTION, Live
 
 C = F.col
 
@@ -88,20 +89,45 @@ def st_replay(spark: SparkSession, sf: str) -> DataFrame:
     return T.judged(log(spark, sf)).groupBy("symbol").agg(n("ACCEPTED").alias("accepted"), n("LATE_EVENT").alias("late"), n("DUPLICATE_EVENT").alias("duplicates"))
 
 
-@query("st_batch_loop", "SELECT user_id AS symbol, count(*) AS n, floor(sum(value * (1 + event_id % 10)) / sum(1 + event_id % 10) * 10000 + 0.5003717) / 10000 AS vwap FROM events WHERE value > 0 GROUP BY 1")
+#: Micro-batches into which the log is cut, and after how many of them the run is stopped and started again.
+BATCHES, STOPPED_AFTER = 4, 2
+
+
+def live_run(spark: SparkSession, sf: str) -> Live:
+    """The log as a live stream: files in order of arrival, one a micro-batch. The run ends after some of them and is taken up
+    again from its checkpoint when the others have come."""
+    live, source = Live(stores.shared_path(spark, "live")), stores.shared_path(spark, "ticks")
+    given = log(spark, sf).withColumn("event_time", C("event_time").cast("timestamp")).select(*FIELDS)
+    size = (given.agg(F.max("arrival")).first()[0] or 0) // BATCHES + 1
+    for k in range(BATCHES):
+        # A part by arrival; files are taken in the order in which they were written.
+        part = given.where(F.floor(C("arrival") / size) == k)
+        part.coalesce(1).write.mode("append").parquet(source)
+        if k + 1 in (STOPPED_AFTER, BATCHES):
+            stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            live.start(stream).awaitTermination()
+    return live
+
+
+@query("st_batch_loop", f"WITH {FEATURES_SQL} SELECT symbol, n, " + ", ".join(f"{snap_sql(v)} AS {k}" for k, v in _OUT.items()) + " FROM fe")
 def st_batch_loop(spark: SparkSession, sf: str) -> DataFrame:
-    """The live stream over the stored events, run to its end: state per symbol after all micro-batches."""
-    source = stores.shared_path(spark, "ticks")
-    ticks(spark, sf).withColumn("event_time", C("event_time").cast("timestamp")).write.parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    out = stores.shared_path(spark, "live")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(out)
-
-    q = T.live_features(stream).writeStream.outputMode("update").option("checkpointLocation", stores.shared_path(spark, "state")).foreachBatch(write).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return T.latest_state(spark.read.schema(T.LIVE_SCHEMA).parquet(out)).select("symbol", "n", snap(C("vwap"), 4).alias("vwap"))
+    """Features of all symbols after a live run of several micro-batches with a restart: those of the replay."""
+    live = live_run(spark, sf)
+    n = live.state(spark).groupBy("symbol").agg(F.count("*").alias("n"))
+    return live.features(spark).join(n, "symbol").select("symbol", "n", *(snap(C(k)).alias(k) for k in _OUT))
+
+
+@query("sink_redis_stream", f"WITH {LOG_SQL} SELECT arrival, event_id, verdict FROM judged WHERE event_time >= (SELECT max(event_time) FROM ticks) - INTERVAL {RETENTION} SECOND")
+def sink_redis_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """What a live run keeps of its log."""
+    return live_run(spark, sf).log(spark).select("arrival", "event_id", "verdict")
+
+
+@query("sink_state_kv", f"WITH {FEATURES_SQL} SELECT symbol, count(*) AS kept, min(arrival) AS oldest, max(arrival) AS newest, round(sum(amount), 4) AS amount FROM an WHERE back <= {T.KEPT} GROUP BY symbol")
+def sink_state_kv(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of each symbol that a live run leaves, read back by a batch query."""
+    s = live_run(spark, sf).state(spark).groupBy("symbol")
+    return s.agg(F.count("*").alias("kept"), F.min("arrival").alias("oldest"), F.max("arrival").alias("newest"), F.round(F.sum("amount"), 4).alias("amount"))
 
 
 # ---- sources and sinks

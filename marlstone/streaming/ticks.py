@@ -1,13 +1,11 @@
-"""Tick events: exact batch replay of a log in arrival order, and the Structured Streaming form for live input."""
+"""Tick events in arrival order: verdicts, features of symbols and sectors. ``streaming.live`` has them for live input."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marlstone.operators.ordering import running_max_before
 
@@ -23,15 +21,21 @@ def valid(events: DataFrame) -> DataFrame:
     return events.where((C("last") > 0) & (C("volume") >= 0) & C("event_id").isNotNull() & C("event_time").isNotNull())
 
 
-def judged(events: DataFrame, lateness: int = LATENESS) -> DataFrame:
+def judged(events: DataFrame, lateness: int = LATENESS, seen: DataFrame | None = None, latest: datetime | None = None) -> DataFrame:
     """``verdict`` per row of a log (arrival, event_id, symbol, event_time, ...): DUPLICATE_EVENT when the id arrived before,
     LATE_EVENT when more than ``lateness`` seconds behind the latest event time that arrived before it, else ACCEPTED.
 
-    Late events lie below the largest event time anyway, so it runs over all first arrivals.
+    Late events lie below the largest event time anyway, so it runs over all first arrivals. For a later part of a log,
+    ``seen`` (event_id) are the ids and ``latest`` is the largest event time of what came before.
     """
     w = Window.partitionBy("event_id").orderBy("arrival")
     marked = events.withColumn("first", F.row_number().over(w) == 1)
+    if seen is not None:
+        known = seen.select("event_id").distinct().withColumn("_seen", F.lit(True))
+        marked = marked.join(known, "event_id", "left").withColumn("first", C("first") & C("_seen").isNull()).drop("_seen")
     ran = running_max_before(marked.withColumn("known", F.when(C("first"), C("event_time"))), "known", "latest", C("arrival"))
+    if latest is not None:
+        ran = ran.withColumn("latest", F.greatest(C("latest"), F.lit(latest).cast(ran.schema["latest"].dataType)))
     late = C("event_time") < C("latest") - F.expr(f"interval {lateness} seconds")
     verdict = F.when(~C("first"), "DUPLICATE_EVENT").when(late, "LATE_EVENT").otherwise("ACCEPTED")
     return ran.withColumn("verdict", verdict).drop("known", "first")
@@ -64,42 +68,3 @@ def sector_aggregate(features: DataFrame) -> DataFrame:
     market = features.agg(F.avg(r).alias("market"), F.avg((r > 0).cast("double")).alias("breadth"))  # one row
     g = features.groupBy(F.coalesce("sector", F.lit("UNKNOWN")).alias("sector")).agg(F.avg(r).alias("own"), F.avg("limited").alias("limit_share"), F.count("*").alias("symbols"))
     return g.join(F.broadcast(market)).select("sector", (C("own") - C("market")).alias("relative"), "limit_share", "breadth", "symbols")
-
-
-# ---- live
-
-LIVE_SCHEMA = "symbol long, event_time timestamp, last double, return_1m double, vwap double, n long"
-STATE_SCHEMA = "times array<bigint>, lasts array<double>, volume double, amount double, n long"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """New state of a symbol: its last KEPT events and running totals."""
-    times, lasts, volume, amount, n = state.get if state.exists else ([], [], 0.0, 0.0, 0)
-    times, lasts = list(times), list(lasts)
-    for b in batches:
-        b = b.sort_values(["event_time", "event_id"])
-        times += [t.value // 1000 for t in b["event_time"]]  # microseconds
-        lasts += b["last"].tolist()
-        volume, amount, n = volume + float(b["volume"].sum()), amount + float(b["amount"].sum()), n + len(b)
-    times, lasts = times[-KEPT:], lasts[-KEPT:]
-    state.update((times, lasts, volume, amount, n))
-    before = [p for t, p in zip(times, lasts, strict=True) if times[-1] - t >= 60_000_000]
-    yield pd.DataFrame(
-        {
-            "symbol": [key[0]], "event_time": [pd.Timestamp(times[-1], unit="us")], "last": [lasts[-1]], "return_1m": [lasts[-1] / before[-1] - 1 if before else None],
-            "vwap": [amount / volume if volume else lasts[-1]], "n": [n],
-        }
-    )
-
-
-def live_features(events: DataFrame, lateness: int = LATENESS) -> DataFrame:
-    """Streaming features per symbol. Duplicates are dropped within the watermark; what is late to it is dropped by Spark,
-    which moves the watermark per micro-batch, so a live run admits more than ``judged`` does. Within a micro-batch a
-    symbol's events go by (event_time, event_id)."""
-    kept = valid(events).withWatermark("event_time", f"{lateness} seconds").dropDuplicatesWithinWatermark(["event_id"])
-    return kept.groupBy("symbol").applyInPandasWithState(_advance, LIVE_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-
-
-def latest_state(updates: DataFrame) -> DataFrame:
-    """The last row of each symbol of an update log: the one that has seen most events."""
-    return updates.groupBy("symbol").agg(F.max_by(F.struct(*(c for c in updates.columns if c != "symbol")), "n").alias("x")).select("symbol", "x.*")
