@@ -20,18 +20,36 @@ def cost_of(value: float, sells: bool) -> float:
     return max(value * X.COMMISSION, X.LEAST_COMMISSION) + (value * X.STAMP if sells else 0.0) + value * X.SLIPPAGE
 
 
-def prepared(panel: DataFrame, limit: Column) -> DataFrame:
-    """Adds to a panel (strategy, symbol, d, day, score, price, close, volume): tradable, buyable, sellable and each
-    candidate's place of its day. Without a close before, there is no limit."""
-    w = Window.partitionBy("strategy", "symbol").orderBy("d")
+def prepared(panel: DataFrame, limit: Column, *keys: str) -> DataFrame:
+    """Adds to a panel (symbol, d, day, score, price, close, volume, and ``keys`` where it has several): tradable, buyable,
+    sellable and each candidate's place of its day. Without a close before, there is no limit."""
+    w = Window.partitionBy(*keys, "symbol").orderBy("d")
     before = F.lag("close").over(w)
     up, down = X.limit_prices(before, limit, F.lit(0.01))
     trades = ~X.suspended(F.col("volume")) & F.coalesce(F.col("price") > 0, F.lit(False))
     p = panel.withColumns({"tradable": trades, "buyable": before.isNull() | X.can_buy(F.col("price"), up), "sellable": before.isNull() | X.can_sell(F.col("price"), down)})
-    place = F.row_number().over(Window.partitionBy("strategy", "d").orderBy(F.desc_nulls_last(F.when(F.col("tradable"), F.col("score"))), "symbol"))
+    place = F.row_number().over(Window.partitionBy(*keys, "d").orderBy(F.desc_nulls_last(F.when(F.col("tradable"), F.col("score"))), "symbol"))
     return p.withColumn("place", F.when(F.col("tradable") & F.col("score").isNotNull(), place))
 
 
+def within_reach(panel: DataFrame, strategies: dict[int, tuple[int, int]]) -> DataFrame:
+    """The rows of a prepared panel that each strategy (id: holdings, days between rebalances) can need, with columns strategy,
+    top_k and interval.
+
+    A symbol is bought first on a rebalance day on which it is buyable and among the ``top_k`` best of the buyable ones: what
+    is held only pushes others back. Symbols that never are can't be held, nor keep another out, so the fold over the rest
+    gives the same. Of every day the row of its least symbol stays, so that no day is lost.
+    """
+    every = F.array(*(F.struct(F.lit(k).cast("long").alias("strategy"), F.lit(n).alias("top_k"), F.lit(i).alias("interval")) for k, (n, i) in strategies.items()))
+    rank = F.row_number().over(Window.partitionBy("d").orderBy("place"))
+    can = panel.where("buyable and place is not null").select("symbol", "day", rank.alias("rank"))
+    hit = can.select("symbol", F.explode(F.filter(every, lambda s: (F.col("day") % s["interval"] == 0) & (F.col("rank") <= s["top_k"]))).alias("x")).distinct()
+    reach = hit.groupBy("symbol").agg(F.collect_set("x").alias("in_reach"))  # as many as there are strategies
+    least = F.row_number().over(Window.partitionBy("d").orderBy("symbol")) == 1
+    rows = panel.withColumn("least", least).join(reach, "symbol", "left")
+    return rows.select(*panel.columns, F.explode(F.when(F.col("least"), every).otherwise(F.col("in_reach"))).alias("x")).select(*panel.columns, "x.*")
+
+
 class Book:
     """Cash, lots by symbol in the order of buying, last closes."""
 

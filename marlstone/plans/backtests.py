@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import prices as X
 from marlstone.functions import scores as S
 from marlstone.functions.series import change
-from marlstone.operators.backtest import prepared, run_top_k
+from marlstone.operators.backtest import prepared, run_top_k, within_reach
 from marlstone.operators.ordering import materialised, ranked, running_max_before
 from marlstone.operators.regimes import confirm
 from marlstone.plans.joins import text_day
@@ -26,18 +26,17 @@ STRATEGIES = {1: (5, 5), 2: (10, 5), 3: (5, 20), 4: (20, 10)}
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars for every strategy; the score is the 20-day return up to the bar before, the price the day's open."""
+    """Bars with what a backtest needs: the score is the 20-day return up to the bar before, the price the day's open."""
     b = bars(spark, sf)
     w = Window.partitionBy("symbol").orderBy("d")
     b = b.withColumn("r", change(C("close"), 20)).select("symbol", "d", C("open").alias("price"), "close", "volume", F.lag("r").over(w).alias("score"))
     days = b.select("d").distinct()
     days = days.withColumn("day", F.row_number().over(Window.orderBy("d")) - 1)  # a row a trading day
-    params = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("strategy"), F.lit(n).alias("top_k"), F.lit(i).alias("interval")) for k, (n, i) in STRATEGIES.items())))
-    return b.join(F.broadcast(days), "d").select("*", params.alias("x")).select("symbol", "d", "day", "price", "close", "volume", "score", "x.*")
+    return b.join(F.broadcast(days), "d").select("symbol", "d", "day", "price", "close", "volume", "score")
 
 
 def equity(spark: SparkSession, sf: str) -> DataFrame:
-    return run_top_k(prepared(panel(spark, sf), F.lit(0.10)))
+    return run_top_k(within_reach(prepared(panel(spark, sf), F.lit(0.10)), STRATEGIES))
 
 
 @query("fd_topk_backtest")
@@ -48,11 +47,20 @@ def fd_topk_backtest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fd_event_chain")
 def fd_event_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Signal, order and fill of every trade; a fill before its signal stops the job."""
-    e = equity(spark, sf).select("strategy", "d", F.posexplode("trades").alias("k", "t"))
-    signal, fill = F.make_timestamp_ltz(F.year("d"), F.month("d"), F.dayofmonth("d"), F.lit(0), F.lit(0), F.lit(0)), F.make_timestamp_ltz(F.year("d"), F.month("d"), F.dayofmonth("d"), F.lit(9), F.lit(30), F.lit(0))
+    """Signal, order and fill of every trade: the signal is made at the close of the trading day before, the fill at the open;
+    a fill that isn't after its signal stops the job."""
+    e = equity(spark, sf).withColumn("before", F.lag("d").over(Window.partitionBy("strategy").orderBy("d")))
+    return event_chain(e.select("strategy", "d", "before", F.posexplode("trades").alias("k", "t")).select("strategy", "d", "before", "k", "t.*"))
+
+
+def event_chain(trades: DataFrame) -> DataFrame:
+    """Times of ``trades`` (strategy, d, before, k, symbol, side, shares); ``before`` is the day whose close gave the signal."""
+    at = lambda day, hour, minute: F.make_timestamp_ltz(F.year(day), F.month(day), F.dayofmonth(day), F.lit(hour), F.lit(minute), F.lit(0))
+    signal, fill = at("before", 15, 0), at("d", 9, 30)
     checked = F.when(fill > signal, fill).otherwise(F.raise_error(F.lit("a fill is not after its signal")).cast("timestamp"))
-    return e.select("strategy", text_day("d"), "k", C("t.symbol").alias("symbol"), C("t.side").alias("side"), F.round("t.shares", 4).alias("shares"), F.date_format(checked, "HH:mm").alias("filled"))
+    return trades.select(
+        "strategy", text_day("d"), "k", "symbol", "side", F.round("shares", 4).alias("shares"), F.date_format(signal, "yyyy-MM-dd HH:mm").alias("signalled"), F.date_format(checked, "yyyy-MM-dd HH:mm").alias("filled")
+    )
 
 
 @query("ag_fifo_winrate")

@@ -16,6 +16,7 @@ from marlstone.functions.series import (
     running_drawdown,
     smoothed,
 )
+from marlstone.operators.ordering import ranked
 from marlstone.operators.rules import RulePack, compile_pack
 from marlstone.registry import query
 from marlstone.sources.tables import BARS_SQL, bars, table
@@ -310,23 +311,33 @@ def wf_count_below(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("symbol", day(), F.sum(F.when(F.col("below"), 1).otherwise(0)).over(by_day().rowsBetween(-9, 0)).alias("n_below"))
 
 
-# One day's cross-section of all symbols is small; windows over it are partitioned by nothing but the day.
 CROSS_SQL = f"""{FEATURES_SQL}, x AS (SELECT symbol, r20 FROM feat WHERE r20 IS NOT NULL)"""
 
 
 def cross_section(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per symbol, with a constant day for the windows."""
+    """One row per symbol: its latest 20-day return."""
     return stock_features(bars(spark, sf)).where("r20 IS NOT NULL").select("symbol", "r20", F.lit(0).alias("day"))
 
 
+def tied_ranks(x: DataFrame) -> DataFrame:
+    """``x`` (symbol, v) with the ranks that equal values take from (``least``) and to (``most``), and the number of rows ``n``.
+    Ranks run over range partitions; equal values are counted before they are met again."""
+    r = ranked(x, F.col("v"), F.col("symbol"))
+    ties = r.groupBy("v").agg(F.min("rank").alias("least"), F.max("rank").alias("most"))
+    return r.drop("rank").join(ties, "v").join(F.broadcast(r.agg(F.count("*").alias("n"))))  # one row
+
+
 @query("wf_rps", f"WITH {CROSS_SQL} SELECT symbol, round(cume_dist() OVER (ORDER BY r20) * 100, 2) AS rps FROM x")
 def wf_rps(spark: SparkSession, sf: str) -> DataFrame:
-    return cross_section(spark, sf).select("symbol", F.round(F.cume_dist().over(Window.partitionBy("day").orderBy("r20")) * 100, 2).alias("rps"))
+    x = tied_ranks(cross_section(spark, sf).select("symbol", F.col("r20").alias("v")))
+    return x.select("symbol", F.round(F.col("most") / F.col("n") * 100, 2).alias("rps"))
 
 
 @query("wf_percentile_avg", f"WITH {CROSS_SQL}, y AS (SELECT symbol, round(r20, 1) AS v FROM x) SELECT symbol, round(CASE WHEN count(*) OVER () = 1 THEN 100.0 ELSE (rank() OVER (ORDER BY v) - 1 + (count(*) OVER (PARTITION BY v) - 1) / 2.0) / (count(*) OVER () - 1) * 100 END, 6) AS pctile FROM y")
 def wf_percentile_avg(spark: SparkSession, sf: str) -> DataFrame:
-    return cross_section(spark, sf).withColumn("v", F.round("r20", 1)).select("symbol", r6(average_percentile(F.col("v"), ["day"]), "pctile"))
+    x = cross_section(spark, sf).select("symbol", F.round("r20", 1).alias("v"))
+    between = (F.col("least") + F.col("most")) / 2 - 1
+    return tied_ranks(x).select("symbol", r6(F.when(F.col("n") == 1, 100.0).otherwise(between / (F.col("n") - 1) * 100), "pctile"))
 
 
 def average_percentile(v: Column, by: list[str]) -> Column:

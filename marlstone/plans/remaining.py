@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from marlstone.functions import parsing as P
 from marlstone.operators import portfolio as PF
 from marlstone.operators import rules
 from marlstone.plans.joins import text_day
-from marlstone.plans.market import CORE
 from marlstone.plans.scores import SCORED_SQL, scored_days
 from marlstone.registry import query
 from marlstone.sources import stores
@@ -109,11 +112,48 @@ def pr_policy_merge(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(C("lang").isin(*f["lang"]) & level.isin(*allowed)).select("doc_id")
 
 
-@query("rule_validate", "SELECT 0::BIGINT AS problems")
+#: Columns that the packs of the table may name.
+FRAME = {"close", "ma5", "ma20", "ma60", "dif", "dea", "volume_ratio20"}
+_PACK = "struct<version:string,rules:map<string,struct<expression:string,score:double>>>"
+
+
+def packs(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule pack, as JSON, for every part: a comparison whose faults follow from the part's numbers."""
+    k, size = C("p_partkey"), C("p_size")
+    name = F.when(k % 7 == 0, "near").otherwise("gt")
+    left = F.when(k % 5 == 0, "ma7").otherwise("close")
+    given = F.when(k % 11 == 0, F.format_string('["%s"]', left)).otherwise(F.format_string('["%s", %s]', left, size.cast("string")))
+    rule = F.format_string('{"all": [{"%s": %s}, {"cross_up": ["ma5", "ma20"]}]}', name, given)
+    score = F.when(k % 13 == 0, size + 100).otherwise(size)
+    version = F.when(k % 17 == 0, "1.0").otherwise("1.0.0")
+    return table(spark, sf, "part").select(k.alias("pack_id"), F.to_json(F.struct(version.alias("version"), F.struct(F.struct(rule.alias("expression"), score.alias("score")).alias("r")).alias("rules"))).alias("pack"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _problems(given: pd.Series) -> pd.Series:
+    """``rules.problems`` of packs as JSON; a text that is no pack is one problem."""
+
+    def of(text: str | None) -> list[str]:
+        try:
+            x = json.loads(text or "")
+            own = {k: (json.loads(r["expression"]), float(r["score"])) for k, r in x["rules"].items()}
+            return rules.problems(rules.RulePack("given", own, x["version"]), FRAME)
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            return [f"no rule pack: {type(e).__name__}"]
+
+    return given.map(of)
+
+
+_FAULTS = "(p_partkey % 17 = 0)::INT + (p_partkey % 13 = 0)::INT + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE (p_partkey % 11 = 0)::INT + (p_partkey % 5 = 0)::INT END"
+
+
+@query("rule_validate", f"SELECT p_partkey AS pack_id, ({_FAULTS})::BIGINT AS problems, CASE WHEN p_partkey % 17 = 0 THEN 'version' WHEN p_partkey % 13 = 0 THEN 'score' WHEN p_partkey % 7 = 0 THEN 'operator' WHEN p_partkey % 11 = 0 THEN 'arguments' WHEN p_partkey % 5 = 0 THEN 'column' END AS first FROM part")
 def rule_validate(spark: SparkSession, sf: str) -> DataFrame:
-    """Problems of the core rule pack against the columns of the indicator frame."""
-    found = rules.problems(CORE, {"close", "ma5", "ma20", "ma60", "dif", "dea", "volume_ratio20"})
-    return spark.range(1).select(F.lit(len(found)).cast("long").alias("problems"))
+    """Problems of every pack of a table, and what the first of them is about."""
+    found = packs(spark, sf).select("pack_id", _problems("pack").alias("p"))
+    about = {"version": "version ", "score": "score ", "operator": "no operator", "arguments": " arguments", "column": "no column"}
+    first = F.coalesce(*(F.when(F.element_at("p", 1).contains(text), name) for name, text in about.items()))
+    return found.select("pack_id", F.size("p").cast("long").alias("problems"), F.when(F.size("p") > 0, first).alias("first"))
 
 
 @query("src_theme_json", "SELECT p_brand AS theme, count(*) AS n, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS symbols FROM part GROUP BY 1")

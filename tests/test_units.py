@@ -191,7 +191,7 @@ def test_backtest_equals_a_plain_loop(spark):
             rows.append((1, s, date(2020, 1, 1) + timedelta(days=t), t, r.random() if r.random() > 0.1 else None, price[s], close, 0.0 if r.random() < 0.1 else 100.0, 2, 3))
             price[s] = close
     schema = "strategy long, symbol long, d date, day long, score double, price double, close double, volume double, top_k int, interval int"
-    panel = backtest.prepared(spark.createDataFrame(rows, schema), F.lit(0.10))
+    panel = backtest.prepared(spark.createDataFrame(rows, schema), F.lit(0.10), "strategy")
     got = [(x.equity, len(x.trades)) for x in backtest.run_top_k(panel, 100_000.0).orderBy("d").collect()]
 
     cash, lots, last, want = 100_000.0, {}, {}, []
@@ -258,6 +258,26 @@ def test_backtest_equals_a_plain_loop(spark):
     assert sum(n for _, n in got) > 10
 
 
+def test_backtest_within_reach_equals_the_whole(spark):
+    """Many symbols of which few ever come near a purchase: the pruned fold gives the same, from far fewer rows."""
+    r, rows = random.Random(12), []
+    for s in range(60):
+        price, drift = 5.0 + s, r.random() * (1.0 if s < 8 else 0.5)
+        for t in range(40):
+            close = round(price * (1 + r.uniform(-0.11, 0.11)), 2)
+            if r.random() > 0.05:
+                rows.append((s, date(2020, 1, 1) + timedelta(days=t), t, drift + 0.1 * r.random() if r.random() > 0.05 else None, price, close, 0.0 if r.random() < 0.1 else 100.0))
+            price = close
+    panel = spark.createDataFrame(rows, "symbol long, d date, day long, score double, price double, close double, volume double")
+    strategies = {1: (2, 3), 2: (4, 7)}
+    near = backtest.within_reach(backtest.prepared(panel, F.lit(0.10)), strategies)
+    both = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("strategy"), F.lit(n).alias("top_k"), F.lit(i).alias("interval")) for k, (n, i) in strategies.items())))
+    whole = backtest.prepared(panel.select("*", both.alias("x")).select(*panel.columns, "x.*"), F.lit(0.10), "strategy")
+    got, want = (sorted(map(str, backtest.run_top_k(x).collect())) for x in (near, whole))
+    assert got == want and len(got) == 80
+    assert near.count() < 0.6 * whole.count()
+
+
 def test_regimes_confirm(spark):
     path = [("rotation", 0.4), ("crowding", 0.5), ("crowding", 0.5), ("high_position_retreat", 0.1), ("range", 0.9), ("range", 0.9), ("range", 0.9), ("range", 0.2)]
     df = spark.createDataFrame([("m", date(2020, 1, 1 + k), r, p) for k, (r, p) in enumerate(path)], "market string, d date, regime string, p double")
