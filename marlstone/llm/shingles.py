@@ -111,14 +111,14 @@ def _common(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, size, sketch, fp, bands, prefix): a digest and the size of each set, its sketch, its SimHash, its bands and its
-    first shingles."""
+    """(doc_id, key, size, sketch, fp, bands, prefix, rare): a digest and the size of each set, its sketch, its SimHash, its bands,
+    its first shingles, and how many of these, which come before the others, aren't common."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, common = _Words(), sent.value
         for b in batches:
-            keys, sizes, sketches, fps, bands, prefixes = [], [], [], [], [], []
+            keys, sizes, sketches, fps, bands, prefixes, rare = [], [], [], [], [], [], []
             for text in b["text"]:
                 own = shingle_set(text, words)
                 n = own.size
@@ -129,16 +129,33 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if not n:
                     bands.append([])
                     prefixes.append([])
+                    rare.append(0)
                     continue
                 least = [_mixed(own ^ m).min() for m in _MASKS]
                 bands.append([xxhash.xxh64_intdigest(np.array(least[k * IN_BAND : (k + 1) * IN_BAND]).tobytes(), k) - 2**63 for k in range(BANDS)])
+                rare.append(n)
                 if common.size:
                     last = common[np.minimum(np.searchsorted(common, own), common.size - 1)] == own
                     own = np.concatenate([own[~last], own[last]])
+                    rare[-1] = n - int(last.sum())
                 prefixes.append(own[: n - (4 * n + 4) // 5 + 1].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "size": sizes, "sketch": sketches, "fp": fps, "bands": bands, "prefix": prefixes})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": keys, "size": sizes, "sketch": sketches, "fp": fps, "bands": bands, "prefix": prefixes, "rare": rare})
 
-    return map_texts(docs, run, "doc_id long, key binary, size int, sketch binary, fp long, bands array<long>, prefix array<long>", id_col, text_col)
+    return map_texts(docs, run, "doc_id long, key binary, size int, sketch binary, fp long, bands array<long>, prefix array<long>, rare int", id_col, text_col)
+
+
+def _buckets(tagged: DataFrame) -> DataFrame:
+    """(sh, part, node, size, pos): where the rows of ``tagged`` (doc_id, part, size, prefix, rare) are met by their first shingles.
+
+    Near copies' sizes differ by a factor of 1.25 at most. So a row meets others under a common shingle only by size: in the
+    step of its size's logarithm to a base a little above that, and in the next one, which two rows of neighbouring steps
+    share. A rare shingle is a bucket by itself.
+    """
+    rows = tagged.select(F.col("doc_id").alias("node"), "part", "size", "rare", F.posexplode("prefix").alias("pos", "sh"))
+    step = F.floor(F.log("size") / F.log(F.lit(1.26)))
+    steps = F.when(F.col("pos") < F.col("rare"), F.array(F.lit(-1).cast("long"))).otherwise(F.array(step, step + 1))
+    met = rows.withColumn("step", F.explode(steps))
+    return met.select(F.when(F.col("step") < 0, F.col("sh")).otherwise(F.xxhash64("sh", "step")).alias("sh"), "part", "node", "size", "pos")
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,8 +266,7 @@ def redundant_ids(docs: DataFrame, link_fingerprints: Callable[[DataFrame], Data
     sure = near_pairs(_fingerprint_stars(own, link_fingerprints).unionByName(stars), docs, own.select("doc_id", "sketch", "size"), id_col, text_col)
     parts = components(sure).select(F.col("a").alias("doc_id"), F.col("b").alias("part"))
 
-    tagged = own.join(parts, "doc_id", "left").select("doc_id", F.coalesce("part", "doc_id").alias("part"), "size", "prefix")
-    dealt = tagged.select(F.col("doc_id").alias("node"), "part", "size", F.posexplode("prefix").alias("pos", "sh"))
-    dealt = dealt.select("sh", "part", "node", "size", "pos").repartition("sh").sortWithinPartitions("sh", "part")
+    tagged = own.join(parts, "doc_id", "left").select("doc_id", F.coalesce("part", "doc_id").alias("part"), "size", "prefix", "rare")
+    dealt = _buckets(tagged).repartition("sh").sortWithinPartitions("sh", "part")
     further = near_pairs(dealt.mapInPandas(_pairs, "a long, b long"), docs, own.select("doc_id", "sketch", "size"), id_col, text_col)
     return components(sure.unionByName(further)).select(F.col("a").alias("gone")).unionByName(met).distinct()
