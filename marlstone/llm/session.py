@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def giving_back(fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``fn``, after which a worker's free memory goes back to the system: workers outlive their tasks, and what each keeps of
+    the last one is lost to the executor's other workers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def map_texts(
     df: DataFrame,
     fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
@@ -100,7 +118,7 @@ def map_texts(
     few at a time.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(fn, schema)
+    return rows.mapInPandas(giving_back(fn), schema)
 
 
 def hot_keys(sized: DataFrame, key: str, size: str) -> DataFrame:

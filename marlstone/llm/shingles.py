@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.session import cut, join_sized, map_texts, storing
+from marlstone.llm.session import cut, giving_back, join_sized, map_texts, storing
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -230,9 +230,9 @@ def near_pairs(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str =
             yield batch.loc[np.array(kept, dtype=bool), ["a", "b"]]
 
     sketched = _with_both(cut(pairs.distinct()), rows, "sketch", "size").select("a", "b", "sketch_a", "sketch_b", "size_a", "size_b")
-    left = cut(sketched.mapInPandas(possible, "a long, b long").distinct())
+    left = cut(sketched.mapInPandas(giving_back(possible), "a long, b long").distinct())
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return cut(_with_both(left, texts, "text").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct())
+    return cut(_with_both(left, texts, "text").select("a", "b", "text_a", "text_b").mapInPandas(giving_back(run), "a long, b long").distinct())
 
 
 def _fingerprint_stars(own: DataFrame, link_fingerprints: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -268,5 +268,5 @@ def redundant_ids(docs: DataFrame, link_fingerprints: Callable[[DataFrame], Data
 
     tagged = own.join(parts, "doc_id", "left").select("doc_id", F.coalesce("part", "doc_id").alias("part"), "size", "prefix", "rare")
     dealt = _buckets(tagged).repartition("sh").sortWithinPartitions("sh", "part")
-    further = near_pairs(dealt.mapInPandas(_pairs, "a long, b long"), docs, own.select("doc_id", "sketch", "size"), id_col, text_col)
+    further = near_pairs(dealt.mapInPandas(giving_back(_pairs), "a long, b long"), docs, own.select("doc_id", "sketch", "size"), id_col, text_col)
     return components(sure.unionByName(further)).select(F.col("a").alias("gone")).unionByName(met).distinct()

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import shingles
 from marlstone.llm.components import components
-from marlstone.llm.session import cut, fresh, join_sized, map_texts
+from marlstone.llm.session import cut, fresh, giving_back, join_sized, map_texts
 
 #: Bits that linked fingerprints may differ in, at most.
 THRESHOLD = 3
@@ -170,7 +170,7 @@ def near_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if threshold > THRESHOLD:
         raise ValueError("the anchors cover three bits")
     dealt = dealt_replicas(distinct).repartition("key").sortWithinPartitions("key")
-    return dealt.mapInPandas(lambda it: _compare(it, threshold), "a long, b long").distinct()
+    return dealt.mapInPandas(giving_back(lambda it: _compare(it, threshold)), "a long, b long").distinct()
 
 
 def near_groups(
