@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from marlstone.llm.session import map_texts
+from marlstone.llm.session import map_texts, stored
 from marlstone.llm.units import UnitCache
 
 #: Ids in a window; windows in a block; ids in a piece of a rest.
@@ -166,7 +166,7 @@ def pack_documents(
 
     Every id of a document (its text's and ``end_id`` after them) lies in exactly one piece, and the pieces of a sequence
     fill it from 0 without gaps. Each task packs the rows it reads, without a shuffle; a sequence id holds the task's
-    number in its upper bits. At most one block per task is not full. A null text counts as empty: its one id is
+    number in its upper bits, so the pieces are written once to the shared folder. At most one block per task is not full. A null text counts as empty: its one id is
     ``end_id``. Rows of null or equal ids, and equal rows, are packed as documents of their own; an empty table gives
     no piece; other columns are not read.
     """
@@ -191,4 +191,5 @@ def pack_documents(
         if rows := packer.finish():
             yield frame(rows)
 
-    return map_texts(docs, run, SCHEMA, id_col, text_col)
+    # Stored, as then a batch has 8 MB of text at most: all words of a batch are in a worker's memory at once.
+    return stored(map_texts(docs, run, SCHEMA, id_col, text_col), "packed")
