@@ -166,8 +166,8 @@ def pack_documents(
 
     Every id of a document (its text's and ``end_id`` after them) lies in exactly one piece, and the pieces of a sequence
     fill it from 0 without gaps. Each task packs the rows it reads, without a shuffle; a sequence id holds the task's
-    number in its upper bits, so the pieces are written once to the shared folder. At most one block per task is not full. A null text counts as empty: its one id is
-    ``end_id``. Rows of null or equal ids, and equal rows, are packed as documents of their own; an empty table gives
+    number in its upper bits, so the pieces are written once to the shared folder. At most one block per task is not full.
+    A null text counts as empty: its one id is ``end_id``. Rows of null or equal ids, and equal rows, are packed as documents of their own; an empty table gives
     no piece; other columns are not read.
     """
     end = end_id.to_bytes(4, "little")

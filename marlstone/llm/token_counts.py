@@ -10,7 +10,6 @@ chunks compose, and a parallel prefix scan gives state and count at each chunk's
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,7 +18,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from marlstone.llm.bpe import SPACE, Vocabulary, vocabulary
+from marlstone.llm.bpe import Vocabulary, vocabulary
+from marlstone.llm.characters import LETTER, NUMBER, RUN, character_classes, fold
 from marlstone.llm.session import map_texts
 
 #: Characters in a chunk of a long text.
@@ -34,8 +34,7 @@ MEETING = 128
 
 #: Control characters that Python splits at though they are no white space.
 CONTROL = regex.compile("[\x1c-\x1f]")
-RUN = regex.compile(f"[^{SPACE}]+")
-CLASS = regex.compile(r"(\p{L})|(\p{N})|.", regex.DOTALL)
+KINDS = {LETTER: "letters", NUMBER: "digit"}
 #: Word endings that the vocabulary's split takes after an apostrophe (fixed values).
 SHORT, LONG = frozenset("stmd"), {"r": "e", "v": "e", "l": "l"}
 NOTHING = ()
@@ -135,8 +134,7 @@ class Transducer:
                 mode = "others"
         kind = self.kinds.get(c)
         if kind is None:
-            m = CLASS.fullmatch(c)
-            kind = self.kinds[c] = "letters" if m[1] else "digit" if m[2] else "others"
+            kind = self.kinds[c] = KINDS.get(int(character_classes()[ord(c)]), "others")
         if mode and mode != kind or kind == "digit":
             out += self._close(live, pending)
             mode, live, pending = "", None, -1
@@ -242,13 +240,24 @@ class Stretch:
         return key, out + k
 
 
+def stretches(head: Stretch | tuple) -> Iterator[Stretch]:
+    """The stretches of a head in order. Composing pairs two heads, which copies none of them."""
+    stack = [head]
+    while stack:
+        top = stack.pop()
+        if isinstance(top, Stretch):
+            yield top
+        else:
+            stack.extend(reversed(top))
+
+
 @dataclass(frozen=True)
 class ChunkMap:
     """The state map of one or several chunks: ``head`` maps the text before the first white space. If there is any white
     space (``resets``), ``count`` tokens follow after the head's last word has been closed, and the state is ``exit``.
     ``start`` is the head's state and count from a word's start."""
 
-    head: tuple[Stretch, ...]
+    head: Stretch | tuple
     start: tuple[tuple, int]
     resets: bool
     count: int
@@ -258,7 +267,7 @@ class ChunkMap:
         if key == START:
             return self.start
         out = 0
-        for stretch in self.head:
+        for stretch in stretches(self.head):
             key, k = stretch.apply(machine, key)
             out += k
         return key, out
@@ -272,15 +281,13 @@ def chunk_map(machine: Transducer, text: str) -> ChunkMap:
     found = list(RUN.finditer(text))
     if len(found) == 1 and len(found[0][0]) == len(text):
         whole = Stretch(machine, text)
-        return ChunkMap((whole,), (whole.exit, whole.total), False, 0, START)
+        return ChunkMap(whole, (whole.exit, whole.total), False, 0, START)
     if not text:
         return ChunkMap((), (START, 0), False, 0, START)
-    head: tuple[Stretch, ...] = ()
-    if found and found[0].start() == 0:
-        head = (Stretch(machine, found.pop(0)[0]),)
+    head = Stretch(machine, found.pop(0)[0]) if found and found[0].start() == 0 else ()
     tail = found.pop()[0] if found and found[-1].end() == len(text) else ""
     state, k = machine.after(START, tail)
-    return ChunkMap(head, (head[0].exit, head[0].total) if head else (START, 0), True, sum(machine.run(m[0]) for m in found) + k, state)
+    return ChunkMap(head, (head.exit, head.total) if head else (START, 0), True, sum(machine.run(m[0]) for m in found) + k, state)
 
 
 def compose(machine: Transducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
@@ -289,7 +296,7 @@ def compose(machine: Transducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         key, k = b.apply(machine, a.exit)
         return ChunkMap(a.head, a.start, True, a.count + k, key)
     key, k = b._through_head(machine, a.start[0])
-    return ChunkMap(a.head + b.head, (key, a.start[1] + k), b.resets, b.count, b.exit)
+    return ChunkMap((a.head, b.head), (key, a.start[1] + k), b.resets, b.count, b.exit)
 
 
 def prefix_scan(machine: Transducer, maps: list[ChunkMap]) -> list[ChunkMap]:
@@ -310,14 +317,9 @@ class Counter:
         self.special = sorted(words.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
-    def _folded(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
-        return text.lower()
-
     def prefix_counts(self, text: str) -> list[int]:
         """Tokens emitted up to the end of each chunk of ``text``, of which the last word is not yet closed, and of the whole."""
-        text = self._folded(text)
+        text = fold(text)
         machine = self.machine
         maps = prefix_scan(machine, [chunk_map(machine, text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])
         ends = [m.apply(machine, START) for m in maps]
@@ -329,7 +331,7 @@ class Counter:
         if len(text) > CHUNK:
             return self.prefix_counts(text)[-1]
         # One chunk: the sum over its runs, each mapped from a word's start to the white space after it.
-        text = self._folded(text)
+        text = fold(text)
         runs = text.split() if text.isascii() and CONTROL.search(text) is None else RUN.findall(text)
         known = list(map(machine.runs.get, runs))
         for k in [k for k, n in enumerate(known) if n is None]:

@@ -8,15 +8,13 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 
-from marlstone.llm.bpe import SPACE
+from marlstone.llm.characters import WHITE, character_classes
 
-LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
 #: Words of the current generation; when there are so many, they become the old one, whose words return when met.
 KEPT = 200_000
 #: Longer words are not kept.
@@ -26,16 +24,6 @@ AT_ONCE = 4_000_000
 SAFE = regex.compile(rf"(?<=[\p{{L}}\p{{N}}]) (?=[\p{{L}}\p{{N}}])")
 
 
-@lru_cache(maxsize=1)
-def character_classes() -> np.ndarray:
-    """The class of each code point in the split that byte-level vocabularies apply before merging."""
-    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(0x110000))
-    out = np.full(len(every), OTHER, dtype=np.uint8)
-    for m in regex.finditer(rf"(\p{{L}}+)|(\p{{N}}+)|[{SPACE}]+", every):
-        out[m.start() : m.end()] = LETTER if m[1] else NUMBER if m[2] else WHITE
-    return out
-
-
 def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     """The words of all ``texts`` and of each text their number.
 

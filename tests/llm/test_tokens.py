@@ -49,6 +49,35 @@ def test_chunks_compose_to_the_whole(chunk, monkeypatch):
         assert counter.count(text) == len(encode(text)), repr(text)
 
 
+def test_every_code_point_as_the_library_takes_it():
+    """Beside letters, digits, word endings and combining marks, whichever Unicode versions Python and the library have."""
+    counter, cache = token_counts.Counter(WORD), bpe_codec.codec(BYTE).cache
+    words, pieces = library(WORD)[1], library(BYTE)[1]
+    planes = (range(1, 0xD800), range(0xE000, 0x40000), range(0x40000, 0x110000, 997), range(0xE0000, 0xE1000))
+    texts = [f"a{c}b {c}1{c}'re x \u0345{c}\u0334" for plane in planes for c in map(chr, plane)]
+    for at in range(0, len(texts), 20_000):
+        some = texts[at : at + 20_000]
+        expected = zip(words.encode_batch(some, add_special_tokens=False), pieces.encode_batch(some, add_special_tokens=False), strict=True)
+        for text, (w, p), ids in zip(some, expected, cache.ids_of(some), strict=True):
+            assert counter.count(text) == len(w.ids), ascii(text)
+            assert ids == struct.pack(f"<{len(p.ids)}I", *p.ids), ascii(text)
+
+
+def test_random_code_points_equal_the_library():
+    r = random.Random(11)
+    counter, codec = token_counts.Counter(WORD), bpe_codec.codec(BYTE)
+    (count, _), (encode, pieces) = library(WORD), library(BYTE)
+    packed = packing.library_ids(BYTE)
+    planes = [range(1, 0x250), range(0x300, 0x3000), range(0x3000, 0xD800), range(0xE000, 0x20000), range(0x20000, 0x33500)]
+    for _ in range(3_000):
+        parts = [chr(r.choice(r.choice(planes))) if r.random() < 0.6 else r.choice(["'re", "'s", " ", "a", "1", "\u0e47", "İ"]) for _ in range(r.randint(1, 12))]
+        text = "".join(parts)
+        assert counter.count(text) == len(count(text)), ascii(text)
+        ids = encode(text)
+        assert codec.encode(text) == struct.pack(f"<{len(ids)}I", *ids) == packed.ids(text), ascii(text)
+        assert codec.decode(codec.encode(text)) == pieces.decode(ids, skip_special_tokens=False)
+
+
 def unbroken(seed, n):
     """Texts without white space: letters and digits as in base64, a few letters, Chinese, marks and apostrophes."""
     r = random.Random(seed)
