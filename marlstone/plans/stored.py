@@ -86,7 +86,7 @@ def crud_point(spark: SparkSession, sf: str) -> DataFrame:
     "src_jsonl_golden",
     """SELECT CASE WHEN item_id % 6 <> 4 THEN 'g' || item_id END AS case_id,
 CASE item_id % 6 WHEN 2 THEN 'category is unknown' WHEN 3 THEN 'query is missing|as_of is no time' WHEN 4 THEN 'no case of this form' WHEN 5 THEN 'a grade is unknown' ELSE '' END AS reasons,
-CASE item_id % 6 WHEN 0 THEN 4.0 WHEN 1 THEN 5.0 END AS gain FROM benchmark""",
+CASE item_id % 6 WHEN 0 THEN 4.0::DOUBLE WHEN 1 THEN 5.0::DOUBLE END AS gain FROM benchmark""",
 )
 def src_jsonl_golden(spark: SparkSession, sf: str) -> DataFrame:
     """Cases written from the benchmark's texts, four of six with a fault; cases that hold have their gains summed."""
