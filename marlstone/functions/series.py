@@ -68,6 +68,29 @@ def smoothed(value: Column, alpha: float, index: Column, seed: Column | None = N
     return F.when(index >= 0, F.pow(F.lit(keep), index) * (start + alpha * total))
 
 
+def smoothed_any(df: DataFrame, value: str, alpha: float, out: str, key: str = "symbol", order: str = "d") -> DataFrame:
+    """Adds the smoothing of ``smoothed`` (unseeded) for series of any length, by windows alone; ``order`` is unique in a key.
+
+    A series is cut into blocks within the range of doubles. A block begins from zero and then takes over the last value of
+    the block before, faded; what that one took over in turn has faded to e^-350 of itself, which doubles can't tell.
+    From a missing value on the result is null.
+    """
+    keep = 1 - alpha
+    size = max(1, longest_series(alpha) // 2)
+    rows = Window.partitionBy(key).orderBy(order)
+    so_far = rows.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(value).cast("double")
+    df = df.withColumns({"_i": F.row_number().over(rows) - 1, "_holes": F.count_if(x.isNull()).over(so_far)})
+    df = df.withColumns({"_b": F.floor(F.col("_i") / size), "_j": F.col("_i") % size})
+    part = F.when(F.col("_i") == 0, x).otherwise(x * alpha) * F.pow(F.lit(keep), -F.col("_j"))
+    inside = Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_own", F.pow(F.lit(keep), F.col("_j")) * F.sum(part).over(inside))
+    before = Window.partitionBy(key).orderBy("_b").rangeBetween(-1, -1)
+    carried = F.coalesce(F.max(F.when(F.col("_j") == size - 1, F.col("_own"))).over(before), F.lit(0.0))
+    y = F.when(F.col("_holes") == 0, F.col("_own") + F.pow(F.lit(keep), F.col("_j") + 1) * carried)
+    return df.withColumn(out, y).drop("_i", "_holes", "_b", "_j", "_own")
+
+
 def smooth_grouped(df: DataFrame, value: str, alpha: float, out: str, key: str = "symbol", order: str = "d") -> DataFrame:
     """The same smoothing (unseeded) for series of any length: one symbol's rows at a time."""
 

@@ -26,6 +26,8 @@ ARITY = {
     "rolling_min": (2, 2), "context_gte": (2, 2), "context_lte": (2, 2),
 }
 DEPTH, NODES = 12, 100
+#: Operators whose second argument is a number of rows up to the present one.
+WINDOWED = ("rising", "falling", "count_true", "rolling_max", "rolling_min")
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,24 @@ def _arguments(expression: dict) -> tuple[str, list]:
     return name, given if isinstance(given, list) else [given]
 
 
+def _is_past(rows: object) -> bool:
+    return type(rows) is int and rows >= 1
+
+
+def looks_ahead(expression: object) -> list[str]:
+    """The operators in a rule whose rows aren't 1 or more up to the present one: a count below 1 would reach later rows."""
+    found, todo = [], [expression]
+    while todo:
+        e = todo.pop()
+        if not isinstance(e, dict) or len(e) != 1:
+            continue
+        name, given = _arguments(e)
+        if name in WINDOWED and len(given) > 1 and not _is_past(given[1]):
+            found.append(f"{name} over {given[1]!r} rows")
+        todo += [g for g in given if isinstance(g, dict)]
+    return found
+
+
 def problems(pack: RulePack, columns: set[str]) -> list[str]:
     """What is wrong with a pack for a frame of those columns; empty when it can be compiled."""
     found = [] if re.fullmatch(r"\d+\.\d+\.\d+", pack.version) else [f"version {pack.version!r} is not major.minor.patch"]
@@ -68,6 +88,8 @@ def problems(pack: RulePack, columns: set[str]) -> list[str]:
                 continue
             if not ARITY[name][0] <= len(given) <= ARITY[name][1]:
                 found.append(f"{rule}: {name} has {len(given)} arguments")
+            elif name in WINDOWED and not _is_past(given[1]):
+                found.append(f"{rule}: {name} looks at {given[1]!r} rows, not at 1 or more up to now")
             for k, g in enumerate(given):
                 if isinstance(g, dict):
                     todo.append((g, depth + 1))

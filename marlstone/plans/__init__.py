@@ -1,3 +1,3 @@
 """Named queries over the test tables."""
 
-from marlstone.plans import backtests, decisions, joins, market, remaining, retrieval, scores, sectors, stored, streams  # noqa: F401
+from marlstone.plans import backtests, decisions, joins, market, remaining, retrieval, scores, sectors, stored, strategies, streams  # noqa: F401
