@@ -153,10 +153,13 @@ def _ratio(a: int, n: int, b: int, m: int) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Chain:
     """Fit on at most ``rows_per_class`` labelled documents of each class. Texts stay on the executors: what comes to the
-    driver are term counts and, of each sampled document, which terms of the lexicon it has."""
+    driver are term counts and, of each sampled document, which terms of the lexicon it has. Labels of one class alone, or
+    none, tell nothing apart: their chain has no terms and holds every document clean."""
     sample = cut(labelled_sample(docs, labels, "toxic", rows_per_class))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    if not bad or not good:
+        return Chain({}, (np.array([-30.0]),))
 
     def count_toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict[str, int] = {}
