@@ -24,11 +24,11 @@ FIELDS = ["arrival", "event_id", "symbol", "event_time", "last", "volume", "amou
 @dataclass(frozen=True)
 class Live:
     """A live run under ``root``, a shared folder: ``root/log`` has every judged event, ``root/state`` the last ``kept``
-    accepted events of each symbol, both by batch; ``root/checkpoint`` is Spark's own."""
+    accepted events (null: all) of each symbol, both by batch; ``root/checkpoint`` is Spark's own."""
 
     root: str
     lateness: int = T.LATENESS
-    kept: int = T.KEPT
+    kept: int | None = T.KEPT
     retention: int = RETENTION
 
     def start(self, stream: DataFrame) -> StreamingQuery:
@@ -53,7 +53,9 @@ class Live:
         if not whole:  # only symbols of this batch are written anew
             old = old.join(new.select("symbol").distinct(), "symbol", "left_semi")
         back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("arrival")))
-        both = old.select(*FIELDS).unionByName(new).withColumn("back", back).where(C("back") <= self.kept).drop("back")
+        both = old.select(*FIELDS).unionByName(new)
+        if self.kept is not None:
+            both = both.withColumn("back", back).where(C("back") <= self.kept).drop("back")
         self._write(both, "state", batch)
         if batch % WHOLE_EVERY == 1:  # the batch before is complete, so nobody reads what is older
             self._drop(spark, "state", lambda b: b < batch - 1)

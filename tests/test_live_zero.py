@@ -30,7 +30,7 @@ def zeros(spark, tmp_path_factory):
     con.close()
 
 
-@pytest.mark.parametrize("name", ["st_symbol_features", "st_aggregate", "st_overlay"])
+@pytest.mark.parametrize("name", ["st_symbol_features", "st_aggregate", "st_overlay", "sink_state_kv", "st_batch_loop", "sink_redis_stream"])
 def test_zero_prices_equal_sql(spark, zeros, name):
     d, con = zeros
     compare(spark, d, con, name)
