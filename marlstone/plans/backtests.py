@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import prices as X
 from marlstone.functions import scores as S
-from marlstone.functions.series import change
+from marlstone.functions.series import change, quotient
 from marlstone.operators.backtest import prepared, run_top_k, within_reach
 from marlstone.operators.ordering import materialised, ranked, running_max_before
 from marlstone.operators.regimes import confirm
 from marlstone.plans.joins import text_day
 from marlstone.plans.scores import ARGMAX_SQL, REGIME_SQL, inputs, scored_days
-from marlstone.plans.sectors import snap, snap_sql
+from marlstone.plans.sectors import snap, snap_any, snap_sql
 from marlstone.registry import query
 from marlstone.sources.tables import BARS_SQL, bars, table
 
@@ -114,13 +114,16 @@ def ag_backtest_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def curve_metrics(curve: DataFrame, key: str) -> DataFrame:
-    """Return, volatility, Sharpe ratio and drawdown of each curve (key, d, v)."""
+    """Return, volatility, Sharpe ratio and drawdown of each curve (key, d, v). The Sharpe ratio of a flat curve is NaN, and
+    what is taken over a value of zero is infinite or NaN, as doubles divide."""
     w = Window.partitionBy(key).orderBy("d")
-    e = curve.select(key, "d", "v", (C("v") / F.lag("v").over(w) - 1).alias("r"), (C("v") / F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("dd"))
-    whole = F.max_by("v", "d") / F.min_by("v", "d")
+    e = curve.select(key, "d", "v", F.lag("v").over(w).alias("before"), F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"))
+    e = e.select(key, "d", "v", (quotient(C("v"), C("before")) - 1).alias("r"), (quotient(C("v"), C("peak")) - 1).alias("dd"))
+    whole = quotient(F.max_by("v", "d"), F.min_by("v", "d"))
+    yearly = F.when(F.count("r") > 0, F.pow(whole, F.try_divide(F.lit(252.0), F.count("r")))).otherwise(whole)  # one row is no time
     return e.groupBy(key).agg(
-        F.count("r").alias("n"), snap(whole - 1).alias("total_return"), snap(F.pow(whole, 252.0 / F.count("r")) - 1).alias("annual_return"), snap(F.stddev_samp("r") * math.sqrt(252)).alias("annual_vol"),
-        snap(F.avg("r") / F.stddev_samp("r") * math.sqrt(252)).alias("sharpe"), snap(F.min("dd")).alias("max_drawdown"),
+        F.count("r").alias("n"), snap_any(whole - 1).alias("total_return"), snap_any(yearly - 1).alias("annual_return"), snap_any(F.stddev_samp("r") * math.sqrt(252)).alias("annual_vol"),
+        snap_any(quotient(F.avg("r"), F.stddev_samp("r")) * math.sqrt(252)).alias("sharpe"), snap_any(F.min("dd")).alias("max_drawdown"),
     )
 
 
@@ -317,7 +320,7 @@ def fd_evaluate_strategy(spark: SparkSession, sf: str) -> DataFrame:
     beneath has no SQL; ``strategy_verdicts`` and ``curve_metrics`` have."""
     e = materialised(equity(spark, sf).select(C("strategy").alias("trial"), "d", C("equity").alias("v")))
     m = curve_metrics(e, "trial")
-    r = e.select("trial", (F.year("d") % PARTS).alias("part"), (C("v") / F.lag("v").over(Window.partitionBy("trial").orderBy("d")) - 1).alias("r"))
+    r = e.select("trial", (F.year("d") % PARTS).alias("part"), (quotient(C("v"), F.lag("v").over(Window.partitionBy("trial").orderBy("d"))) - 1).alias("r"))
     v = strategy_verdicts(r, walk_forward(spark, sf)).join(m.select("trial", "total_return", "sharpe", "max_drawdown"), "trial")
     deep = C("max_drawdown") < -MOST_DRAWDOWN
     reasons = F.concat_ws(",", F.when(C("reasons") != "", C("reasons")), F.when(deep, "DRAWDOWN_FAILED"))
