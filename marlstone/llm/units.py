@@ -19,8 +19,9 @@ from marlstone.llm.characters import WHITE, character_classes
 KEPT = 200_000
 #: Longer words are not kept.
 KEPT_LENGTH = 48
-#: Characters of texts that are split at once, and a place where a longer text may be cut: a space that begins a word.
-AT_ONCE = 4_000_000
+#: Characters of texts that are split at once (some 20 bytes of memory each), and a place where a longer text may be cut: a
+#: space that begins a word.
+AT_ONCE = 1_000_000
 SAFE = regex.compile(rf"(?<=[\p{{L}}\p{{N}}]) (?=[\p{{L}}\p{{N}}])")
 
 
@@ -35,8 +36,10 @@ def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
     if not joined:
         return pa.array([], pa.large_string()), np.zeros(len(texts), dtype=np.int64)
-    points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
-    n, kind = points.size, character_classes()[points]
+    data = joined.encode()
+    n = len(joined)
+    points = np.frombuffer(data, dtype="u1") if len(data) == n else np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+    kind = character_classes()[points]
     opens = np.zeros(n + 3, dtype=bool)  # the first character of a text; so are places beyond the last
     opens[np.r_[0, ends[ends < n]]] = opens[n:] = True
     edge = opens.copy()
@@ -48,19 +51,18 @@ def split_words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     marks = np.flatnonzero(points == 39)
     marks = marks[edge[marks] & ~opens[marks + 1]]
     if marks.size:
-        after = np.r_[points, 0, 0]
+        after = np.concatenate([points, np.zeros(2, points.dtype)])
         one, two = after[marks + 1], np.where(opens[marks + 2], 0, after[marks + 2])
         short = np.isin(one, [ord(c) for c in "stmd"])
         long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
         edge[marks[short | long] + 1] = False
         edge[marks[short] + 2] = edge[marks[long] + 3] = True
     starts = np.flatnonzero(edge[:n])
-    data = joined.encode()
     if len(data) == n:
         offsets = np.r_[starts, n]
     else:
         sizes = 1 + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
-        offsets = np.r_[0, np.cumsum(sizes, dtype=np.int64)][np.r_[starts, n]]
+        offsets = np.r_[0, np.cumsum(np.add.reduceat(sizes, starts, dtype=np.int64))]
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
     return words, np.diff(np.r_[0, np.searchsorted(starts, ends)])
 
@@ -114,7 +116,9 @@ class UnitCache:
         of_word = sizes[codes]
         ends = np.r_[0, np.cumsum(of_word)]
         shift = (np.cumsum(sizes) - sizes)[codes] - ends[:-1]
-        ids = flat[np.repeat(shift, of_word) + np.arange(ends[-1])]
+        places = np.arange(ends[-1])
+        places += np.repeat(shift, of_word)
+        ids = flat[places]
         at = ends[np.r_[0, np.cumsum(counts)]].tolist()
         for a, b in zip(at, at[1:], strict=False):
             yield ids[a:b].tobytes()
