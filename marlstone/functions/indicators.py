@@ -94,7 +94,7 @@ def _ema(df: DataFrame, alias: str, window: int) -> DataFrame:
 
 def _macd(df: DataFrame, alias: str, fast: int, slow: int, signal: int) -> DataFrame:
     dif, dea = f"{alias}_dif", f"{alias}_dea"
-    df = smoothed_any(smoothed_any(df, "close", 2 / (fast + 1), "_fast"), "close", 2 / (slow + 1), "_slow")
+    df = smoothed_any(df, ["close", "close"], [2 / (fast + 1), 2 / (slow + 1)], ["_fast", "_slow"])
     df = smoothed_any(df.withColumn(dif, F.col("_fast") - F.col("_slow")).drop("_fast", "_slow"), dif, 2 / (signal + 1), dea)
     return df.withColumn(f"{alias}_hist", (F.col(dif) - F.col(dea)) * 2)
 
