@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.labelled import known_labels, labelled_sample
-from marlstone.llm.session import map_texts
+from marlstone.llm.session import giving_back, map_texts, scored, stored_where, storing
 
 #: Labelled rows of each class that are used to fit, at most.
 ROWS_PER_CLASS = 12_000
@@ -125,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
             yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics(t) for t in b["text"]], "y": b["y"]})
 
     sample = labelled_sample(docs, labels, "quality", rows_per_class, fold_of)
-    got = sample.mapInPandas(run, "doc_id long, x array<double>, y int").toPandas().sort_values("doc_id")
+    with storing(docs.sparkSession):
+        got = sample.mapInPandas(giving_back(run), "doc_id long, x array<double>, y int").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, n)
     model = fit(x, got["y"].to_numpy())
     # The prior of all labels that may be used, not of the balanced sample; each document counts once.
@@ -153,11 +154,10 @@ def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.3, text
     """The rows of ``docs`` whose score is ``threshold`` or more, with all their columns, whatever these are called.
 
     A null text counts as empty. Each row is judged by its text alone, so rows of null or equal ids and equal rows go or
-    stay as their texts do; an empty table gives an empty result.
+    stay as their texts do; an empty table gives an empty result. The rows are stored.
     """
 
-    @F.pandas_udf("double")
-    def quality_score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in texts], dtype=float).reshape(len(texts), -1)))
+    def quality_scores(texts: list[str]) -> np.ndarray:
+        return model.score(np.array([statistics(t) for t in texts], dtype=float).reshape(len(texts), -1))
 
-    return docs.where(quality_score(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)
+    return stored_where(docs, scored(quality_scores, F.col(text_col)) >= threshold, "good")

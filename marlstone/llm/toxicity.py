@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.labelled import labelled_sample
-from marlstone.llm.session import cut, map_texts
+from marlstone.llm.session import cut, giving_back, map_texts, scored, stored_where, storing
 
 #: Labelled rows of each class that are used to fit, at most; terms in the lexicon; categories; folds.
 ROWS_PER_CLASS, TERMS, CATEGORIES, FOLDS = 6_000, 400, 4, 5
@@ -28,6 +28,8 @@ ROWS_PER_CLASS, TERMS, CATEGORIES, FOLDS = 6_000, 400, 4, 5
 #: rates, and as many different contexts in toxic documents.
 LEAST_RATIO, LEAST_RATE, LEAST_CONTEXTS = 10.0, 8.0, 4
 PREFIXES = (4, 5, 6)
+#: Terms that a task counts before it hands their counts on.
+COUNTED_AT_ONCE = 50_000
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 
@@ -155,7 +157,12 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     """Fit on at most ``rows_per_class`` labelled documents of each class. Texts stay on the executors: what comes to the
     driver are term counts and, of each sampled document, which terms of the lexicon it has. Labels of one class alone, or
     none, tell nothing apart: their chain has no terms and holds every document clean."""
-    sample = cut(labelled_sample(docs, labels, "toxic", rows_per_class))
+    with storing(docs.sparkSession):
+        return _train(cut(labelled_sample(docs, labels, "toxic", rows_per_class)))
+
+
+def _train(sample: DataFrame) -> Chain:
+    """The chain of a sample (doc_id, text, y)."""
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -164,15 +171,22 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     def count_toxic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict[str, int] = {}
         mask: dict[str, int] = {}
+
+        def counts() -> pd.DataFrame:
+            return pd.DataFrame({"term": list(n), "n": list(n.values()), "mask": np.array([mask[t] for t in n], dtype=np.uint64).view(np.int64)})
+
         for b in batches:
             for text in b["text"]:
                 for t, bits in contexts(text).items():
                     n[t] = n.get(t, 0) + 1
                     mask[t] = mask.get(t, 0) | bits
+                if len(n) > COUNTED_AT_ONCE:
+                    yield counts()
+                    n, mask = {}, {}
         if n:  # a frame without rows has no column types
-            yield pd.DataFrame({"term": list(n), "n": list(n.values()), "mask": np.array([mask[t] for t in n], dtype=np.uint64).view(np.int64)})
+            yield counts()
 
-    counted = sample.where("y = 1").select("text").mapInPandas(count_toxic, "term string, n long, mask long")
+    counted = sample.where("y = 1").select("text").mapInPandas(giving_back(count_toxic), "term string, n long, mask long")
     seen = (
         counted.groupBy("term").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("mask")).alias("contexts"))
         .where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("n") >= 3))
@@ -192,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
 
     clean = {
         r["term"]: r["n"]
-        for r in sample.where("y = 0").select("text").mapInPandas(count_clean, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        for r in sample.where("y = 0").select("text").mapInPandas(giving_back(count_clean), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     }
     scored, least = [], max(LEAST_RATIO, 2 * math.log(max(1, len(candidates))))
     for t, n in candidates.items():
@@ -206,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "found": [empty.present(t) for t in b["text"]]})
 
-    rows = sample.select("doc_id", "y", "text").mapInPandas(look_up, "doc_id long, y int, found array<int>").toPandas().sort_values("doc_id")
+    rows = sample.select("doc_id", "y", "text").mapInPandas(giving_back(look_up), "doc_id long, y int, found array<int>").toPandas().sort_values("doc_id")
     x = empty.matrix([list(f) for f in rows["found"]])
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in rows["doc_id"]], dtype=int)
     return fit_chain(lexicon, x, rows["y"].to_numpy(dtype=float), fold)
@@ -233,11 +247,10 @@ def keep_clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text
     """The rows of ``docs`` that are not toxic, with all their columns, whatever these are called.
 
     A null text counts as empty. Each row is judged by its text alone, so rows of null or equal ids and equal rows go or
-    stay as their texts do; an empty table gives an empty result.
+    stay as their texts do; an empty table gives an empty result. The rows are stored.
     """
 
-    @F.pandas_udf("double")
-    def toxic_score(texts: pd.Series) -> pd.Series:
-        return pd.Series(chain.predict(chain.matrix([chain.present(t) for t in texts]))[:, -1])
+    def toxic_scores(texts: list[str]) -> np.ndarray:
+        return chain.predict(chain.matrix([chain.present(t) for t in texts]))[:, -1]
 
-    return docs.where(toxic_score(F.coalesce(F.col(text_col), F.lit(""))) < threshold)
+    return stored_where(docs, scored(toxic_scores, F.col(text_col)) < threshold, "clean")
