@@ -244,10 +244,16 @@ def sc_evidence_refs(spark: SparkSession, sf: str) -> DataFrame:
     return candidates(spark, sf).select("symbol", F.array_join(refs, "|").alias("refs"))
 
 
+def live_returns(events: DataFrame) -> DataFrame:
+    """(symbol, return_5m): values are added in the order of event ids, as the rounding shows in which order doubles are summed;
+    so the result doesn't depend on how the table is cut into tasks."""
+    rows = events.select(C("user_id").alias("symbol"), "event_id", "value").repartition("symbol").sortWithinPartitions("symbol", "event_id")
+    return rows.groupBy("symbol").agg(F.round(F.sum("value") / F.count("*") / 1000, 6).alias("return_5m"))
+
+
 @query("sc_realtime_overlay", f"WITH {CANDIDATES_SQL}, live AS (SELECT user_id AS symbol, round(sum(value) / count(*) / 1000, 6) AS return_5m FROM events GROUP BY user_id), t AS (SELECT symbol, round(round({clip_sql('technical_score + coalesce(return_5m, 0) * 100', 0, 100)}, 9), 4) AS technical FROM cand LEFT JOIN live USING (symbol)) SELECT symbol, technical, row_number() OVER (ORDER BY technical DESC NULLS LAST, symbol) AS rank FROM t")
 def sc_realtime_overlay(spark: SparkSession, sf: str) -> DataFrame:
-    live = table(spark, sf, "events").groupBy(C("user_id").alias("symbol")).agg(F.round(F.sum("value") / F.count("*") / 1000, 6).alias("return_5m"))
-    t = candidates(spark, sf).join(live, "symbol", "left").select("symbol", S.r4(S.clip(C("technical_score") + F.coalesce("return_5m", F.lit(0.0)) * 100, 0, 100)).alias("technical"))
+    t = candidates(spark, sf).join(live_returns(table(spark, sf, "events")), "symbol", "left").select("symbol", S.r4(S.clip(C("technical_score") + F.coalesce("return_5m", F.lit(0.0)) * 100, 0, 100)).alias("technical"))
     return ranked(t, F.desc_nulls_last("technical"), C("symbol"))
 
 
