@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.session import cut, giving_back, join_sized, map_texts, storing
+from marlstone.llm.session import cut, giving_back, hot_list, join_sized, map_texts, storing
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -205,7 +205,7 @@ def _with_both(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
         sized = cut(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")))
         asked = F.broadcast(sized) if sized.count() <= BROADCAST_IDS else sized
         known = rows.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)).join(asked, side)
-        joined = join_sized(joined, known, side, "n", F.xxhash64("a", "b"), "inner").drop("n")
+        joined = join_sized(joined, known, side, "n", F.xxhash64("a", "b"), "inner", hot_list(sized, side, "n")).drop("n")
     return joined
 
 
@@ -241,8 +241,8 @@ def _fingerprint_stars(own: DataFrame, link_fingerprints: Callable[[DataFrame],
     member = components(link_fingerprints(nodes.select("fp"))).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = cut(nodes.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("first").alias("b"), F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("rows")).where("rows > 1")
-    of_node = join_sized(rooted, least, "root", "nodes", F.xxhash64("fp"), "inner").select("fp", "b", "n")
-    stars = join_sized(own.select("doc_id", "fp"), cut(of_node), "fp", "n", F.xxhash64("doc_id"), "inner")
+    of_node = cut(join_sized(rooted, least, "root", "nodes", F.xxhash64("fp"), "inner", hot_list(least, "root", "nodes")).select("fp", "b", "n"))
+    stars = join_sized(own.select("doc_id", "fp"), of_node, "fp", "n", F.xxhash64("doc_id"), "inner", hot_list(of_node, "fp", "n"))
     return stars.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
 
 
@@ -262,7 +262,7 @@ def redundant_ids(docs: DataFrame, link_fingerprints: Callable[[DataFrame], Data
 
     banded = own.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     first = cut(banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    stars = join_sized(banded, first, "band", "n", F.xxhash64("node"), "inner").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    stars = join_sized(banded, first, "band", "n", F.xxhash64("node"), "inner", hot_list(first, "band", "n")).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     sure = near_pairs(_fingerprint_stars(own, link_fingerprints).unionByName(stars), docs, own.select("doc_id", "sketch", "size"), id_col, text_col)
     parts = components(sure).select(F.col("a").alias("doc_id"), F.col("b").alias("part"))
 

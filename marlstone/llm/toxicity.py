@@ -28,6 +28,8 @@ ROWS_PER_CLASS, TERMS, CATEGORIES, FOLDS = 6_000, 400, 4, 5
 #: rates, and as many different contexts in toxic documents.
 LEAST_RATIO, LEAST_RATE, LEAST_CONTEXTS = 10.0, 8.0, 4
 PREFIXES = (4, 5, 6)
+#: Rows that a fit makes doubles of at once.
+ROWS_AT_ONCE = 1_000
 #: Terms that a task counts before it hands their counts on.
 COUNTED_AT_ONCE = 50_000
 THRESHOLD = 0.3
@@ -55,17 +57,24 @@ def contexts(text: str) -> dict[str, int]:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 12) -> np.ndarray:
-    """Weights (the last is the intercept) of penalised logistic regression, by Newton's method."""
-    x1 = np.c_[x, np.ones(len(x))]
-    ridge = np.full(x1.shape[1], penalty)
+def logistic(x: np.ndarray, held: np.ndarray, y: np.ndarray, rows: np.ndarray, penalty: float = 0.05, rounds: int = 12) -> np.ndarray:
+    """Weights (the last is the intercept) of penalised logistic regression on the columns of ``x`` and ``held``, by Newton's
+    method. ``rows``: the numbers of the rows that count; ROWS_AT_ONCE of them are made doubles together."""
+    n = x.shape[1] + held.shape[1] + 1
+    ridge = np.full(n, penalty)
     ridge[-1] = 1e-3
-    w = np.zeros(x1.shape[1])
-    w[-1] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
+    w = np.zeros(n)
+    good = y[rows].sum()
+    w[-1] = math.log((good + 0.5) / (len(rows) - good + 0.5)) if len(rows) else 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        h = (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(ridge)
-        step = np.linalg.solve(h, x1.T @ (p - y) + ridge * w)
+        h, slope = np.diag(ridge), ridge * w
+        for at in range(0, len(rows), ROWS_AT_ONCE):
+            own = rows[at : at + ROWS_AT_ONCE]
+            x1 = np.c_[x[own], held[own], np.ones(len(own))]
+            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+            h += (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1
+            slope += x1.T @ (p - y[own])
+        step = np.linalg.solve(h, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -83,8 +92,8 @@ class Chain:
     lexicon: dict[str, int]
     links: tuple[np.ndarray, ...]
 
-    def matrix(self, found: list[list[int]]) -> np.ndarray:
-        x = np.zeros((len(found), len(self.lexicon)))
+    def matrix(self, found: list[list[int]], kind: type = float) -> np.ndarray:
+        x = np.zeros((len(found), len(self.lexicon)), dtype=kind)
         for row, own in enumerate(found):
             x[row, own] = 1
         return x
@@ -126,18 +135,21 @@ def categories_of(x: np.ndarray, toxic: np.ndarray, most: int = CATEGORIES) -> l
 
 
 def fit_chain(lexicon: dict[str, int], x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
-    """Links over categories and then toxicity; each sees the earlier ones' out-of-fold probabilities."""
+    """Links over categories and then toxicity; each sees the earlier ones' out-of-fold probabilities. ``x`` may be of bytes: no
+    copy of it is made."""
     targets = [(y == 1) & (x[:, own] > 0).any(axis=1) for own in categories_of(x, y)] + [y == 1]
     held, links = np.zeros((len(x), 0)), []
     for target in targets:
         target = target.astype(float)
-        now = np.c_[x, held]
-        links.append(logistic(now, target))
+        links.append(logistic(x, held, target, np.arange(len(x))))
         out = np.zeros(len(x))
         for f in range(FOLDS):
-            rest, own = fold != f, fold == f
-            if own.any():
-                out[own] = probability(now[own], logistic(now[rest], target[rest]))
+            own = np.flatnonzero(fold == f)
+            if own.size:
+                w = logistic(x, held, target, np.flatnonzero(fold != f))
+                for at in range(0, own.size, ROWS_AT_ONCE):
+                    some = own[at : at + ROWS_AT_ONCE]
+                    out[some] = probability(np.c_[x[some], held[some]], w)
         held = np.c_[held, out]
     return Chain(lexicon, tuple(links))
 
@@ -221,7 +233,7 @@ def _train(sample: DataFrame) -> Chain:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "found": [empty.present(t) for t in b["text"]]})
 
     rows = sample.select("doc_id", "y", "text").mapInPandas(giving_back(look_up), "doc_id long, y int, found array<int>").toPandas().sort_values("doc_id")
-    x = empty.matrix([list(f) for f in rows["found"]])
+    x = empty.matrix([list(f) for f in rows["found"]], np.int8)
     fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in rows["doc_id"]], dtype=int)
     return fit_chain(lexicon, x, rows["y"].to_numpy(dtype=float), fold)
 
